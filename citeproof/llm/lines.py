@@ -24,14 +24,15 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, site, content, place, line, n_words) for each line with a word of docs (doc_id, site, text).
+def line_rows(docs: DataFrame, total: bool = False) -> DataFrame:
+    """(doc_id, row, site, content, place, line, n_words) for each line with a word of docs (doc_id, site, text), with the text's words on request.
 
     line is the hash of the normalized line, content that of the whole text: equal texts have equal contents.
     """
-    lines = docs.select("doc_id", "site", row_key("doc_id", "site", "text").alias("row"), F.xxhash64("text").alias("content"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    words = [F.size(words_of(F.col("text"))).alias("total")] if total else []
+    lines = docs.select(*words, "doc_id", "site", row_key("doc_id", "site", "text").alias("row"), F.xxhash64("text").alias("content"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
     named = lines.withColumn("norm", normalized(F.col("raw"))).where("norm <> ''")
-    return named.select("doc_id", "row", "site", "content", "place", F.xxhash64("norm").alias("line"), F.size(F.split("norm", " ")).alias("n_words"))
+    return named.select(*["total"] * total, "doc_id", "row", "site", "content", "place", F.xxhash64("norm").alias("line"), F.size(F.split("norm", " ")).alias("n_words"))
 
 
 def without_places(text: Column, places: Column) -> Column:
