@@ -39,8 +39,11 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").reshape(-1).astype(np.uint64)
 
 
-def earlier_elsewhere(chunks: DataFrame, keys_of: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
-    """(chunk, at): for each chunk the places, in the sorted distinct keys that keys_of gives for it, of keys that an earlier chunk has too."""
+def earlier_elsewhere(chunks: DataFrame, keys_of: Callable[[pa.Table], np.ndarray], buckets: int, any_other: bool = False) -> DataFrame:
+    """(chunk, at): for each chunk the places, in the sorted distinct keys that keys_of gives for it, of keys that an earlier chunk has too.
+
+    any_other: of keys that any other chunk has, so that the earliest is told as well.
+    """
     bits = buckets.bit_length() - 1
 
     def send(group: pa.Table) -> pa.Table:
@@ -66,7 +69,11 @@ def earlier_elsewhere(chunks: DataFrame, keys_of: Callable[[pa.Table], np.ndarra
         place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(group.column("base").to_numpy(), sizes)
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
-        late = order[1:][ranked[1:] == ranked[:-1]]
+        same = ranked[1:] == ranked[:-1]
+        told = np.append(False, same)
+        if any_other:
+            told[:-1] |= same
+        late = order[told]
         late.sort()
         edges = np.searchsorted(owner[late], np.arange(len(parts) + 1))
         full = np.flatnonzero(edges[1:] > edges[:-1])

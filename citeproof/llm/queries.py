@@ -17,6 +17,7 @@ from citeproof.llm.mixing import mix_sources
 from citeproof.llm.quality_rules import quality_rules
 from citeproof.llm.runtime import table
 from citeproof.llm.substring_dedup import dedup_substrings
+from citeproof.llm.suffix_dedup import dedup_suffixes
 from citeproof.llm.url_filter import filter_urls
 
 
@@ -55,6 +56,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_minhash(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
