@@ -21,8 +21,10 @@ from citeproof.llm.words import FOLDED_VALUES, mix, powers, slices, string_buffe
 
 SHINGLE, HALVES, ROWS, PERCENT = 4, 8, 2, 80
 BYTES_AT_ONCE, SHINGLES_AT_ONCE = 2 << 20, 1 << 15
-#: Rounds in which each bucket's documents are compared with one of them, before what is left is compared in full.
-STAR_ROUNDS = 3
+#: Rounds in which each bucket's documents are compared with one of them, which then leaves it, before the rest is compared.
+STAR_ROUNDS = 2
+#: In so many sets a shingle is common.
+COMMON = 32
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = powers(SHINGLE + 1, 0xD1342543DE82EF95)
 
@@ -90,6 +92,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where((F.lit(100) + percent) * F.col("common") >= F.col("both") * percent).select("a", "b").distinct()
 
 
+def _left_over(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may link, without all pairs of a bucket; none that links is missing.
+
+    buckets: (key, doc_id, component). Let u be how many of a set's shingles are common, in COMMON sets or more. Two sets
+    that share no rare shingle have at most min(u, u') in common. So a pair either shares a rare shingle, which fewer
+    than COMMON sets have, or both its sets have enough common ones for their sizes; that is seldom for near copies
+    that differ in places of their own.
+    """
+    members = buckets.select("doc_id", "component").distinct().repartition(F.xxhash64("doc_id"))
+    held = sets.join(members, "doc_id").select("doc_id", "component", F.explode("grams").alias("gram"))
+    spread = cut(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
+    rare = held.join(spread.where(F.col("n_docs") < COMMON).select("gram"), "gram")
+    other = rare.select("gram", F.col("doc_id").alias("b"), F.col("component").alias("its"))
+    by_rare = rare.withColumnRenamed("doc_id", "a").join(other, "gram").where("a < b and component <> its").select("a", "b")
+    common = held.join(spread.where(F.col("n_docs") >= COMMON).select("gram"), "gram").groupBy("doc_id").agg(F.count("*").alias("u"))
+    sizes = sets.select("doc_id", F.size("grams").alias("n")).join(common, "doc_id").repartition(F.xxhash64("doc_id"))
+    enough = lambda u, n, m: u * (100 + percent) >= (n + m) * percent
+    known = buckets.join(sizes, "doc_id")
+    least = known.groupBy("key").agg(F.min("n").alias("least")).repartition(F.xxhash64("key"))
+    able = cut(known.join(least, "key").where(enough(F.col("u"), F.col("n"), F.greatest(F.col("least"), F.col("n") * percent / 100))).drop("least"))
+    # A pair that shares several buckets is made in the one with the smallest key alone.
+    keys = able.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).repartition(F.xxhash64("doc_id"))
+    able = able.join(keys, "doc_id")
+    other = able.select("key", F.col("doc_id").alias("b"), F.col("component").alias("its"), F.col("u").alias("ub"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    pair = (F.col("a") < F.col("b")) & (F.col("component") != F.col("its")) & enough(F.least("u", "ub"), F.col("n"), F.col("nb"))
+    once = F.array_min(F.array_intersect("keys", "kb")) == F.col("key")
+    by_common = able.withColumnRenamed("doc_id", "a").join(other, "key").where(pair & once).select("a", "b")
+    return by_rare.unionByName(by_common)
+
+
 def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -122,29 +154,31 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if labels is None:
             now = keyed.withColumn("component", F.col("doc_id"))
         else:
-            now = keyed.join(labels.withColumnRenamed("node", "doc_id").repartition("component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            now = keyed.join(labels.withColumnRenamed("node", "doc_id").repartition(F.xxhash64("doc_id")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key").repartition(F.xxhash64("key"))
             now = cut(now.join(mixed, "key"))
             if now.isEmpty():
                 break
-            keyed = now.select("key", "doc_id")
         if turn < STAR_ROUNDS:
             rank = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0), F.col("doc_id"), F.col("component"))
-            centres = now.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.component").alias("its")).repartition("centre")
-            met = now.join(centres, "key").where("component <> its").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+            centres = now.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.component").alias("its")).repartition(F.xxhash64("key"))
+            around = now.join(centres, "key").where("doc_id <> centre")
+            met = around.where("component <> its").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+            # Every document of the bucket has met the centre, which is done there.
+            keyed = cut(around.select("key", "doc_id"))
         else:
-            other = now.select("key", F.col("doc_id").alias("b"), F.col("component").alias("its"))
-            met = now.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and component <> its").select("a", "b")
+            met = _left_over(now, sets, percent)
         met = met.distinct()
         met = cut(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.unionByName(met)
         found = cut(_confirmed(met, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = cut(components(links))
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = cut(components(links))
 
     named_classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), "members", "rep")
-    known = named_classes.where("members > 1 or component <> rep").select("s1", "s2", "component").repartition("component")
-    usable = F.col("n") > 0
-    out = signed.withColumns({"s1": F.when(usable & F.col("doc_id").isNotNull(), F.col("s1")), "s2": F.when(usable, F.col("s2"))}).join(known, ["s1", "s2"], "left")
+    known = named_classes.where("members > 1 or component <> rep").select("s1", "s2", "component").repartition(F.xxhash64("s1", "s2"))
+    rest = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("bigint").alias("component"))
+    out = able.join(known, ["s1", "s2"], "left").select("doc_id", "n", "component").unionByName(rest)
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
