@@ -22,13 +22,26 @@ from pyspark.sql import functions as F
 
 from citeproof.llm.exchange import CHUNK, chunked, earlier_elsewhere, places
 from citeproof.llm.runtime import planned_bytes, power_of_two
-from citeproof.llm.words import slices, string_buffers, window_hashes
+from citeproof.llm.words import INVERSE, mix, powers, slices, string_buffers
 
-DEPTH, GRAM, DOCS_PER_CHUNK = 100, 32, 256
-BYTES_PER_BUCKET, BYTES_AT_ONCE = 4 << 20, 1 << 20
+DEPTH, GRAM, DOCS_PER_CHUNK = 100, 32, 512
+BYTES_PER_BUCKET, BYTES_AT_ONCE = 2 << 20, 1 << 19
 _VALUES = np.random.Generator(np.random.PCG64(99)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hashes of every `width` consecutive bytes, across texts too."""
+    n = len(data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[data] * powers(n), out=sums[1:])
+    grams = (sums[width:] - sums[:-width]) * powers(n - width + 1, INVERSE)
+    grams ^= grams >> np.uint64(32)
+    grams *= np.uint64(0x94D049BB133111EB)
+    return grams
+
+
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive values."""
     n = len(a)
@@ -90,33 +103,50 @@ class _Shard:
         self.known = len(self.column_ids) - self.column_ids.null_count
         self.ids = self.column_ids.fill_null(0).to_numpy().astype(np.int64)
         self.data, self.offsets = string_buffers(group.column("text"))
-        starts, anchors, spots, width = [], [], [], depth - GRAM + 1
+        self.keep_runs(depth)
+
+    def keep_runs(self, depth: int) -> None:
+        """Runs of strings that follow each other with the same anchor: where the first begins, how many, and the anchor."""
+        begins, lengths, anchors, width = [], [], [], depth - GRAM + 1
         for a, b in slices(self.offsets[: self.known + 1], BYTES_AT_ONCE):
             lo, hi = self.offsets[a], self.offsets[b]
-            grams, at = window_hashes(_VALUES[self.data[lo:hi]], self.offsets[a : b + 1] - lo, GRAM)
-            if len(grams) >= width:
-                # The low bits hold the place, so that the leftmost of equal grams is the anchor.
-                low = np.uint64((1 << max(20, len(grams).bit_length())) - 1)
-                spot = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width) & low).astype(np.int64)
-                inside = at[width - 1 :] - at[: len(spot)] == width - 1  # both ends in one text
-                starts.append(at[: len(spot)][inside] + lo)
-                anchors.append(grams[spot[inside]])
-                spots.append(at[spot[inside]] + lo)
-        self.starts = np.concatenate([np.zeros(0, np.int64), *starts])
-        self.anchors = np.concatenate([np.zeros(0, np.uint64), *anchors])
-        self.spots = np.concatenate([np.zeros(0, np.int64), *spots])
-        self.keys = np.unique(self.anchors)
+            grams = gram_hashes(self.data[lo:hi], GRAM)
+            if len(grams) < width:
+                continue
+            # The low bits hold the place, so that the leftmost of equal grams is the anchor.
+            low = np.uint64((1 << max(20, len(grams).bit_length())) - 1)
+            spot = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width) & low
+            new = np.ones(len(spot), bool)
+            new[1:] = spot[1:] != spot[:-1]
+            # Strings that reach over a text's end count nothing; the next text begins a run of its own.
+            ends = self.offsets[a + 1 : b + 1] - lo
+            out = np.zeros(len(spot) + 1, np.int32)
+            np.add.at(out, np.clip(ends - depth + 1, self.offsets[a:b] - lo, len(spot)), 1)
+            np.subtract.at(out, np.minimum(ends, len(spot)), 1)
+            bad = np.cumsum(out)[:-1] > 0
+            new[1:] |= bad[1:] != bad[:-1]
+            first = np.flatnonzero(new)
+            length = np.diff(first, append=len(spot))
+            good = ~bad[first]
+            begins.append(first[good] + lo)
+            lengths.append(length[good])
+            # Mixed anew: the least of many hashes is small, and anchors are dealt by their high bits.
+            anchors.append(mix(grams[spot[first[good]].astype(np.int64)]))
+        self.run_at = np.concatenate([np.zeros(0, np.int64), *begins])
+        self.run_length = np.concatenate([np.zeros(0, np.int64), *lengths])
+        self.run_anchor = np.concatenate([np.zeros(0, np.uint64), *anchors])
+        self.keys = np.unique(self.run_anchor)
 
     def order(self, shared: np.ndarray, depth: int) -> None:
         """Order what may repeat. shared: places in keys of anchors that other chunks have too."""
-        key = np.searchsorted(self.keys, self.anchors)
-        run = np.ones(len(key), bool)
-        run[1:] = np.diff(self.spots) != 0
+        key = np.searchsorted(self.keys, self.run_anchor)
         elsewhere = np.zeros(len(self.keys), bool)
         elsewhere[shared] = True
-        own = np.bincount(key[run], minlength=len(self.keys)) > 1
-        self.picked = np.flatnonzero((elsewhere | own)[key])
-        at = self.starts[self.picked]
+        own = np.bincount(key, minlength=len(self.keys)) > 1
+        runs = np.flatnonzero((elsewhere | own)[key])
+        sizes = self.run_length[runs]
+        self.of_run = np.repeat(runs, sizes)
+        self.at = at = np.repeat(self.run_at[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         self.sorted, new = interleave(symbols(self.data), at, depth)
         self.group = np.cumsum(new) - 1
         text = np.searchsorted(self.offsets, at[self.sorted], "right") - 1
@@ -126,9 +156,8 @@ class _Shard:
         self.late[1:] |= ~new[1:] & (text[1:] == text[:-1])
         # The first of each class of equal strings stands for it in other chunks, in the order of the text.
         standing = self.sorted[lead]
-        asked = elsewhere[key[self.picked[standing]]]
-        self.standing = np.sort(standing[asked])
-        self.class_of = np.full(len(self.picked), -1, np.int64)
+        self.standing = np.sort(standing[elsewhere[key[self.of_run[standing]]]])
+        self.class_of = np.full(len(at), -1, np.int64)
         self.class_of[self.sorted] = self.group
 
 
@@ -149,9 +178,9 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if group.num_rows and answers.num_rows:
             shard = _Shard(group, depth)
             shard.order(places(answers), depth)
-            where = shard.picked[shard.standing]
+            where = shard.standing
             if len(where):
-                begins, anchors = shard.starts[where], shard.anchors[where]
+                begins, anchors = shard.at[where], shard.run_anchor[shard.of_run[where]]
                 piece = np.ones(len(where), bool)
                 piece[1:] = (np.diff(begins) != 1) | (anchors[1:] != anchors[:-1])
                 base = np.flatnonzero(piece)
@@ -203,7 +232,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = np.zeros(int(shard.group[-1]) + 1 if len(shard.group) else 0, bool)
         hit[shard.class_of[shard.standing[places(answers.filter(pa.array(kind == 1)))]]] = True
         late = shard.late | hit[shard.group]
-        at = shard.starts[shard.picked[shard.sorted[late]]]
+        at = shard.at[shard.sorted[late]]
         steps = np.zeros(len(shard.data) + 1, np.int32)
         steps[: len(shard.data)] += np.bincount(at, minlength=len(shard.data)).astype(np.int32)[: len(shard.data)]
         steps -= np.bincount(at + depth, minlength=len(steps)).astype(np.int32)

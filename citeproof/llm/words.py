@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ BYTE_VALUES[~IS_WORD] = 0
 #: The same with A-Z counted as a-z.
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
+MOST_POWERS = 1 << 21
 BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 2**64)
+INVERSE = pow(BASE, -1, 2**64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,10 +30,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(max(n, 1), base % 2**64, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest run so far is kept, up to a bound."""
+    kept = sys.__dict__.setdefault("_powers", {})
+    if base not in kept or len(kept[base]) < n:
+        out = np.full(max(n, 1 << 12), base % 2**64, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n > MOST_POWERS:
+            return out[:n]
+        kept[base] = out
+    return kept[base][:n]
 
 
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,4 +96,4 @@ def window_hashes(tokens: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(tokens * powers(n), out=sums[1:])
     starts = np.repeat(bounds[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    return mix((sums[starts + width] - sums[starts]) * powers(n, _INVERSE)[starts]), starts
+    return mix((sums[starts + width] - sums[starts]) * powers(n, INVERSE)[starts]), starts
