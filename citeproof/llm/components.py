@@ -6,17 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citeproof.llm.runtime import cut
-
-#: Links of a task, once they are few.
-LINKS_PER_TASK = 500_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """df, checkpointed, in as many partitions as its rows call for: links are far fewer than documents."""
-    done = cut(df)
-    return done.coalesce(max(8, done.count() // LINKS_PER_TASK))
-
+from citeproof.llm.runtime import cut_few
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node reachable.
@@ -25,11 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     leaves a forest whose roots are the smallest nodes; then pointers are doubled up to the roots. Links with a null
     and links of a node with itself count nothing. Equal rows count once. No links: no rows.
     """
-    down = _few(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    down = cut_few(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     by_node = Window.partitionBy("u")
     while True:
         # A node's smaller neighbours are as many as its component has centres; larger ones, which may be very many, are not gathered.
-        marked = _few(down.withColumns({"m": F.min("v").over(by_node), "n": F.count("*").over(by_node)}))
+        marked = cut_few(down.withColumns({"m": F.min("v").over(by_node), "n": F.count("*").over(by_node)}))
         if marked.where("n > 1").isEmpty():
             down = marked.select("u", "v")
             break
@@ -38,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         up = down.select(F.col("u").alias("v"), F.col("v").alias("w"))
         # Both sides are dealt by the join's key alone, which lets a hot root's rows be split.
-        moved = _few(down.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
+        moved = cut_few(down.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
         down = moved.select("u", "v")
         if moved.where("moved").isEmpty():
             break

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeproof.llm.components import components
-from citeproof.llm.runtime import cut
+from citeproof.llm.runtime import cut, cut_few
 from citeproof.llm.words import FOLDED_VALUES, mix, powers, slices, string_buffers, word_hashes
 
 SHINGLE, HALVES, ROWS, PERCENT = 4, 8, 2, 80
@@ -102,7 +102,7 @@ def _left_over(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     members = buckets.select("doc_id", "component").distinct().repartition(F.xxhash64("doc_id"))
     held = sets.join(members, "doc_id").select("doc_id", "component", F.explode("grams").alias("gram"))
-    spread = cut(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
+    spread = cut_few(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
     rare = held.join(spread.where(F.col("n_docs") < COMMON).select("gram"), "gram")
     other = rare.select("gram", F.col("doc_id").alias("b"), F.col("component").alias("its"))
     by_rare = rare.withColumnRenamed("doc_id", "a").join(other, "gram").where("a < b and component <> its").select("a", "b")
@@ -111,7 +111,7 @@ def _left_over(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     enough = lambda u, n, m: u * (100 + percent) >= (n + m) * percent
     known = buckets.join(sizes, "doc_id")
     least = known.groupBy("key").agg(F.min("n").alias("least")).repartition(F.xxhash64("key"))
-    able = cut(known.join(least, "key").where(enough(F.col("u"), F.col("n"), F.greatest(F.col("least"), F.col("n") * percent / 100))).drop("least"))
+    able = cut_few(known.join(least, "key").where(enough(F.col("u"), F.col("n"), F.greatest(F.col("least"), F.col("n") * percent / 100))).drop("least"))
     # A pair that shares several buckets is made in the one with the smallest key alone.
     keys = able.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).repartition(F.xxhash64("doc_id"))
     able = able.join(keys, "doc_id")
@@ -133,7 +133,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(signatures(named, "doc_id", "text", width, halves, rows))
     able = signed.where("n > 0 and doc_id is not null")
-    classes = cut(able.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
+    classes = cut_few(able.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
     reps = able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     # Half keys that only one class has can't make a shared table key.
@@ -144,10 +144,10 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["half"], y["place"], y["half"]))))
     keyed = live.select("doc_id", F.explode(pairs).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").repartition(F.xxhash64("key"))
-    keyed = cut(keyed.join(crowded, "key"))
+    keyed = cut_few(keyed.join(crowded, "key"))
 
     wanted = keyed.select("doc_id").distinct()
-    sets = cut(_sets(named.join(wanted, "doc_id", "left_semi"), width))
+    sets = cut_few(_sets(named.join(wanted, "doc_id", "left_semi"), width), 20_000)
     tested = links = None
     labels = None
     for turn in range(STAR_ROUNDS + 1):
@@ -156,7 +156,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         else:
             now = keyed.join(labels.withColumnRenamed("node", "doc_id").repartition(F.xxhash64("doc_id")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key").repartition(F.xxhash64("key"))
-            now = cut(now.join(mixed, "key"))
+            now = cut_few(now.join(mixed, "key"))
             if now.isEmpty():
                 break
         if turn < STAR_ROUNDS:
@@ -165,16 +165,16 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             around = now.join(centres, "key").where("doc_id <> centre")
             met = around.where("component <> its").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
             # Every document of the bucket has met the centre, which is done there.
-            keyed = cut(around.select("key", "doc_id"))
+            keyed = cut_few(around.select("key", "doc_id"))
         else:
             met = _left_over(now, sets, percent)
         met = met.distinct()
-        met = cut(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        met = cut_few(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.unionByName(met)
-        found = cut(_confirmed(met, sets, percent))
+        found = cut_few(_confirmed(met, sets, percent))
         if labels is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            labels = cut(components(links))
+            labels = cut_few(components(links))
 
     named_classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), "members", "rep")
     known = named_classes.where("members > 1 or component <> rep").select("s1", "s2", "component").repartition(F.xxhash64("s1", "s2"))

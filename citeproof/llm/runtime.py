@@ -20,6 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame, rows_per_task: int = 500_000) -> DataFrame:
+    """cut(df), in as many partitions as its rows call for; for what is far smaller than the documents."""
+    done = cut(df)
+    return done.coalesce(max(8, done.count() // rows_per_task))
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the input's size; no job runs for it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
