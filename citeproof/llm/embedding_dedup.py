@@ -22,6 +22,7 @@ from citeproof.llm.runtime import cut, power_of_two
 COSINE = 0.93
 #: Pivots that describe a vector, how many two vectors must share, vectors of a block, and the least and most pivots:
 #: about twice the square root of the vectors, so that lists grow as the square root too.
+APART = 0.6
 NEAREST, SHARED, TILE, FEWEST, MOST = 12, 2, 1024, 64, 4096
 
 
@@ -48,6 +49,16 @@ def describe(vectors: list[np.ndarray], pivots: np.ndarray, nearest: int) -> np.
     return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
 
+def apart(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in order without those near an earlier one: a large group of near copies must not fill the pivots, or its
+    members would be told apart by which of them is nearest."""
+    near, kept = np.abs(pivots @ pivots.T) > APART, []
+    for i in range(len(pivots)):
+        if not near[i, kept].any():
+            kept.append(i)
+    return pivots[kept]
+
+
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> dict[int, int]:
     """For rows with links the smallest id of their component, from the adjacency of rows left against rows right."""
     parent = {}
@@ -125,6 +136,8 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sample = [r.unit for r in scaled.orderBy(F.xxhash64("k1"), "k2").limit(n_pivots).select("unit").collect()]
     width = max(map(len, sample), default=1)
     pivots = np.array([[*x, *[0.0] * (width - len(x))] for x in sample]).reshape(len(sample), width)
+    pivots = apart(pivots)
+    shared = min(shared, len(pivots))
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,8 @@ def vectors(rows, cosine=0.93):
     def unit(v):
         if v is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             return None
+        top = max(map(abs, v))
+        v = [x / top for x in v]
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v]
 
