@@ -95,18 +95,20 @@ c{k} AS (SELECT left(gram, {k - 1}) AS context, sum(ga) AS ca, sum(gr) AS cr FRO
 WITH found AS (SELECT page_id, url, coalesce(instr(url, '://'), 0) AS a FROM pages),
 parts AS (SELECT page_id, url, CASE WHEN a > 0 THEN translate(regexp_extract(substring(url, a + 3), '^[^/?#]*'), '{u._UPPER}', '{u._LOWER}') ELSE '' END AS host,
   CASE WHEN a > 0 THEN regexp_extract(substring(url, a + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM found),
-ruled AS (SELECT *, {rule} END AS rule, {verdict} END AS verdict FROM parts),
+ruled AS (SELECT *, {rule} END AS rule, {verdict} END AS verdict, contains('{u.HELD}', left(md5(host), 1)) AS held FROM parts),
 urls AS (SELECT url, '{u.START * u.ORDER}' || regexp_replace(translate(url, '{u._UPPER}123456789', '{u._LOWER}000000000'), '[^\\x21-\\x7E]', '~', 'g') AS s,
-  CAST(count(*) FILTER (verdict = 'allow') AS DOUBLE) AS na, CAST(count(*) FILTER (verdict = 'block') AS DOUBLE) AS nr FROM ruled WHERE url <> '' GROUP BY url),
-wins AS (SELECT url, na, nr, substring(s, i, {k1}) AS win FROM (SELECT *, unnest(generate_series(1, length(s) - {u.ORDER})) AS i FROM urls)),
+  count(*) FILTER (verdict = 'allow') AS na, count(*) FILTER (verdict = 'block') AS nr, held FROM ruled WHERE url <> '' GROUP BY url, held),
+wins AS (SELECT url, CASE WHEN held THEN 0.0::DOUBLE ELSE na END AS na, CASE WHEN held THEN 0.0::DOUBLE ELSE nr END AS nr, substring(s, i, {k1}) AS win FROM (SELECT *, unnest(generate_series(1, length(s) - {u.ORDER})) AS i FROM urls)),
 counts AS (SELECT win, sum(na) AS na, sum(nr) AS nr FROM wins WHERE na + nr > 0 GROUP BY win),
 {', '.join(grams)},
 p0 AS (SELECT url, win, 1.0::DOUBLE / {u.SYMBOLS} AS pa, 1.0::DOUBLE / {u.SYMBOLS} AS pr FROM wins),
 {', '.join(steps)},
 scored AS (SELECT url, CAST(floor(sum(ln(pa) - ln(pr)) / count(*) * {u.BINS}) AS BIGINT) AS bin FROM p{k1} GROUP BY url),
-bins AS (SELECT bin, sum(na) AS n FROM scored JOIN urls USING (url) WHERE na > 0 GROUP BY bin),
-below AS (SELECT bin, coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS every FROM bins)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bin < (SELECT max(bin) FROM below WHERE below * 1000 <= every * {u.LOST}) THEN 'block' ELSE 'allow' END) AS verdict,
+bins AS (SELECT bin, sum(na) AS na, sum(nr) AS nr FROM scored JOIN urls USING (url) WHERE held AND na + nr > 0 GROUP BY bin),
+parted AS (SELECT bin, lag(bin) OVER (ORDER BY bin) AS below, (sum(na) OVER up)::DOUBLE / nullif(sum(na) OVER (), 0)::DOUBLE - (sum(nr) OVER up)::DOUBLE / nullif(sum(nr) OVER (), 0)::DOUBLE AS parts
+  FROM bins WINDOW up AS (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+best AS (SELECT coalesce(CAST(floor((below + bin + 1) / 2.0) AS BIGINT), bin) AS threshold FROM parted WHERE parts IS NOT NULL ORDER BY parts DESC, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bin < coalesce((SELECT threshold FROM best), 0) THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN rule IS NULL THEN bin END AS bin FROM ruled LEFT JOIN scored USING (url)"""
 
 

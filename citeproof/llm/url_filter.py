@@ -1,9 +1,10 @@
 """URL filters: rules by host and path, and a character language-model ratio where no rule fits.
 
-Two variable-order Markov models, one for accepted and one for rejected URLs, learn from every URL that a rule decides.
+Two variable-order Markov models, one for accepted and one for rejected URLs, learn from the URLs that a rule decides, but
+for those of about a quarter of the hosts, which calibrate the threshold: a model tells little about URLs it has seen.
 A context is kept only if it is frequent enough, which bounds the models whatever the corpus: at most 1 / LEAST_SHARE
 grams of each order. Orders are interpolated: p_k(c) = (n(context, c) + A * p_(k-1)(c)) / (n(context) + A). A URL's score
-is its mean log-likelihood difference a character; the threshold is calibrated on the accepted URLs.
+is its mean log-likelihood difference a character.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from citeproof.llm.runtime import cut
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Characters of context, the smoothing weight A, the share of all characters that a kept gram has at least, symbols of
-#: the alphabet, bins of a score's unit, and the per mille of accepted URLs that the threshold may lose.
-ORDER, A, LEAST_SHARE, SYMBOLS, BINS, LOST = 4, 2.0, 1 / 20_000, 64, 1000, 50
+#: the alphabet, bins of a score's unit, and the first hexadecimal digits of a host's MD5 that keep it for calibration.
+ORDER, A, LEAST_SHARE, SYMBOLS, BINS, HELD = 4, 2.0, 1 / 20_000, 64, 1000, "0123"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START = "^"
 
@@ -94,31 +95,49 @@ def score(urls: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) ->
     return rows.groupBy("key").agg(F.floor(mean * BINS).cast("bigint").alias("bin"))
 
 
+def held_out(host: Column) -> Column:
+    return F.instr(F.lit(HELD), F.substring(F.md5(host), 1, 1)) > 0
+
+
+def calibrate(bins: DataFrame) -> int:
+    """The threshold for bins (bin, na, nr: accepted and rejected URLs with that score), none of which the models learned from.
+
+    It parts the two kinds best (the largest share of accepted at or above it, less that of rejected; of equals the
+    lowest), in the middle between the scores on both its sides. Without URLs of both kinds it is 0, where both models are equally likely.
+    """
+    # A score has bounded size, so the bins are few whatever the corpus.
+    upward, everything = Window.orderBy("bin"), Window.partitionBy(F.lit(1))
+    from_here = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = lambda n: F.try_divide(F.sum(n).over(from_here), F.sum(n).over(everything))
+    each = bins.select("bin", F.lag("bin").over(upward).alias("below"), (share("na") - share("nr")).alias("parts"))
+    best = each.where("parts is not null").orderBy(F.desc("parts"), "bin").first()
+    if best is None:
+        return 0
+    return best["bin"] if best["below"] is None else (best["below"] + best["bin"] + 1) // 2
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, and bin (the score; null where a rule decides).
 
-    The longest fitting rule decides. Other URLs are allowed if their score is at least the largest one that at most
-    LOST per mille of the accepted URLs miss. Null and empty URLs have no characters and are allowed; so is everything
-    if the rules accept or reject nothing to learn from. Repeated rows give repeated results and count each in training.
+    The longest fitting rule decides. Other URLs are allowed if their score reaches the calibrated threshold. Null and
+    empty URLs have no characters and are allowed; so is everything if the rules accept or reject nothing to learn
+    from. Repeated rows give repeated results and count each in training and calibration.
     """
     url = F.col("url")
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     named = named.withColumns({"rule": rule, "ruled": verdict})
-    labelled = named.where("rule is not null").select(F.xxhash64("url").alias("key"), "url", (F.col("ruled") == "allow").alias("accepted"))
+    labelled = named.where("rule is not null").select("url", (F.col("ruled") == "allow").alias("accepted"), held_out(F.col("host")).alias("held"))
     # Rows without a url get a key of their own each, so that they don't meet in one task.
     out = named.withColumn("key", F.when(url.isNull(), F.xxhash64("page_id")).otherwise(F.xxhash64("url")))
-    grams, contexts = train(labelled.drop("key"))
+    grams, contexts = train(labelled.where("not held").drop("held"))
     first = grams[0].agg(F.sum("ga").alias("a"), F.sum("gr").alias("r")).first()
     if not first["a"] or not first["r"]:
         return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("bigint").alias("bin"))
-    accepted = labelled.where("accepted")
-    each = accepted.groupBy("key").agg(F.first("url").alias("url"), F.count("*").alias("n"))
-    bins = score(each.select("key", "url"), grams, contexts).join(each.select("key", "n"), "key").groupBy("bin").agg(F.sum("n").alias("n"))
-    # A score has bounded size, so the bins are few whatever the corpus.
-    by_bin = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    below = bins.select("bin", F.coalesce(F.sum("n").over(by_bin), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
-    threshold = below.where(F.col("below") * 1000 <= F.col("all") * LOST).agg(F.max("bin")).first()[0]
+    ones = [F.sum(F.when(F.col("accepted") == yes, 1).otherwise(0)).alias(n) for yes, n in ((True, "na"), (False, "nr"))]
+    each = labelled.where("held").groupBy(F.xxhash64("url").alias("key")).agg(F.first("url").alias("url"), *ones)
+    bins = score(each.select("key", "url"), grams, contexts).join(each.drop("url"), "key").groupBy("bin").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
+    threshold = calibrate(bins)
     open_urls = named.where("rule is null and url <> ''").select(F.xxhash64("url").alias("key"), "url").dropDuplicates(["key"])
     scored = score(open_urls, grams, contexts).repartition("bin")
     judged = out.join(scored, "key", "left").withColumn("bin", F.when(F.col("rule").isNull() & (url != ""), F.col("bin")))
