@@ -248,6 +248,71 @@ def test_licenses(spark):
     assert all(set(s) <= set(licenses.SENTENCES.values()) for _, s in licenses.RULES)
 
 
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Copyright (c) 2020, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_published_license_notices(spark):
+    """Standard notices as published: wrapped, in one line, and in comments."""
+    lgpl = GPL.replace("program", "library").replace("General", "Lesser General").replace(": you", "; you").replace(", either version 3", "; either version 2.1")
+    want = [(MIT, "MIT", True), (GPL, "GPL-3.0-or-later", False), (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later", False), (lgpl, "LGPL-2.1-or-later", False), (APACHE, "Apache-2.0", True), (BSD, "BSD-3-Clause", True), (BSD[: BSD.index("3. ")], "BSD-2-Clause", True)]
+    shapes = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "\n".join(f"# {x}" for x in t.split("\n")), lambda t: "/*\r\n" + "\r\n".join(f" * {x}" for x in t.split("\n")) + "\r\n */\r\nint x;"]
+    rows = [(i * 10 + k, f(t)) for i, (t, _, _) in enumerate(want) for k, f in enumerate(shapes)]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: (r.licenses, r.is_open, r.n_unmatched) for i, r in got.items()} == {i: (want[i // 10][1], want[i // 10][2], 0) for i, _ in rows}
+    other = [(1, "Permission is hereby granted, free of charge. To any person obtaining a copy\nof this software"), (2, "Not licensed\nunder the MIT License"), (3, "Licensed under\nthe MIT License\nand more")]
+    assert [r.licenses for r in scan_licenses(spark.createDataFrame(other, "doc_id bigint, text string")).orderBy("doc_id").collect()] == ["", "", "MIT"]
+
+
 def test_urls(spark):
     rows = [
         (1, "HTTP://Sub.Example.ORG/a?x#y", "sub.example.org", "/a", "org/", "allow"),
