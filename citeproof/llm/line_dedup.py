@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from citeproof.llm.lines import line_rows, row_key, without_places
 from citeproof.llm.runtime import cut
 
-#: Boilerplate is a line of at most LINE_WORDS words on SITES sites or more, in TEXTS different texts or more.
+#: Boilerplate is a line of any length on SITES sites or more, in TEXTS different texts or more; fewer texts are copies of
+#: whole documents, which would lose their own lines everywhere. LINE_WORDS is a bound of the SQL alone.
 LINE_WORDS, SITES, TEXTS = 40, 10, 20
 #: Buckets of a sketch (a power of two: 12 has a standard error of 1.6 %), and the share of a threshold, six such errors,
 #: within which a sketch doesn't decide.
@@ -37,7 +38,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
     # Lines are cut and hashed once; what is written is a small part of the texts.
-    lines = cut(line_rows(named).where(F.col("n_words") <= LINE_WORDS).select("row", "place", "site", "content", "line"))
+    lines = cut(line_rows(named).select("row", "place", "site", "content", "line"))
     spread = boilerplate(lines).repartition(F.xxhash64("line"))
     gone = lines.join(spread, "line").groupBy("row").agg(F.collect_set("place").alias("places"))
     joined = named.select("doc", "text", row_key("doc_id", "site", "text").alias("row")).join(gone, "row", "left")

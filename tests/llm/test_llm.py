@@ -204,6 +204,16 @@ def test_line_counts_near_the_thresholds_are_exact(spark):
         assert {r.n_removed for r in dedup_lines(spark.createDataFrame(rows, DDL)).collect()} == {wanted}
 
 
+def test_long_lines_are_boilerplate_too(spark):
+    footer = " ".join(f"legal{i}" for i in range(line_dedup.LINE_WORDS * 5))
+    rows = [(i, f"own line {i}\n{footer}\nend {i}", "en", f"s{i % 12}", 1) for i in range(48)] + [(99, f"{footer}\nx", "en", "s99", 1)]
+    # Copies of one text on many sites keep their lines.
+    rows += [(100 + i, f"{footer[5:]}\ncopy", "en", f"s{i % 12}", 1) for i in range(48)]
+    got = {r.doc.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, DDL)).collect()}
+    assert all(got[i].kept_text == f"own line {i}\nend {i}" for i in range(48)) and got[99].kept_text == "x"
+    assert all(got[100 + i].n_removed == 0 for i in range(48))
+
+
 def test_period():
     rnd = random.Random(9)
     for _ in range(50):
