@@ -10,9 +10,9 @@ from citeproof.llm.lines import line_rows, row_key, words_of
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-#: A line of at most LINE_WORDS words is above the limits of a host if more than DOCS different texts of the host have
-#: it and these are more than 1 / SHARE of the host's rows. Longer lines are passages, which other operators handle.
-LINE_WORDS, DOCS, SHARE = 40, 10, 200
+#: A line of any length is above the limits of a host if more than DOCS different texts of the host have it and these are
+#: more than 1 / SHARE of the host's different texts, or MANY at least. LINE_WORDS is a bound of the SQL alone.
+LINE_WORDS, DOCS, SHARE, MANY = 40, 10, 200, 1000
 #: A document is depleted if less than KEPT_PERCENT of its words, or fewer than KEPT_WORDS, are left.
 KEPT_PERCENT, KEPT_WORDS = 30, 5
 
@@ -60,10 +60,10 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(site, line) above the limits. Equal texts count as one document."""
-    counted = lines.where(F.col("n_words") <= LINE_WORDS).groupBy("site", "line").agg(F.count_distinct("content").alias("n_docs")).where(F.col("n_docs") > DOCS)
-    hosts = docs.groupBy("site").agg(F.count("*").alias("n_rows"))
-    return counted.join(hosts, "site").where(F.col("n_docs") * SHARE > F.col("n_rows")).select("site", "line")
+    """(site, line) above the limits. Equal texts count as one document, in a line's documents and in the host's."""
+    counted = lines.groupBy("site", "line").agg(F.count_distinct("content").alias("n_docs")).where(F.col("n_docs") > DOCS)
+    hosts = docs.groupBy("site").agg(F.count_distinct(F.xxhash64("text")).alias("n_texts"))
+    return counted.join(hosts, "site").where((F.col("n_docs") * SHARE > F.col("n_texts")) | (F.col("n_docs") >= MANY)).select("site", "line")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 def _frequent_words(named: DataFrame) -> DataFrame:
     """(row, n_frequent_words, n_all_words) of the rows that have lines above the limits."""
-    lines = line_rows(named, total=True).where(F.col("n_words") <= LINE_WORDS)
+    lines = line_rows(named, total=True)
     over = frequent_lines(lines, named).repartition(F.xxhash64("site", "line"))
     # Equal rows share their identity, so a place counts once.
     places = lines.join(over, ["site", "line"]).groupBy("row", "place").agg(F.max("n_words").alias("n"), F.max("total").alias("total"))

@@ -181,6 +181,24 @@ def test_quality_depletion(spark):
     assert {r.doc_id for r in keep_quality(df).collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_quality_depletion_on_a_skewed_host(spark, monkeypatch):
+    """Copies of one text don't hide a host's menu, long lines count, and many documents suffice in any host."""
+    rnd = random.Random(9)
+    own = lambda n: " ".join("".join(rnd.choice("klmnopqrst") for _ in range(6)) for _ in range(n))
+    menu, notice = own(30), own(90)
+    rows = [(i, f"{menu}\n{own(4)}") for i in range(45)] + [(100 + i, own(60)) for i in range(55)]
+    rows += [(1000 + i, "one text of ten words that is copied very often") for i in range(9900)]
+    other = [(20_000 + i, f"{notice}\n{own(4)}") for i in range(45)]
+    df = spark.createDataFrame([(i, t, "en", "hot", 1) for i, t in rows] + [(i, t, "en", "b", 1) for i, t in other], DDL)
+    got = {r.doc_id: r for r in judge(df).where("doc_id < 1000 or doc_id >= 20000").collect()}
+    assert all(got[i].n_frequent_words == 30 and not got[i].kept for i in range(45)) and all(got[100 + i].kept for i in range(55))
+    assert all(got[20_000 + i].n_frequent_words == 90 and not got[20_000 + i].kept for i in range(45))
+    monkeypatch.setattr(quality_rules, "SHARE", 1)
+    assert judge(df).where("n_frequent_words > 0").isEmpty()
+    monkeypatch.setattr(quality_rules, "MANY", 45)
+    assert judge(df).where("n_frequent_words > 0").count() == 90
+
+
 def test_quality_filter_keeps_columns(spark):
     # keep_quality is slow on texts of thousands of words in one run (see README, open points).
     df = docs(spark, [(i, t) for i, t in texts() if len(t or "") < 2500])
