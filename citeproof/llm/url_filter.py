@@ -2,8 +2,8 @@
 
 Two variable-order Markov models, one for accepted and one for rejected URLs, learn from the URLs that a rule decides, but
 for those of about a quarter of the hosts, which calibrate the threshold: a model tells little about URLs it has seen.
-A context is kept only if it is frequent enough, which bounds the models whatever the corpus: at most 1 / LEAST_SHARE
-grams of each order. Orders are interpolated: p_k(c) = (n(context, c) + A * p_(k-1)(c)) / (n(context) + A). A URL's score
+Every gram seen counts, so the models grow with the corpus: they are looked up by shuffled joins, once for each different
+window of characters. Orders are interpolated: p_k(c) = (n(context, c) + A * p_(k-1)(c)) / (n(context) + A). A URL's score
 is its mean log-likelihood difference a character.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from citeproof.llm.runtime import cut
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Characters of context, the smoothing weight A, the share of all characters that a kept gram has at least, symbols of
-#: the alphabet, bins of a score's unit, and the first hexadecimal digits of a host's MD5 that keep it for calibration.
+#: Characters of context, the smoothing weight A, the share of all characters from which a window is common (at most
+#: 1 / LEAST_SHARE are, which are broadcast; the others meet their URLs in a shuffle), symbols of the alphabet, bins of a score's unit, and the first hexadecimal digits of a host's MD5 that keep it for calibration.
 ORDER, A, LEAST_SHARE, SYMBOLS, BINS, HELD = 4, 2.0, 1 / 20_000, 64, 1000, "0123"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START = "^"
@@ -58,41 +58,55 @@ def _windows(urls: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """For each order the kept grams (gram, ga, gr) and contexts (context, ca, cr) with their counts in accepted and rejected URLs.
+    """For each order the grams (gram, ga, gr) and contexts (context, ca, cr) with their counts in accepted and rejected URLs.
 
-    labelled: (url, accepted boolean), each row counting once. Every labelled URL counts.
+    labelled: (url, accepted boolean), each row counting once. Every labelled URL and every gram counts.
     """
     ones = [F.sum(F.when(F.col("accepted") == yes, 1).otherwise(0)).alias(n) for yes, n in ((True, "na"), (False, "nr"))]
     counts = cut(_windows(labelled).groupBy("window").agg(*ones))
-    total = counts.agg(F.sum(F.col("na") + F.col("nr"))).first()[0] or 0
     grams, contexts = [], []
     for k in range(1, ORDER + 2):
-        kept = counts.groupBy(F.substring("window", ORDER + 2 - k, k).alias("gram")).agg(F.sum("na").alias("ga"), F.sum("nr").alias("gr")).where(F.col("ga") + F.col("gr") >= max(1.0, total * LEAST_SHARE))
-        kept = cut(kept)
-        grams.append(kept)
-        contexts.append(kept.groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("ga").alias("ca"), F.sum("gr").alias("cr")))
+        seen = counts.groupBy(F.substring("window", ORDER + 2 - k, k).alias("gram")).agg(F.sum("na").alias("ga"), F.sum("nr").alias("gr"))
+        grams.append(seen)
+        contexts.append(counts.groupBy(F.substring("window", ORDER + 2 - k, k - 1).alias("context")).agg(F.sum("na").alias("ca"), F.sum("nr").alias("cr")))
     return grams, contexts
 
 
-def score(urls: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
-    """(key, bin): the mean log-likelihood difference a character of urls (key, url), in whole BINS-ths, rounded down.
+def ratios(windows: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """windows (window, ...) with ratio, the log-likelihood difference of the last character.
 
-    The models are broadcast: they have at most 1 / LEAST_SHARE rows an order.
+    Only what the alphabet bounds is broadcast: grams and contexts of two characters at most.
     """
-    rows = _windows(urls)
+    rows = windows
     pa = pr = F.lit(1.0 / SYMBOLS)
+    small = lambda df, length: F.broadcast(df) if length <= 2 else df
     for k, (gram, context) in enumerate(zip(grams, contexts, strict=True), 1):
         g = gram.select(F.col("gram").alias(f"g{k}"), F.col("ga").alias(f"ga{k}"), F.col("gr").alias(f"gr{k}"))
         c = context.select(F.col("context").alias(f"c{k}"), F.col("ca").alias(f"ca{k}"), F.col("cr").alias(f"cr{k}"))
         rows = rows.withColumns({f"g{k}": F.substring("window", ORDER + 2 - k, k), f"c{k}": F.substring("window", ORDER + 2 - k, k - 1)})
-        rows = rows.join(F.broadcast(g), f"g{k}", "left").join(F.broadcast(c), f"c{k}", "left").drop(f"g{k}", f"c{k}")
+        rows = rows.join(small(g, k), f"g{k}", "left").join(small(c, k - 1), f"c{k}", "left").drop(f"g{k}", f"c{k}")
         seen = lambda n, old: (F.coalesce(n, F.lit(0)) + A * old)
         known = F.col(f"ca{k}").isNotNull()
         rows = rows.withColumns({f"pa{k}": F.when(known, seen(F.col(f"ga{k}"), pa) / (F.col(f"ca{k}") + A)).otherwise(pa), f"pr{k}": F.when(known, seen(F.col(f"gr{k}"), pr) / (F.col(f"cr{k}") + A)).otherwise(pr)})
         rows = rows.drop(f"ga{k}", f"gr{k}", f"ca{k}", f"cr{k}", *[f"{x}{k - 1}" for x in ("pa", "pr") if k > 1])
         pa, pr = F.col(f"pa{k}"), F.col(f"pr{k}")
-    mean = F.sum(F.log(pa) - F.log(pr)) / F.count("*")
-    return rows.groupBy("key").agg(F.floor(mean * BINS).cast("bigint").alias("bin"))
+    return rows.select(*windows.columns, (F.log(pa) - F.log(pr)).alias("ratio"))
+
+
+def score(urls: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(key, bin): the mean log-likelihood difference a character of urls (key, url), in whole BINS-ths, rounded down."""
+    rows = _windows(urls.select("key", "url"))
+    rated = cut(ratios(rows.groupBy("window").agg(F.count("*").alias("n")), grams, contexts))
+    total = rated.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(rated.where(F.col("n") >= total * LEAST_SHARE).select("window", "ratio"))
+    rare = rated.where(F.col("n") < total * LEAST_SHARE).select("window", "ratio")
+    sums = [F.sum("ratio").alias("ratio"), F.count("*").alias("chars")]
+    parts = rows.join(common, "window").groupBy("key").agg(*sums)
+    if not rare.isEmpty():
+        left = rows.join(common.select("window"), "window", "left_anti").join(rare, "window")
+        parts = parts.unionByName(left.groupBy("key").agg(*sums))
+    mean = F.sum("ratio") / F.sum("chars")
+    return parts.groupBy("key").agg(F.floor(mean * BINS).cast("bigint").alias("bin"))
 
 
 def held_out(host: Column) -> Column:
@@ -134,11 +148,12 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col:
     first = grams[0].agg(F.sum("ga").alias("a"), F.sum("gr").alias("r")).first()
     if not first["a"] or not first["r"]:
         return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("bigint").alias("bin"))
-    ones = [F.sum(F.when(F.col("accepted") == yes, 1).otherwise(0)).alias(n) for yes, n in ((True, "na"), (False, "nr"))]
-    each = labelled.where("held").groupBy(F.xxhash64("url").alias("key")).agg(F.first("url").alias("url"), *ones)
-    bins = score(each.select("key", "url"), grams, contexts).join(each.drop("url"), "key").groupBy("bin").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
+    ones = [F.sum(F.when(F.col("ruled") == kind, 1).otherwise(0)).alias(n) for kind, n in (("allow", "na"), ("block", "nr"))]
+    # A URL has one rule or none: those that calibrate and those to be judged are scored together.
+    each = cut(named.where((F.col("url") != "") & (F.col("rule").isNull() | held_out(F.col("host")))).groupBy(F.xxhash64("url").alias("key")).agg(F.first("url").alias("url"), *ones))
+    scored = cut(score(each, grams, contexts))
+    bins = scored.join(each.where("na + nr > 0").select("key", "na", "nr"), "key").groupBy("bin").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
     threshold = calibrate(bins)
-    open_urls = named.where("rule is null and url <> ''").select(F.xxhash64("url").alias("key"), "url").dropDuplicates(["key"])
-    scored = score(open_urls, grams, contexts).repartition("bin")
+    scored = scored.repartition("key")
     judged = out.join(scored, "key", "left").withColumn("bin", F.when(F.col("rule").isNull() & (url != ""), F.col("bin")))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bin") < threshold, "block").otherwise("allow")).alias("verdict"), "bin")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citeproof.llm import licenses, line_dedup, mixing, quality_rules, sql
+from citeproof.llm import licenses, line_dedup, mixing, quality_rules, sql, url_filter
 from citeproof.llm.bpe import Codec, encode_decode
 from citeproof.llm.components import components
 from citeproof.llm.embedding_dedup import dedup_embeddings
@@ -378,6 +378,22 @@ def test_url_model_learns(spark):
     assert right >= 72
 
 
+def test_url_model_keeps_rare_grams(spark, monkeypatch):
+    """Grams below any share of the characters count, whether their windows are common or rare."""
+    urls = [(i, f"https://news{i % 40}.example.org/fr/{'abc' * 9}{i}") for i in range(400)] + [(1000 + i, f"https://s{i % 40}.win.com/de/{'abc' * 9}{i}") for i in range(400)]
+    urls += [(2000, "https://k.example.net/qzxjv"), (2001, "https://zqjxw.win.com/de/qzxjv")]
+    df = spark.createDataFrame(urls, "page_id bigint, url string")
+    labelled = df.where("page_id <> 2000").select("url", (F.col("page_id") < 1000).alias("accepted"))
+    assert {(r.ga, r.gr) for r in url_filter.train(labelled)[0][-1].where("gram in ('/qzxj', 'qzxjv')").collect()} == {(0, 1)}
+    model = url_filter.train(labelled)
+    keyed = df.select(F.col("page_id").alias("key"), "url")
+    counts = []
+    for share in (url_filter.LEAST_SHARE, 1 / 50, 2.0):
+        monkeypatch.setattr(url_filter, "LEAST_SHARE", share)
+        counts.append({r.key: r.bin for r in url_filter.score(keyed, *model).collect()})
+    assert len(counts[0]) == len(urls) and all(abs(c[k] - v) <= 1 for c in counts for k, v in counts[0].items())
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DDL)
     for f in (dedup_substrings, dedup_suffixes, dedup_minhash, judge, keep_quality, dedup_lines, mix_sources, scan_licenses):
