@@ -9,8 +9,8 @@ from citeproof.llm.lines import line_rows, row_key, without_places
 from citeproof.llm.runtime import cut
 
 #: Boilerplate is a line of any length on SITES sites or more, in TEXTS different texts or more; fewer texts are copies of
-#: whole documents, which would lose their own lines everywhere. LINE_WORDS is a bound of the SQL alone.
-LINE_WORDS, SITES, TEXTS = 40, 10, 20
+#: whole documents, which would lose their own lines everywhere.
+SITES, TEXTS = 10, 20
 #: Buckets of a sketch (a power of two: 12 has a standard error of 1.6 %), and the share of a threshold, six such errors,
 #: within which a sketch doesn't decide.
 LOG_BUCKETS, BAND = 12, 0.1

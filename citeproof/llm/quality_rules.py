@@ -5,111 +5,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeproof.llm.lines import line_rows, row_key, words_of
+from citeproof.llm.lines import fenced, let, line_rows, row_key, without_places, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 #: A line of any length is above the limits of a host if more than DOCS different texts of the host have it and these are
-#: more than 1 / SHARE of the host's different texts, or MANY at least. LINE_WORDS is a bound of the SQL alone.
-LINE_WORDS, DOCS, SHARE, MANY = 40, 10, 200, 1000
+#: more than 1 / SHARE of the host's different texts, or MANY at least.
+DOCS, SHARE, MANY = 10, 200, 1000
 #: A document is depleted if less than KEPT_PERCENT of its words, or fewer than KEPT_WORDS, are left.
 KEPT_PERCENT, KEPT_WORDS = 30, 5
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, each from whole texts, without a shuffle.
+def _repeated(words: Column) -> Column:
+    """How many words stand in WINDOW-word windows that are found twice or more.
 
-    Words in repeated windows: the windows' hashes are sorted with their places only in texts where two are equal;
-    equal neighbours give the places, and the places' windows are added up without what overlaps.
+    The windows' hashes are sorted with their places, and only in texts where two are equal; equal neighbours give the
+    places, and the places' windows are added up without what overlaps.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    staged = docs.withColumns({"_w": words_of(F.col(text)), "_l": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-
-    def windows() -> Column:
-        w, n = F.col("_w"), F.size("_w")
-        hashed = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-        return F.when(n >= WINDOW, hashed).otherwise(F.expr("array()").cast("array<bigint>"))
-
-    staged = staged.withColumn("_g", windows())
-    ranked = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    staged = staged.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), ranked))
-
-    def repeated() -> Column:
-        s = F.col("_s")
-        h = lambda k: F.get(s, k)["h"]
-        places = F.transform(s, lambda x, k: F.when(h(k - 1).eqNullSafe(x["h"]) | h(k + 1).eqNullSafe(x["h"]), x["i"]))
+    n = F.size(words)
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+    h = lambda ranked, k: F.get(ranked, k)["h"]
+
+    def covered(ranked: Column) -> Column:
+        places = F.transform(ranked, lambda x, k: F.when(h(ranked, k - 1).eqNullSafe(x["h"]) | h(ranked, k + 1).eqNullSafe(x["h"]), x["i"]))
         start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end"))
-        covered = F.aggregate(
-            F.sort_array(F.filter(places, lambda x: x.isNotNull())),
-            start,
-            lambda a, x: F.struct((a["n"] + x + WINDOW - F.greatest(x, a["end"])).alias("n"), (x + WINDOW).alias("end")),
-            lambda a: a["n"],
+        add = lambda a, x: F.struct((a["n"] + x + WINDOW - F.greatest(x, a["end"])).alias("n"), (x + WINDOW).alias("end"))
+        return F.aggregate(F.sort_array(F.filter(places, lambda x: x.isNotNull())), start, add, lambda a: a["n"])
+
+    def of_windows(g: Column) -> Column:
+        ranked = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(g)) < F.size(g), let(ranked, covered)).otherwise(F.lit(0).cast("bigint"))
+
+    return F.when(n >= WINDOW, let(hashes, of_windows)).otherwise(F.lit(0).cast("bigint"))
+
+
+def base_counts(text: Column) -> Column:
+    """A struct of COUNTS for a whole text, fenced: a filter on what it gives stays above it. A null text is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("word_chars"),
+            F.regexp_count(whole, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            _repeated(w).alias("n_repeat_words"),
         )
-        return F.when(s.isNull(), F.lit(0).cast("bigint")).otherwise(covered)
 
-    return staged.withColumns(
-        {
-            "n_words": F.size("_w").cast("bigint"),
-            "word_chars": F.aggregate("_w", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)),
-            "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("bigint"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
-            "n_repeat_words": repeated(),
-        }
-    ).drop("_w", "_l", "_g", "_s")
+    return fenced(let(words_of(text), of_words))
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(site, line) above the limits. Equal texts count as one document, in a line's documents and in the host's."""
     counted = lines.groupBy("site", "line").agg(F.count_distinct("content").alias("n_docs")).where(F.col("n_docs") > DOCS)
-    hosts = docs.groupBy("site").agg(F.count_distinct(F.xxhash64("text")).alias("n_texts"))
+    hosts = docs.groupBy("site").agg(F.count_distinct(F.when(F.col("text").isNotNull(), F.xxhash64("text"))).alias("n_texts"))
     return counted.join(hosts, "site").where((F.col("n_docs") * SHARE > F.col("n_texts")) | (F.col("n_docs") >= MANY)).select("site", "line")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
+    return docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
 
 
-def _frequent_words(named: DataFrame) -> DataFrame:
-    """(row, n_frequent_words, n_all_words) of the rows that have lines above the limits."""
-    lines = line_rows(named, total=True)
+def _frequent(named: DataFrame) -> DataFrame:
+    """(row, n_frequent_words, places) of the rows that have lines above the limits: how many words these have, and where they are."""
+    lines = line_rows(named)
     over = frequent_lines(lines, named).repartition(F.xxhash64("site", "line"))
     # Equal rows share their identity, so a place counts once.
-    places = lines.join(over, ["site", "line"]).groupBy("row", "place").agg(F.max("n_words").alias("n"), F.max("total").alias("total"))
-    return places.groupBy("row").agg(F.sum("n").alias("n_frequent_words"), F.max("total").alias("n_all_words"))
+    found = lines.join(over, ["site", "line"]).groupBy("row", "place").agg(F.max("n_words").alias("n"))
+    return found.groupBy("row").agg(F.sum("n").alias("n_frequent_words"), F.collect_list("place").alias("places"))
 
 
 def _failed() -> Column:
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
-def _depleted(n_words: Column, gone: Column) -> Column:
-    return (n_words - gone < KEPT_WORDS) | ((n_words - gone) * 100 < n_words * KEPT_PERCENT)
+def _depleted() -> Column:
+    left = F.col("n_words") - F.coalesce("n_frequent_words", F.lit(0))
+    return (left < KEPT_WORDS) | (left * 100 < F.col("n_words") * KEPT_PERCENT)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words, kept.
+    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    n_frequent_words and n_frequent_lines (lines above the limits of the host, which keep_quality removes), kept.
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated windows. A document that passes is
     kept unless lines above the limits of its host leave too little of it. A null text has no words and fails; rows
     without a host are one host; equal rows get equal results; only the three named columns are read.
     """
-    named = _named(docs, id_col, text_col, host_col)
-    base = base_columns(named.withColumn("row", row_key("doc_id", "site", "text"))).drop("text", "site")
-    out = base.join(_frequent_words(named), "row", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)).cast("bigint"))
-    kept = ~_failed() & ~_depleted(F.col("n_words"), F.col("n_frequent_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"), "n_frequent_words", kept.alias("kept"))
+    named = _named(docs.select(id_col, text_col, host_col), id_col, text_col, host_col)
+    base = named.select("doc_id", row_key("doc_id", "site", "text").alias("row"), base_counts(F.col("text")).alias("base")).select("doc_id", "row", "base.*")
+    out = base.join(_frequent(named), "row", "left")
+    words, lines = F.coalesce("n_frequent_words", F.lit(0)).cast("bigint"), F.coalesce(F.size("places"), F.lit(0)).cast("bigint")
+    return out.select("doc_id", *COUNTS, _failed().alias("base_failed"), words.alias("n_frequent_words"), lines.alias("n_frequent_lines"), (~_failed() & ~_depleted()).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that quality_rules keeps, with their columns as they are.
+    """(doc, kept_text, n_removed) for the rows of docs that quality_rules keeps: the whole row as a struct, its text
+    without the lines above the limits of its host, and how many lines went.
 
-    Texts are judged where they are read; only rows that frequent lines deplete, which are few, are looked up.
+    Texts are judged where they are read; those that pass meet their frequent lines once.
     """
     named = _named(docs, id_col, text_col, host_col)
-    depleted = _frequent_words(named).where(_depleted(F.col("n_all_words"), F.col("n_frequent_words"))).select("row")
-    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).alias("text"))
-    judged = base_columns(whole.withColumn("row", row_key("doc_id", "site", "text")))
-    # The verdict passes a generator, which no filter is pushed below: else the counts would be worked out inside each other.
-    passed = judged.select("doc", "row", F.explode(F.array(_failed())).alias("failed")).where("not failed")
-    return passed.select("doc", "row").join(depleted, "row", "left_anti").select("doc.*")
+    judged = named.select("doc", row_key("doc_id", "site", "text").alias("row"), "text", base_counts(F.col("text")).alias("base")).select("doc", "row", "text", "base.n_words", "base.n_repeat_words")
+    passed = judged.where(~_failed()).drop("n_repeat_words").join(_frequent(named), "row", "left").where(~_depleted())
+    return passed.select("doc", without_places(F.col("text"), F.col("places")).alias("kept_text"), F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias("n_removed"))

@@ -1,8 +1,8 @@
-"""DuckDB SQL for the queries that SQL can express, over the whole tables."""
+"""DuckDB SQL for the queries that SQL can express, over the whole tables. Limits are written out here, not taken from the operators."""
 
 from __future__ import annotations
 
-from citeproof.llm import licenses, line_dedup, mixing, quality_rules, url_filter
+from citeproof.llm import licenses, mixing, url_filter
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,12 +34,12 @@ lines AS (SELECT *, len(string_split(norm, ' ')) AS n_words FROM named WHERE nor
 
 
 def op2() -> str:
-    q = quality_rules
     return f"""
 WITH {_lines('source')},
-counted AS (SELECT site, norm FROM lines JOIN (SELECT site, count(*) AS n_rows FROM docs GROUP BY site) h USING (site)
-  WHERE n_words <= {q.LINE_WORDS} GROUP BY site, norm, n_rows HAVING count(DISTINCT text) > {q.DOCS} AND count(DISTINCT text) * {q.SHARE} > n_rows),
-gone AS (SELECT id, sum(n_words) AS n FROM lines JOIN counted USING (site, norm) WHERE n_words <= {q.LINE_WORDS} GROUP BY id),
+hosts AS (SELECT site, count(DISTINCT text) AS n_texts FROM docs GROUP BY site),
+counted AS (SELECT site, norm FROM lines JOIN hosts USING (site) GROUP BY site, norm, n_texts
+  HAVING count(DISTINCT text) > 10 AND (count(DISTINCT text) * 200 > n_texts OR count(DISTINCT text) >= 1000)),
+gone AS (SELECT id, sum(n_words) AS n, count(*) AS n_lines FROM lines JOIN counted USING (site, norm) GROUP BY id),
 dup AS (SELECT id, sum(n - 1) AS n FROM (SELECT id, raw, count(*) AS n FROM lines GROUP BY id, raw) GROUP BY id),
 w AS (SELECT id, regexp_extract_all(text, '{WORD}') AS words FROM docs WHERE text IS NOT NULL),
 each AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
@@ -47,12 +47,12 @@ win AS (SELECT id, i, word, lead(word, 4) OVER o AS last, [word, lead(word, 1) O
 marked AS (SELECT id, i, last IS NOT NULL AND count(*) OVER (PARTITION BY id, five) > 1 AS hit FROM win),
 rep AS (SELECT id, sum(CAST(covered AS BIGINT)) AS n FROM (SELECT id, bool_or(hit) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM marked) GROUP BY id),
 base AS (SELECT id, doc_id, CAST(coalesce(len(words), 0) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-  CAST(coalesce(length(text) - length(regexp_replace(text, '{q.SYMBOLS}', '', 'g')), 0) AS BIGINT) AS n_symbols FROM docs LEFT JOIN w USING (id)),
-alls AS (SELECT base.*, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_frequent_words
+  CAST(coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0) AS BIGINT) AS n_symbols FROM docs LEFT JOIN w USING (id)),
+alls AS (SELECT base.*, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_frequent_words, CAST(coalesce(gone.n_lines, 0) AS BIGINT) AS n_frequent_lines
   FROM base LEFT JOIN dup USING (id) LEFT JOIN rep USING (id) LEFT JOIN gone USING (id)),
 failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM alls)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words,
-  NOT base_failed AND NOT (n_words - n_frequent_words < {q.KEPT_WORDS} OR (n_words - n_frequent_words) * 100 < n_words * {q.KEPT_PERCENT}) AS kept FROM failed"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words, n_frequent_lines,
+  NOT base_failed AND NOT (n_words - n_frequent_words < 5 OR (n_words - n_frequent_words) * 100 < n_words * 30) AS kept FROM failed"""
 
 
 def op3() -> str:
@@ -113,11 +113,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bin < coalesce((SE
 
 
 def op8() -> str:
-    d = line_dedup
     return f"""
 WITH {_lines('source')},
-spread AS (SELECT norm FROM lines WHERE n_words <= {d.LINE_WORDS} GROUP BY norm HAVING count(DISTINCT site) >= {d.SITES} AND count(DISTINCT text) >= {d.TEXTS}),
-left_ AS (SELECT id, string_agg(raw, chr(10) ORDER BY place) AS kept, count(*) AS n FROM named WHERE NOT (norm <> '' AND len(string_split(norm, ' ')) <= {d.LINE_WORDS} AND norm IN (SELECT norm FROM spread)) GROUP BY id)
+spread AS (SELECT norm FROM lines GROUP BY norm HAVING count(DISTINCT site) >= 10 AND count(DISTINCT text) >= 20),
+left_ AS (SELECT id, string_agg(raw, chr(10) ORDER BY place) AS kept, count(*) AS n FROM named WHERE NOT (norm <> '' AND norm IN (SELECT norm FROM spread)) GROUP BY id)
 SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines,
   CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) - coalesce(n, 0) END AS BIGINT) AS n_removed,
   sha256(CASE WHEN text IS NULL THEN '' ELSE coalesce(kept, '') END) AS kept_sha256

@@ -116,3 +116,57 @@ def base(text):
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
     n = len(words)
     return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit), n < 10 or 100 * len(hit) > 20 * n)
+
+
+def _lines(text):
+    """(place, normalized line, words) of the lines with a word."""
+    found = [(k, re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()) for k, x in enumerate((text or "").split("\n"))]
+    return [(k, x, x.count(" ") + 1) for k, x in found if x]
+
+
+def _without(text, gone):
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+
+
+def quality(rows):
+    """rows: (doc_id, text, host). For each row (kept, text without the lines above the limits, lines removed)."""
+    texts, hosts = defaultdict(set), defaultdict(set)
+    for _, t, h in rows:
+        if t is not None:
+            hosts[h].add(t)
+            for _, line, _ in _lines(t):
+                texts[h, line].add(t)
+    over = {k for k, v in texts.items() if len(v) > 10 and (len(v) * 200 > len(hosts[k[0]]) or len(v) >= 1000)}
+    out = []
+    for _, t, h in rows:
+        gone = {k: n for k, line, n in _lines(t) if (h, line) in over}
+        n = base(t)[0]
+        left = n - sum(gone.values())
+        out.append((not base(t)[-1] and left >= 5 and left * 100 >= n * 30, t if not gone else _without(t, gone), len(gone)))
+    return out
+
+
+def boilerplate(rows):
+    """rows: (doc_id, text, site). Each text without the lines on 10 sites and in 20 texts or more."""
+    sites, texts = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        for _, line, _ in _lines(t):
+            sites[line].add(s)
+            texts[line].add(t)
+    out = []
+    for _, t, _ in rows:
+        gone = {k for k, line, _ in _lines(t) if len(sites[line]) >= 10 and len(texts[line]) >= 20}
+        out.append(t if not gone else _without(t, gone))
+    return out
+
+
+def schedule(weights, slots):
+    """The source of each slot: of the blocks released, the one due first, ties by name; worked out slot by slot."""
+    total, done, out = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        ready = [(-(-(k + 1) * total // weights[s]), s) for s, k in done.items() if k * total // weights[s] <= t]
+        due, s = min(ready)
+        assert due > t
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
