@@ -14,20 +14,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
-_NO_ID = -(2**62)
+from citeproof.llm.runtime import cut
+
+#: A chunk is told by its place in the order of ids, and by a part where rows of one id (or none) are too many for a task.
+CHUNK, PART = "_chunk", "_part"
+KEY = [CHUNK, PART]
+KEY_DDL = f"{CHUNK} bigint, {PART} bigint"
+#: A chunk with so many times the rows asked for is dealt anew; so many at most are broadcast for that.
+HEAVY, FEW = 4, 20_000
+_NO_ID = -(2**63)
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, docs_per_chunk: int) -> DataFrame:
-    """(doc_id, text, chunk). Chunks are equal ranges of ids, of docs_per_chunk rows where ids are spread evenly.
+    """(doc_id, text, _chunk, _part). Chunks are ranges of ids, of about docs_per_chunk rows however the ids lie.
 
-    Rows without an id go to chunks of their own, spread by their text.
+    Ids are cut into equal ranges first; ranges that hold too many rows, as ids stand close together, are cut again by
+    their own bounds. Rows of one id are parted by their texts, rows without an id by their place in the input.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    width = max(1, ((high - low + 1) * docs_per_chunk) // n) if n else 1
-    no_id = F.lit(_NO_ID) + F.pmod(F.xxhash64(text_col), F.lit(2**20))
-    chunk: Column = F.when(F.col(id_col).isNull(), no_id).otherwise(F.expr(f"cast(`{id_col}` as bigint) div {min(width, 2**62)}L"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), chunk.alias(CHUNK))
+    i = F.col(id_col).cast("bigint")
+    ids = docs.select(i.alias("id")).where("id is not null")
+    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    if not n:
+        low = high = 0
+    span = F.lit(min(2**62, max(1, (high - low + 1) * docs_per_chunk // max(n, 1)))).cast("bigint")
+
+    def start(x: Column, lo: Column, width: Column) -> Column:
+        # In decimals, as the distance of two ids may be over a bigint's.
+        return x - ((x.cast("decimal(38,0)") - lo.cast("decimal(38,0)")) % width.cast("decimal(38,0)")).cast("bigint")
+
+    cells = ids.select("id", start(F.col("id"), F.lit(low).cast("bigint"), span).alias(CHUNK))
+    splits, one = [], F.lit(1).cast("bigint")
+    while True:
+        counted = cells.groupBy(CHUNK).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("n") > HEAVY * docs_per_chunk)
+        width = F.greatest(F.lit(1), F.expr(f"cast(least((cast(hi as decimal(38,0)) - lo + 1) * {docs_per_chunk} div n, {2**62}) as bigint)"))
+        heavy = cut(counted.select(CHUNK, F.col("lo").alias("_lo"), width.alias("_width"), F.when(F.col("lo") == F.col("hi"), F.ceil(F.col("n") / docs_per_chunk)).otherwise(one).cast("bigint").alias("_parts")))
+        many = heavy.count()
+        if many:
+            splits.append(F.broadcast(heavy) if many <= FEW else heavy)
+        if heavy.where("_parts = 1").isEmpty():
+            break
+        cells = _split(cells, splits[-1], "id", start)
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), start(i, F.lit(low).cast("bigint"), span).alias(CHUNK), F.lit(0).cast("bigint").alias(PART))
+    for heavy in splits:
+        out = _split(out, heavy, "doc_id", start, F.xxhash64("text"))
+    no_id = F.col("doc_id").isNull()
+    return out.withColumns({CHUNK: F.when(no_id, F.lit(_NO_ID)).otherwise(F.col(CHUNK)), PART: F.when(no_id, F.expr(f"monotonically_increasing_id() div {docs_per_chunk}")).otherwise(F.col(PART))})
+
+
+def _split(rows: DataFrame, heavy: DataFrame, id_col: str, start: Callable, salt: Column | None = None) -> DataFrame:
+    joined = rows.join(heavy, CHUNK, "left")
+    new = {CHUNK: F.when(F.col("_lo").isNotNull(), start(F.col(id_col), F.col("_lo"), F.col("_width"))).otherwise(F.col(CHUNK))}
+    if salt is not None:
+        new[PART] = F.when(F.col("_parts") > 1, F.pmod(salt, F.col("_parts"))).otherwise(F.col(PART))
+    return joined.withColumns(new).drop("_lo", "_width", "_parts").select(rows.columns)
+
+
+def key_columns(key: tuple, n: int) -> dict[str, pa.Array]:
+    return {c: pa.array([k] * n, pa.int64()) for c, k in zip(KEY, key, strict=True)}
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -39,29 +82,37 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(">u8").reshape(-1).astype(np.uint64)
 
 
+def late_of(order: np.ndarray, new: np.ndarray, owner_chunk: np.ndarray) -> np.ndarray:
+    """Of entries in order, in classes that begin where new says, those whose chunk is after the first chunk of their class."""
+    if not len(order):
+        return order
+    chunk = owner_chunk[order]
+    starts = np.flatnonzero(new)
+    return order[chunk > np.minimum.reduceat(chunk, starts)[np.cumsum(new) - 1]]
+
+
 def earlier_elsewhere(chunks: DataFrame, keys_of: Callable[[pa.Table], np.ndarray], buckets: int, any_other: bool = False) -> DataFrame:
-    """(chunk, at): for each chunk the places, in the sorted distinct keys that keys_of gives for it, of keys that an earlier chunk has too.
+    """(chunk, part, at): for each chunk the places, in the sorted distinct keys that keys_of gives for it, of keys that an earlier chunk has too.
 
     any_other: of keys that any other chunk has, so that the earliest is told as well.
     """
     bits = buckets.bit_length() - 1
 
-    def send(group: pa.Table) -> pa.Table:
+    def send(key: tuple, group: pa.Table) -> pa.Table:
         keys = keys_of(group)
-        edges = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), np.arange(buckets + 1, dtype=np.uint64))
-        full = np.flatnonzero(edges[1:] > edges[:-1])
-        chunk = group.column(CHUNK)[0].as_py()
+        of = (keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = np.append(starts[1:], len(keys))[: len(starts)]
         return pa.table(
             {
-                "bucket": pa.array(full, pa.int32()),
-                CHUNK: pa.array([chunk] * len(full), pa.int64()),
-                "base": pa.array(edges[full], pa.int32()),
-                "packed": pa.array([_pack(keys[edges[b] : edges[b + 1]]) for b in full], pa.binary()),
+                "bucket": pa.array(of[starts], pa.int64()),
+                **key_columns([k.as_py() for k in key], len(starts)),
+                "base": pa.array(starts, pa.int32()),
+                "packed": pa.array([_pack(keys[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
             }
         )
 
     def answer(group: pa.Table) -> pa.Table:
-        group = group.sort_by(CHUNK)
         parts = [_unpack(x.as_py()) for x in group.column("packed")]
         sizes = np.array([len(x) for x in parts])
         keys = np.concatenate(parts)
@@ -69,21 +120,25 @@ def earlier_elsewhere(chunks: DataFrame, keys_of: Callable[[pa.Table], np.ndarra
         place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(group.column("base").to_numpy(), sizes)
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
-        same = ranked[1:] == ranked[:-1]
-        told = np.append(False, same)
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
         if any_other:
-            told[:-1] |= same
-        late = order[told]
+            late = order[~(new & np.append(new[1:], True))]
+        else:
+            late = late_of(order, new, group.column(CHUNK).to_numpy()[owner])
         late.sort()
-        edges = np.searchsorted(owner[late], np.arange(len(parts) + 1))
-        full = np.flatnonzero(edges[1:] > edges[:-1])
-        chunks_ = group.column(CHUNK).to_numpy()
-        return pa.table(
-            {CHUNK: pa.array(chunks_[full], pa.int64()), "at": pa.array([place[late[edges[i] : edges[i + 1]]].astype(np.uint32).tobytes() for i in full], pa.binary())}
-        )
+        return told(group, owner, place, late)
+
+    sent = chunks.groupBy(*KEY).applyInArrow(send, f"bucket bigint, {KEY_DDL}, base int, packed binary")
+    return sent.groupBy("bucket").applyInArrow(answer, f"{KEY_DDL}, at binary")
+
 
-    sent = chunks.groupBy(CHUNK).applyInArrow(send, f"bucket int, {CHUNK} bigint, base int, packed binary")
-    return sent.groupBy("bucket").applyInArrow(answer, f"{CHUNK} bigint, at binary")
+def told(group: pa.Table, owner: np.ndarray, place: np.ndarray, late: np.ndarray) -> pa.Table:
+    """The answer to each row of group about its places among late, which is sorted by owner."""
+    edges = np.searchsorted(owner[late], np.arange(group.num_rows + 1))
+    full = np.flatnonzero(edges[1:] > edges[:-1])
+    columns = {c: group.column(c).take(pa.array(full)) for c in KEY}
+    return pa.table({**columns, "at": pa.array([place[late[edges[i] : edges[i + 1]]].astype(np.uint32).tobytes() for i in full], pa.binary())})
 
 
 def places(replies: pa.Table) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,19 +12,42 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the reliable checkpoint folder, with their lineage cut.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one machine) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Where none is set, a session on one machine (tests) gets a temporary
+    one; on a cluster, where other machines could not see such a folder, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not (context.master or "").partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def cut_few(df: DataFrame, rows_per_task: int = 500_000) -> DataFrame:
-    """cut(df), in as many partitions as its rows call for; for what is far smaller than the documents."""
+def cut_few(df: DataFrame, rows_per_task: int = 500_000, size: str = "1") -> DataFrame:
+    """cut(df), in as many partitions as its rows call for (a task for each core at least); for what is far smaller than
+    the documents. size: SQL for what a row counts."""
     done = cut(df)
-    return done.coalesce(max(8, done.count() // rows_per_task))
+    total = done.selectExpr(f"sum({size})").first()[0] or 0
+    return done.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / rows_per_task)))
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the checkpoint files of cut tables that nothing reads any more, and let Spark clean up their shuffles.
+
+    Call it only when what was made from them has been cut itself.
+    """
+    spark = cuts[0].sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for df in cuts:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for i in range(leaves.size()):
+            rdd = getattr(leaves.apply(i), "rdd", None)
+            file = rdd().getCheckpointFile() if rdd is not None and leaves.apply(i).nodeName().startswith("LogicalRDD") else None
+            if file is not None and file.isDefined():
+                path = jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -31,9 +55,10 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def power_of_two(least: float, low: int, high: int) -> int:
+def power_of_two(least: float, low: int, high: int | None = None) -> int:
+    """The first of low, 2 * low, 4 * low, ... that is not under least; high bounds it where one is given."""
     n = low
-    while n < least and n < high:
+    while n < least and (high is None or n < high):
         n *= 2
     return n
 

@@ -9,14 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citeproof.llm.exchange import CHUNK, chunked, earlier_elsewhere, places
+from citeproof.llm.exchange import KEY, chunked, earlier_elsewhere, places
 from citeproof.llm.runtime import planned_bytes, power_of_two
 from citeproof.llm.words import slices, string_buffers, window_hashes, word_hashes
 
 WIDTH = 50
 DOCS_PER_CHUNK = 512
 #: Bytes of input for each bucket of hashes, and bytes of text that are hashed at once.
-BYTES_PER_BUCKET, BYTES_AT_ONCE = 8 << 20, 2 << 20
+BYTES_PER_BUCKET, BYTES_AT_ONCE = 2 << 20, 2 << 20
 
 
 class _Chunk:
@@ -70,7 +70,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nothing; rows with equal ids are not earlier than each other; only the two named columns are read.
     """
     chunks = chunked(docs, id_col, text_col, docs_per_chunk)
-    buckets = power_of_two(planned_bytes(docs.select(id_col, text_col)) / BYTES_PER_BUCKET, 16, 1 << 16)
+    buckets = power_of_two(planned_bytes(docs.select(id_col, text_col)) / BYTES_PER_BUCKET, 16)
     replies = earlier_elsewhere(chunks, lambda group: _Chunk(group, width).keys, buckets)
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
@@ -93,4 +93,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), *[("kept_text", pa.string())] * with_text]
     schema = pa.schema(fields)
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<array<bigint>>" + ", kept_text string" * with_text
-    return chunks.groupBy(CHUNK).cogroup(replies.groupBy(CHUNK)).applyInArrow(finish, ddl)
+    return chunks.groupBy(*KEY).cogroup(replies.groupBy(*KEY)).applyInArrow(finish, ddl)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeproof.llm.exchange import CHUNK, chunked, earlier_elsewhere, places
+from citeproof.llm.exchange import KEY, KEY_DDL, chunked, earlier_elsewhere, key_columns, late_of, places, told
 from citeproof.llm.runtime import planned_bytes, power_of_two
 from citeproof.llm.words import INVERSE, mix, powers, slices, string_buffers
 
@@ -169,11 +169,11 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows without an id are never changed and change nothing; rows with equal ids are not earlier than each other.
     """
     chunks = chunked(docs, id_col, text_col, docs_per_chunk)
-    buckets = power_of_two(planned_bytes(docs.select(id_col, text_col)) / BYTES_PER_BUCKET, 16, 1 << 16)
+    buckets = power_of_two(planned_bytes(docs.select(id_col, text_col)) / BYTES_PER_BUCKET, 16)
     bits = buckets.bit_length() - 1
     shared = earlier_elsewhere(chunks, lambda group: _Shard(group, depth).keys, buckets, any_other=True)
 
-    def send(group: pa.Table, answers: pa.Table) -> pa.Table:
+    def send(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"bucket": [], "base": [], "sizes": [], "texts": []}
         if group.num_rows and answers.num_rows:
             shard = _Shard(group, depth)
@@ -194,11 +194,9 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rows["base"].append(base[of].astype(np.uint32).tobytes())
                     rows["sizes"].append(sizes[of].astype(np.uint32).tobytes())
                     rows["texts"].append(shard.data[np.repeat(begins[base[of]], lengths) + inside].tobytes())
-        chunk = group.column(CHUNK)[0].as_py() if group.num_rows else 0
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), CHUNK: pa.array([chunk] * len(rows["bucket"]), pa.int64()), **{c: pa.array(rows[c], pa.binary()) for c in ("base", "sizes", "texts")}})
+        return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), **key_columns([k.as_py() for k in key], len(rows["bucket"])), **{c: pa.array(rows[c], pa.binary()) for c in ("base", "sizes", "texts")}})
 
     def merge(group: pa.Table) -> pa.Table:
-        group = group.sort_by(CHUNK)
         texts, starts, owner, standing, done = [], [], [], [], 0
         for i in range(group.num_rows):
             base, sizes = (np.frombuffer(group.column(c)[i].as_py(), np.uint32).astype(np.int64) for c in ("base", "sizes"))
@@ -213,15 +211,13 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             owner.append(np.full(len(at), i))
             done += len(data)
         order, new = interleave(symbols(np.concatenate(texts)), np.concatenate(starts), depth)
-        late = np.sort(order[~new])
-        owners, standings, ids = np.concatenate(owner), np.concatenate(standing), group.column(CHUNK).to_numpy()
-        edges = np.searchsorted(owners[late], np.arange(group.num_rows + 1))
-        full = np.flatnonzero(edges[1:] > edges[:-1])
-        return pa.table({CHUNK: pa.array(ids[full], pa.int64()), "at": pa.array([standings[late[edges[i] : edges[i + 1]]].astype(np.uint32).tobytes() for i in full], pa.binary())})
+        owners = np.concatenate(owner)
+        late = np.sort(late_of(order, new, group.column("_chunk").to_numpy()[owners]))
+        return told(group, owners, np.concatenate(standing), late)
 
-    sent = chunks.groupBy(CHUNK).cogroup(shared.groupBy(CHUNK)).applyInArrow(send, f"bucket int, {CHUNK} bigint, base binary, sizes binary, texts binary")
-    repeated = sent.groupBy("bucket").applyInArrow(merge, f"{CHUNK} bigint, at binary")
-    told = shared.withColumn("kind", F.lit(0)).unionByName(repeated.withColumn("kind", F.lit(1)))
+    sent = chunks.groupBy(*KEY).cogroup(shared.groupBy(*KEY)).applyInArrow(send, f"bucket bigint, {KEY_DDL}, base binary, sizes binary, texts binary")
+    repeated = sent.groupBy("bucket").applyInArrow(merge, f"{KEY_DDL}, at binary")
+    answered = shared.withColumn("kind", F.lit(0)).unionByName(repeated.withColumn("kind", F.lit(1)))
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
@@ -248,4 +244,4 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([shard.column_ids, *(pa.array(out[f.name], f.type) for f in list(schema)[1:])], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
-    return chunks.groupBy(CHUNK).cogroup(told.groupBy(CHUNK)).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
+    return chunks.groupBy(*KEY).cogroup(answered.groupBy(*KEY)).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")
