@@ -23,16 +23,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def _with_text(out: DataFrame) -> DataFrame:
+    """The columns of documents from (doc, kept_text, n_removed); n_chars follows where a text has changed."""
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("doc.n_chars"))
+    return out.select("doc.doc_id", F.col("kept_text").alias("text"), "doc.lang", "doc.source", n_chars.cast("bigint").alias("n_chars"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return keep_quality(docs).select(COLUMNS)
+    """Documents that the quality rules keep, without the lines above the limits of their host."""
+    return _with_text(keep_quality(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without cross-site boilerplate lines; n_chars follows where a text has changed."""
-    out = dedup_lines(docs)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("doc.n_chars"))
-    return out.select("doc.doc_id", F.col("kept_text").alias("text"), "doc.lang", "doc.source", n_chars.cast("bigint").alias("n_chars"))
+    """All documents, without cross-site boilerplate lines."""
+    return _with_text(dedup_lines(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
