@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citeproof.llm.runtime import cut_few
+from citeproof.llm.runtime import cut_few, release
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node reachable.
@@ -16,10 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     and links of a node with itself count nothing. Equal rows count once. No links: no rows.
     """
     down = cut_few(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    by_node = Window.partitionBy("u")
+    by_node, written = Window.partitionBy("u"), down
     while True:
         # A node's smaller neighbours are as many as its component has centres; larger ones, which may be very many, are not gathered.
         marked = cut_few(down.withColumns({"m": F.min("v").over(by_node), "n": F.count("*").over(by_node)}))
+        release(written)
+        written = marked
         if marked.where("n > 1").isEmpty():
             down = marked.select("u", "v")
             break
@@ -29,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         up = down.select(F.col("u").alias("v"), F.col("v").alias("w"))
         # Both sides are dealt by the join's key alone, which lets a hot root's rows be split.
         moved = cut_few(down.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
-        down = moved.select("u", "v")
+        release(written)
+        down, written = moved.select("u", "v"), moved
         if moved.where("moved").isEmpty():
             break
     roots = down.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

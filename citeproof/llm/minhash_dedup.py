@@ -12,19 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeproof.llm.components import components
-from citeproof.llm.runtime import cut, cut_few
+from citeproof.llm.runtime import cut, cut_few, release, tidy
 from citeproof.llm.words import FOLDED_VALUES, mix, powers, slices, string_buffers, word_hashes
 
 SHINGLE, HALVES, ROWS, PERCENT = 4, 8, 2, 80
 BYTES_AT_ONCE, SHINGLES_AT_ONCE = 2 << 20, 1 << 15
-#: Rounds in which each bucket's documents are compared with one of them, which then leaves it, before the rest is compared.
+#: Rounds in which each bucket's documents are compared with one of them, which then leaves it. Then pairs with a rare
+#: shingle in common are made, and what may still link goes on in rounds of four times as many centres each.
 STAR_ROUNDS = 2
-#: In so many sets a shingle is common.
-COMMON = 32
+#: In so many sets a shingle is common. A shingle is hot if its sets are more than 1 / HOT of all shingles of sets.
+COMMON, HOT = 32, 1000
+#: Shingles of sets a task, and pairs of a centre that are compared in one task.
+SHINGLES_A_TASK, CENTRE_PAIRS = 2_000_000, 256
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = powers(SHINGLE + 1, 0xD1342543DE82EF95)
 
@@ -84,42 +87,59 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are as similar as asked."""
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-    near = F.least(F.size("ga"), F.size("gb")) * 100 >= F.greatest(F.size("ga"), F.size("gb")) * percent
-    joined = pairs.join(left, "a").join(right, "b").where(near)
+    """Of the pairs (a, b, centre) those whose full sets are as similar as asked. A centre that many pairs name is sent
+    to several tasks, so that its pairs don't meet in one."""
+    other = pairs.select("a", "b", "centre", F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc_id"))
+    blocks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_PAIRS).cast("int").alias("blocks")).repartition(F.xxhash64("centre"))
+    dealt = other.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
+    centres = sets.select(F.col("doc_id").alias("centre"), F.col("grams").alias("ga")).join(blocks, "centre").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    joined = dealt.join(sets.withColumnRenamed("grams", "gb"), "doc_id").join(centres, ["centre", "block"])
     common = joined.select("a", "b", (F.size("ga") + F.size("gb")).alias("both"), F.size(F.array_intersect("ga", "gb")).alias("common"))
-    return common.where((F.lit(100) + percent) * F.col("common") >= F.col("both") * percent).select("a", "b").distinct()
+    return common.where((F.lit(100) + percent) * F.col("common") >= F.col("both") * percent).select("a", "b")
 
 
-def _left_over(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may link, without all pairs of a bucket; none that links is missing.
+def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
-    buckets: (key, doc_id, component). Let u be how many of a set's shingles are common, in COMMON sets or more. Two sets
-    that share no rare shingle have at most min(u, u') in common. So a pair either shares a rare shingle, which fewer
-    than COMMON sets have, or both its sets have enough common ones for their sizes; that is seldom for near copies
-    that differ in places of their own.
+
+def _by_rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, centre) of different components of members (doc_id, n, component) that share a rare shingle, and (doc_id, u).
+
+    Let u be how many of a set's shingles are common, in COMMON sets or more. Two sets that share no rare shingle have at
+    most min(u, u') in common. So a pair that links either shares a rare shingle, which fewer than COMMON sets have, or
+    both its sets have enough common ones for their sizes; that is seldom for near copies that differ in places of their own.
     """
-    members = buckets.select("doc_id", "component").distinct().repartition(F.xxhash64("doc_id"))
-    held = sets.join(members, "doc_id").select("doc_id", "component", F.explode("grams").alias("gram"))
-    spread = cut_few(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
-    rare = held.join(spread.where(F.col("n_docs") < COMMON).select("gram"), "gram")
-    other = rare.select("gram", F.col("doc_id").alias("b"), F.col("component").alias("its"))
-    by_rare = rare.withColumnRenamed("doc_id", "a").join(other, "gram").where("a < b and component <> its").select("a", "b")
-    common = held.join(spread.where(F.col("n_docs") >= COMMON).select("gram"), "gram").groupBy("doc_id").agg(F.count("*").alias("u"))
-    sizes = sets.select("doc_id", F.size("grams").alias("n")).join(common, "doc_id").repartition(F.xxhash64("doc_id"))
-    enough = lambda u, n, m: u * (100 + percent) >= (n + m) * percent
-    known = buckets.join(sizes, "doc_id")
-    least = known.groupBy("key").agg(F.min("n").alias("least")).repartition(F.xxhash64("key"))
-    able = cut_few(known.join(least, "key").where(enough(F.col("u"), F.col("n"), F.greatest(F.col("least"), F.col("n") * percent / 100))).drop("least"))
-    # A pair that shares several buckets is made in the one with the smallest key alone.
-    keys = able.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).repartition(F.xxhash64("doc_id"))
-    able = able.join(keys, "doc_id")
-    other = able.select("key", F.col("doc_id").alias("b"), F.col("component").alias("its"), F.col("u").alias("ub"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    pair = (F.col("a") < F.col("b")) & (F.col("component") != F.col("its")) & enough(F.least("u", "ub"), F.col("n"), F.col("nb"))
-    once = F.array_min(F.array_intersect("keys", "kb")) == F.col("key")
-    by_common = able.withColumnRenamed("doc_id", "a").join(other, "key").where(pair & once).select("a", "b")
-    return by_rare.unionByName(by_common)
+    held = sets.join(members.repartition(F.xxhash64("doc_id")), "doc_id").select("doc_id", "n", "component", F.explode("grams").alias("gram"))
+    counted = cut_few(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
+    total = counted.agg(F.sum("n_docs")).first()[0] or 0
+    # Of shingles with so large a share there are as many as HOT at most: they are broadcast, and no task gets all of one's sets.
+    hot = F.broadcast(counted.where(F.col("n_docs") >= max(COMMON, total / HOT)).select("gram"))
+    rest = held.join(hot, "gram", "left_anti")
+    rare = rest.join(counted.where(F.col("n_docs") < COMMON).select("gram"), "gram")
+    other = rare.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("its"))
+    pairs = rare.withColumnRenamed("doc_id", "a").join(other, "gram").where(_sizes_fit(F.col("n"), F.col("m"), percent) & F.expr("a < b and component <> its"))
+    often = rest.join(counted.where(F.col("n_docs") >= max(COMMON, 2)).select("gram"), "gram").select("doc_id").unionByName(held.join(hot, "gram").select("doc_id"))
+    return pairs.select("a", "b", F.col("a").alias("centre")), often.groupBy("doc_id").agg(F.count("*").alias("u"))
+
+
+def _star(now: DataFrame, turn: int, centres: int, percent: int) -> DataFrame:
+    """now with is_centre: in each bucket one row, and about `centres` of them if that is more than one."""
+    rank = F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0).cast("bigint")
+    sizes = now.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(rank.alias("r"), "doc_id")).alias("first")).repartition(F.xxhash64("key"))
+    first = F.col("doc_id") == F.col("first.doc_id")
+    chosen = first | (F.pmod(F.xxhash64("key", "doc_id", F.lit(turn)), F.col("m")) < centres) if centres > 1 else first
+    return now.join(sizes, "key").withColumn("is_centre", chosen).drop("m", "first")
+
+
+def _met(starred: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, centre) of each bucket's centres with all of its rows that may link and are of other components."""
+    u = [F.col("u").alias("uc")] if "u" in starred.columns else []
+    centres = starred.where("is_centre").select("key", F.col("doc_id").alias("centre"), F.col("n").alias("nc"), F.col("component").alias("its"), *u).repartition(F.xxhash64("key"))
+    fits = _sizes_fit(F.col("n"), F.col("nc"), percent) & F.expr("component <> its and doc_id <> centre and (not is_centre or doc_id < centre)")
+    if u:
+        fits &= F.least("u", "uc") * (100 + percent) >= (F.col("n") + F.col("nc")) * percent
+    pairs = starred.join(centres, "key").where(fits)
+    return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"), "centre")
 
 
 def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
@@ -137,44 +157,59 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     # Half keys that only one class has can't make a shared table key.
-    held = reps.select("doc_id", F.posexplode("halves").alias("place", "half"))
-    shared = held.groupBy("place", "half").agg(F.count("*").alias("n")).where("n > 1").select("place", "half").repartition(F.xxhash64("place", "half"))
-    live = held.join(shared, ["place", "half"]).groupBy("doc_id").agg(F.collect_set(F.struct("place", "half")).alias("live"))
+    held = reps.select("doc_id", "n", F.posexplode("halves").alias("place", "half"))
+    shared = held.groupBy("place", "half").agg(F.count("*").alias("c")).where("c > 1").select("place", "half").repartition(F.xxhash64("place", "half"))
+    live = held.join(shared, ["place", "half"]).groupBy("doc_id", "n").agg(F.collect_set(F.struct("place", "half")).alias("live"))
     first, second = F.filter("live", lambda x: x["place"] < halves), F.filter("live", lambda x: x["place"] >= halves)
-    pairs = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["half"], y["place"], y["half"]))))
-    keyed = live.select("doc_id", F.explode(pairs).alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").repartition(F.xxhash64("key"))
+    tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["half"], y["place"], y["half"]))))
+    keyed = live.select("doc_id", "n", F.explode(tables).alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key").repartition(F.xxhash64("key"))
     keyed = cut_few(keyed.join(crowded, "key"))
 
     wanted = keyed.select("doc_id").distinct()
-    sets = cut_few(_sets(named.join(wanted, "doc_id", "left_semi"), width), 20_000)
-    tested = links = None
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
+    sets = cut_few(_sets(named.join(wanted, "doc_id", "left_semi"), width), SHINGLES_A_TASK, "size(grams)")
+    tested = links = labels = None
+    turn, centres, common_only = 0, 1, False
+    while True:
+        tidy(docs.sparkSession)
         if labels is None:
             now = keyed.withColumn("component", F.col("doc_id"))
         else:
+            # Buckets whose rows are all of one component are done.
             now = keyed.join(labels.withColumnRenamed("node", "doc_id").repartition(F.xxhash64("doc_id")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key").repartition(F.xxhash64("key"))
             now = cut_few(now.join(mixed, "key"))
+            release(keyed)
+            keyed = now.drop("component")
             if now.isEmpty():
                 break
-        if turn < STAR_ROUNDS:
-            rank = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0), F.col("doc_id"), F.col("component"))
-            centres = now.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.doc_id").alias("centre"), F.col("c.component").alias("its")).repartition(F.xxhash64("key"))
-            around = now.join(centres, "key").where("doc_id <> centre")
-            met = around.where("component <> its").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
-            # Every document of the bucket has met the centre, which is done there.
-            keyed = cut_few(around.select("key", "doc_id"))
+        if turn == STAR_ROUNDS and not common_only:
+            # Rows that may link with others of their bucket without a rare shingle in common go on to further rounds.
+            met, common = _by_rare(now.select("doc_id", "n", "component").distinct(), sets, percent)
+            met = cut_few(met.groupBy("a", "b").agg(F.min("centre").alias("centre")).join(tested, ["a", "b"], "left_anti"))
+            counted = now.drop("component").join(common.repartition(F.xxhash64("doc_id")), "doc_id")
+            least = counted.groupBy("key").agg(F.min("n").alias("least")).repartition(F.xxhash64("key"))
+            enough = F.col("u") * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * percent / 100)) * percent
+            keyed, before, common_only = cut_few(counted.join(least, "key").where(enough).drop("least")), now, True
         else:
-            met = _left_over(now, sets, percent)
-        met = met.distinct()
-        met = cut_few(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
-        tested = met if tested is None else tested.unionByName(met)
+            starred = cut_few(_star(now, turn, centres, percent))
+            met = _met(starred, percent).groupBy("a", "b").agg(F.min("centre").alias("centre"))
+            met = cut_few(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+            # The centres have met all rows of their buckets.
+            keyed, before = cut_few(starred.where("not is_centre").drop("is_centre", "component")), keyed
+            release(starred)
+            turn += 1
+            centres = 1 if turn < STAR_ROUNDS else 4 * centres
+        release(before)
+        pairs = met.select("a", "b")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut_few(_confirmed(met, sets, percent))
         if labels is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            labels = cut_few(components(links))
+            old, labels = labels, cut_few(components(links))
+            release(*[old] * (old is not None))
+    release(sets, tested, links)
+    tidy(docs.sparkSession)
 
     named_classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), "members", "rep")
     known = named_classes.where("members > 1 or component <> rep").select("s1", "s2", "component").repartition(F.xxhash64("s1", "s2"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -33,21 +34,21 @@ def cut_few(df: DataFrame, rows_per_task: int = 500_000, size: str = "1") -> Dat
 
 
 def release(*cuts: DataFrame) -> None:
-    """Delete the checkpoint files of cut tables that nothing reads any more, and let Spark clean up their shuffles.
-
-    Call it only when what was made from them has been cut itself.
-    """
-    spark = cuts[0].sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Delete the checkpoint files of cut tables that nothing reads any more: what was made from them has been cut itself."""
     for df in cuts:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        conf, leaves = df.sparkSession._jsc.hadoopConfiguration(), df._jdf.queryExecution().analyzed().collectLeaves()
         for i in range(leaves.size()):
-            rdd = getattr(leaves.apply(i), "rdd", None)
-            file = rdd().getCheckpointFile() if rdd is not None and leaves.apply(i).nodeName().startswith("LogicalRDD") else None
+            leaf = leaves.apply(i)
+            file = leaf.rdd().getCheckpointFile() if leaf.nodeName().startswith("LogicalRDD") else None
             if file is not None and file.isDefined():
-                path = jvm.org.apache.hadoop.fs.Path(file.get())
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
                 path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of jobs whose tables are gone, as it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def planned_bytes(df: DataFrame) -> int:

@@ -118,6 +118,21 @@ def test_minhash_of_many_close_groups(spark):
     same(dedup_minhash(docs(spark, rows)), ["doc_id", "n_shingles", "component_id", "kept"], brute.near_copies(rows))
 
 
+def test_minhash_of_texts_of_common_sentences(spark, monkeypatch):
+    """Texts of one template, whose shingles are nearly all common: rounds of ever more centres find their links."""
+    from citeproof.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "COMMON", 4)
+    rnd = random.Random(17)
+    pool = [" ".join(f"t{k}w{j}" for j in range(9)) for k in range(16)]
+    rows = []
+    for i in range(150):
+        rows.append((i * 3 % 150, " ".join(pool[k] for k in sorted(rnd.sample(range(16), rnd.randint(9, 13))))))
+    want = brute.near_copies(rows)
+    assert 10 < len({r[2] for r in want}) < 140
+    same(dedup_minhash(docs(spark, rows)), ["doc_id", "n_shingles", "component_id", "kept"], want)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     for n, m in ((0, 0), (30, 20), (200, 150), (60, 300)):
