@@ -3,46 +3,48 @@
 from __future__ import annotations
 
 import gc
-import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the reliable checkpoint folder, with their lineage cut.
-
-    The folder is the session's spark.checkpoint.dir. Where none is set, a session on one machine (tests) gets a temporary
-    one; on a cluster, where other machines could not see such a folder, that is an error.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's spark.checkpoint.dir. Where none is set, a session on one machine (tests) gets
+    a temporary one; on a cluster, where other machines could not see such a folder, that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and not (context.master or "").partition("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the reliable checkpoint folder, with their lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def cut_few(df: DataFrame, rows_per_task: int = 500_000, size: str = "1") -> DataFrame:
-    """cut(df), in as many partitions as its rows call for (a task for each core at least); for what is far smaller than
-    the documents. size: SQL for what a row counts."""
-    done = cut(df)
-    total = done.selectExpr(f"sum({size})").first()[0] or 0
-    return done.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / rows_per_task)))
-
-
-def release(*cuts: DataFrame) -> None:
-    """Delete the checkpoint files of cut tables that nothing reads any more: what was made from them has been cut itself."""
-    for df in cuts:
-        conf, leaves = df.sparkSession._jsc.hadoopConfiguration(), df._jdf.queryExecution().analyzed().collectLeaves()
-        for i in range(leaves.size()):
-            leaf = leaves.apply(i)
-            file = leaf.rdd().getCheckpointFile() if leaf.nodeName().startswith("LogicalRDD") else None
-            if file is not None and file.isDefined():
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-                path.getFileSystem(conf).delete(path, True)
+def cut_few(df: DataFrame) -> DataFrame:
+    """The same rows as a table written in the checkpoint folder; for what is far smaller than the documents.
+
+    Unlike a checkpoint's, its size is known to the optimizer, however many rounds of an iteration went before, and
+    release() deletes it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of cut_few that nothing reads any more: what was made from them has been written itself."""
+    for path in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
+        spark = tables[0].sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -122,7 +122,8 @@ def test_minhash_of_texts_of_common_sentences(spark, monkeypatch):
     """Texts of one template, whose shingles are nearly all common: rounds of ever more centres find their links."""
     from citeproof.llm import minhash_dedup
 
-    monkeypatch.setattr(minhash_dedup, "COMMON", 4)
+    monkeypatch.setattr(minhash_dedup, "CENTRES", 2)
+    monkeypatch.setattr(minhash_dedup, "HOT", 20)
     rnd = random.Random(17)
     pool = [" ".join(f"t{k}w{j}" for j in range(9)) for k in range(16)]
     rows = []
