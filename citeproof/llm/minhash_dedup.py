@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from citeproof.llm.components import components
 from citeproof.llm.runtime import cut, cut_few, release, tidy
@@ -21,12 +22,13 @@ from citeproof.llm.words import FOLDED_VALUES, mix, powers, slices, string_buffe
 
 SHINGLE, HALVES, ROWS, PERCENT = 4, 8, 2, 80
 BYTES_AT_ONCE, SHINGLES_AT_ONCE = 2 << 20, 1 << 15
-#: Rounds in which each bucket's documents are compared with one of them, which then leaves it. What is still in buckets
-#: of several components is dealt anew by its rarest shingles, and compared in rounds of CENTRES centres and four times as
-#: many each time: few documents share a rare shingle, so nearly all of these buckets end in the first one.
-STAR_ROUNDS, CENTRES = 2, 32
-#: A shingle is hot if its sets are more than 1 / HOT of all shingles of sets. Pairs of a centre that are compared in one task.
-HOT, CENTRE_PAIRS = 1000, 256
+#: Rounds in which each bucket's documents are compared with one of them, which then leaves it. Then pairs with a rare
+#: shingle in common are made, and what may still link goes on in rounds of four times as many centres each.
+STAR_ROUNDS = 2
+#: In so many sets a shingle is common. A shingle is hot if its sets are more than 1 / HOT of all shingles of sets.
+COMMON, HOT = 32, 1000
+#: Pairs of a centre that are compared in one task.
+CENTRE_PAIRS = 256
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = powers(SHINGLE + 1, 0xD1342543DE82EF95)
 
@@ -97,31 +99,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where((F.lit(100) + percent) * F.col("common") >= F.col("both") * percent).select("a", "b")
 
 
-def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, n): the rarest shingles of each of the members (doc_id, n), as many as two similar sets must share one of.
+def _by_rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, centre) of different components of members (doc_id, n, component) that share a rare shingle, and (doc_id, u).
 
-    Of sets of n and m shingles at a similarity of percent / 100 or more, the n - ceil(n * percent / 100) + 1 rarest of
-    one and the m - ... of the other meet, whatever order tells rarer from less rare, if it is the same for both.
+    Let u be how many of a set's shingles are common, in COMMON sets or more. Two sets that share no rare shingle have at
+    most min(u, u') in common. So a pair that links either shares a rare shingle, which fewer than COMMON sets have, or
+    both its sets have enough common ones for their sizes; that is seldom for near copies that differ in places of their own.
     """
-    held = sets.join(members.repartition(F.xxhash64("doc_id")), "doc_id").select("doc_id", "n", F.explode("grams").alias("gram"))
+    held = sets.join(members.repartition(F.xxhash64("doc_id")), "doc_id").select("doc_id", "n", "component", F.explode("grams").alias("gram"))
     counted = cut_few(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
     total = counted.agg(F.sum("n_docs")).first()[0] or 0
-    # Of shingles with so large a share there are HOT at most: they are broadcast, and no task gets all sets of one.
-    hot = F.broadcast(counted.where(F.col("n_docs") >= total / HOT))
-    cool = counted.where(F.col("n_docs") < total / HOT).repartition(F.xxhash64("gram"))
-    known = held.join(hot, "gram").unionByName(held.join(hot.select("gram"), "gram", "left_anti").join(cool, "gram", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(1))))
-    ranked = F.sort_array(F.collect_list(F.struct("n_docs", "gram")))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    rarest = known.groupBy("doc_id", "n").agg(ranked.alias("ranked")).select("doc_id", "n", F.explode(F.slice("ranked", F.lit(1), length)).alias("g"))
-    out = cut_few(rarest.where("g.n_docs > 1").select(F.col("g.gram").alias("key"), "doc_id", "n"))
-    release(counted)
-    return out
+    # Of shingles with so large a share there are as many as HOT at most: they are broadcast, and no task gets all of one's sets.
+    hot = F.broadcast(counted.where(F.col("n_docs") >= max(COMMON, total / HOT)).select("gram"))
+    rest = held.join(hot, "gram", "left_anti")
+    rare = rest.join(counted.where(F.col("n_docs") < COMMON).select("gram"), "gram")
+    other = rare.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("its"))
+    pairs = rare.withColumnRenamed("doc_id", "a").join(other, "gram").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & F.expr("a < b and component <> its"))
+    often = rest.join(counted.where(F.col("n_docs") >= max(COMMON, 2)).select("gram"), "gram").select("doc_id").unionByName(held.join(hot, "gram").select("doc_id"))
+    return pairs.select("a", "b", F.col("a").alias("centre")), often.groupBy("doc_id").agg(F.count("*").alias("u"))
 
 
 def _star(now: DataFrame, turn: int, centres: int) -> DataFrame:
-    """now with is_centre: in each bucket one row, and about `centres` of them if that is more than one."""
-    rank = F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0).cast("bigint")
-    sizes = now.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(rank.alias("r"), "doc_id")).alias("first")).repartition(F.xxhash64("key"))
+    """now with is_centre: in each bucket the row of least rank, and about `centres` rows if that is more than one."""
+    sizes = now.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rank", "doc_id")).alias("first")).repartition(F.xxhash64("key"))
     first = F.col("doc_id") == F.col("first.doc_id")
     chosen = first | (F.pmod(F.xxhash64("key", "doc_id", F.lit(turn)), F.col("m")) < centres) if centres > 1 else first
     return now.join(sizes, "key").withColumn("is_centre", chosen).drop("m", "first")
@@ -129,9 +129,12 @@ def _star(now: DataFrame, turn: int, centres: int) -> DataFrame:
 
 def _met(starred: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, centre) of each bucket's centres with all of its rows that may link and are of other components."""
-    centres = starred.where("is_centre").select("key", F.col("doc_id").alias("centre"), F.col("n").alias("nc"), F.col("component").alias("its")).repartition(F.xxhash64("key"))
-    fits = F.least("n", "nc") * 100 >= F.greatest("n", "nc") * percent
-    pairs = starred.join(centres, "key").where(fits & F.expr("component <> its and doc_id <> centre and (not is_centre or doc_id < centre)"))
+    u = [F.col("u").alias("uc")] * ("u" in starred.columns)
+    centres = starred.where("is_centre").select("key", F.col("doc_id").alias("centre"), F.col("n").alias("nc"), F.col("component").alias("its"), *u).repartition(F.xxhash64("key"))
+    fits = (F.least("n", "nc") * 100 >= F.greatest("n", "nc") * percent) & F.expr("component <> its and doc_id <> centre and (not is_centre or doc_id < centre)")
+    if u:
+        fits &= F.least("u", "uc") * (100 + percent) >= (F.col("n") + F.col("nc")) * percent
+    pairs = starred.join(centres, "key").where(fits)
     return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"), "centre")
 
 
@@ -156,13 +159,14 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first, second = F.filter("live", lambda x: x["place"] < halves), F.filter("live", lambda x: x["place"] >= halves)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["half"], y["place"], y["half"]))))
     keyed = live.select("doc_id", "n", F.explode(tables).alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key").repartition(F.xxhash64("key"))
-    keyed = cut_few(keyed.join(crowded, "key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").repartition(F.xxhash64("key"))
+    # The more documents of all its buckets a document meets, the sooner it is a centre: of near copies of a text, the text.
+    keyed = cut_few(keyed.join(crowded, "key").withColumn("rank", -F.sum("c").over(Window.partitionBy("doc_id"))).drop("c"))
 
     wanted = keyed.select("doc_id").distinct()
     sets = cut_few(_sets(named.join(wanted, "doc_id", "left_semi"), width))
     tested = links = labels = None
-    turn, centres = 0, 1
+    turn, centres, common_only = 0, 1, False
     while True:
         tidy(docs.sparkSession)
         if labels is None:
@@ -175,19 +179,23 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             release(keyed)
             if now.isEmpty():
                 break
-            if turn == STAR_ROUNDS:
-                keyed = _prefixes(now.select("doc_id", "n").distinct(), sets, percent)
-                release(now)
-                turn, centres = turn + 1, CENTRES
-                continue
-        starred = cut_few(_star(now, turn, centres))
-        release(now)
-        met = _met(starred, percent).groupBy("a", "b").agg(F.min("centre").alias("centre"))
+        if turn == STAR_ROUNDS and not common_only:
+            met, common = _by_rare(now.select("doc_id", "n", "component").distinct(), sets, percent)
+            counted = now.drop("component").join(common.repartition(F.xxhash64("doc_id")), "doc_id")
+            least = counted.groupBy("key").agg(F.min("n").alias("least")).repartition(F.xxhash64("key"))
+            enough = F.col("u") * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * percent / 100)) * percent
+            keyed, common_only, starred, centres = cut_few(counted.join(least, "key").where(enough).drop("least")), True, None, 4
+        else:
+            starred = cut_few(_star(now, turn, centres))
+            met = _met(starred, percent)
+        met = met.groupBy("a", "b").agg(F.min("centre").alias("centre"))
         met = cut_few(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
-        # The centres have met all rows of their buckets.
-        keyed = cut_few(starred.where("not is_centre").drop("is_centre", "component"))
-        release(starred)
-        turn, centres = turn + 1, 4 * centres if turn > STAR_ROUNDS else centres
+        release(now)
+        if starred is not None:
+            # The centres have met all rows of their buckets.
+            keyed = cut_few(starred.where("not is_centre").drop("is_centre", "component"))
+            release(starred)
+            turn, centres = turn + 1, 4 * centres if common_only else 1
         pairs = met.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut_few(_confirmed(met, sets, percent))
