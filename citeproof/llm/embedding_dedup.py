@@ -22,8 +22,10 @@ from citeproof.llm.runtime import cut, power_of_two
 COSINE = 0.93
 #: Pivots that describe a vector, how many two vectors must share, vectors of a block, and the least and most pivots:
 #: about twice the square root of the vectors, so that lists grow as the square root too.
-APART = 0.6
 NEAREST, SHARED, TILE, FEWEST, MOST = 12, 2, 1024, 64, 4096
+#: Sampled vectors a pivot, and how near each other (by cosine) pivots may be: the later bounds count only where the
+#: earlier ones leave too few, as when the vectors lie in a few clusters.
+DRAWN, NEAR = 4, (0.6, 0.75, 0.88)
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray | None]:
@@ -49,14 +51,19 @@ def describe(vectors: list[np.ndarray], pivots: np.ndarray, nearest: int) -> np.
     return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
 
-def apart(pivots: np.ndarray) -> np.ndarray:
-    """The pivots in order without those near an earlier one: a large group of near copies must not fill the pivots, or its
-    members would be told apart by which of them is nearest."""
-    near, kept = np.abs(pivots @ pivots.T) > APART, []
-    for i in range(len(pivots)):
-        if not near[i, kept].any():
-            kept.append(i)
-    return pivots[kept]
+def apart(drawn: np.ndarray, wanted: int) -> np.ndarray:
+    """Of the drawn vectors, in order, `wanted` that aren't near an earlier one: a large group of near copies must not fill
+    the pivots, or its members would be told apart by which of them is nearest. What few tight clusters leave under FEWEST
+    is made up by directions of chance, which every vector has an order of nearness to as well."""
+    kept: list[int] = []
+    most = np.zeros(len(drawn))
+    for bound in NEAR:
+        for i in range(len(drawn)):
+            if len(kept) < wanted and most[i] <= bound:
+                kept.append(i)
+                most = np.maximum(most, np.abs(drawn @ drawn[i]))
+    more = np.random.Generator(np.random.PCG64(11)).normal(size=(max(0, FEWEST - len(kept)), drawn.shape[1]))
+    return np.concatenate([drawn[kept], more / np.linalg.norm(more, axis=1, keepdims=True)])
 
 
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> dict[int, int]:
@@ -133,11 +140,10 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     label_type = dict(named.dtypes)["label"]
     scaled = cut(classes.mapInArrow(scale, f"k1 bigint, k2 bigint, vec_id bigint, members bigint, label {label_type}, unit array<double>"))
     n_pivots = power_of_two(2 * scaled.count() ** 0.5, FEWEST, MOST)
-    sample = [r.unit for r in scaled.orderBy(F.xxhash64("k1"), "k2").limit(n_pivots).select("unit").collect()]
+    sample = [r.unit for r in scaled.orderBy(F.xxhash64("k1"), "k2").limit(DRAWN * n_pivots).select("unit").collect()]
     width = max(map(len, sample), default=1)
     pivots = np.array([[*x, *[0.0] * (width - len(x))] for x in sample]).reshape(len(sample), width)
-    pivots = apart(pivots)
-    shared = min(shared, len(pivots))
+    pivots = apart(pivots, n_pivots)
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

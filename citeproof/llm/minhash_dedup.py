@@ -23,8 +23,8 @@ from citeproof.llm.words import FOLDED_VALUES, mix, powers, slices, string_buffe
 SHINGLE, HALVES, ROWS, PERCENT = 4, 8, 2, 80
 BYTES_AT_ONCE, SHINGLES_AT_ONCE = 2 << 20, 1 << 15
 #: Rounds in which each bucket's documents are compared with one of them, which then leaves it. Then pairs with a rare
-#: shingle in common are made, and what may still link goes on in rounds of four times as many centres each.
-STAR_ROUNDS = 2
+#: shingle in common are made, and what may still link goes on in rounds of CENTRES centres and eight times as many each.
+STAR_ROUNDS, CENTRES = 2, 16
 #: In so many sets a shingle is common. A shingle is hot if its sets are more than 1 / HOT of all shingles of sets.
 COMMON, HOT = 32, 1000
 #: Pairs of a centre that are compared in one task.
@@ -184,7 +184,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             counted = now.drop("component").join(common.repartition(F.xxhash64("doc_id")), "doc_id")
             least = counted.groupBy("key").agg(F.min("n").alias("least")).repartition(F.xxhash64("key"))
             enough = F.col("u") * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * percent / 100)) * percent
-            keyed, common_only, starred, centres = cut_few(counted.join(least, "key").where(enough).drop("least")), True, None, 4
+            keyed, common_only, starred, centres = cut_few(counted.join(least, "key").where(enough).drop("least")), True, None, CENTRES
         else:
             starred = cut_few(_star(now, turn, centres))
             met = _met(starred, percent)
@@ -195,7 +195,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             # The centres have met all rows of their buckets.
             keyed = cut_few(starred.where("not is_centre").drop("is_centre", "component"))
             release(starred)
-            turn, centres = turn + 1, 4 * centres if common_only else 1
+            turn, centres = turn + 1, 8 * centres if common_only else 1
         pairs = met.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut_few(_confirmed(met, sets, percent))

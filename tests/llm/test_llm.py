@@ -123,6 +123,7 @@ def test_minhash_of_texts_of_common_sentences(spark, monkeypatch):
     from citeproof.llm import minhash_dedup
 
     monkeypatch.setattr(minhash_dedup, "COMMON", 4)
+    monkeypatch.setattr(minhash_dedup, "CENTRES", 2)
     monkeypatch.setattr(minhash_dedup, "HOT", 20)
     rnd = random.Random(17)
     pool = [" ".join(f"t{k}w{j}" for j in range(9)) for k in range(16)]
@@ -202,6 +203,25 @@ def test_embeddings_recall():
     assert np.mean(np.array(shared) >= SHARED) > 0.995
 
 
+def test_embeddings_recall_in_clusters(spark):
+    """Vectors in five wide clusters: enough pivots are apart, nearly all links are found, and lists hold a part of a cluster."""
+    from citeproof.llm.embedding_dedup import FEWEST, NEAREST, SHARED, apart, describe
+
+    rnd = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for spread, most in ((0.1, 0.75), (0.02, 1.0)):
+        base = unit(np.repeat(unit(rnd.normal(size=(5, 64))), 300, axis=0) + rnd.normal(size=(1500, 64)) * spread)
+        other = rnd.normal(size=base.shape)
+        near = unit(0.94 * base + np.sqrt(1 - 0.94**2) * unit(other - (other * base).sum(1, keepdims=True) * base))
+        pivots = apart(base[rnd.permutation(1500)[:512]], 128)
+        assert FEWEST <= len(pivots) <= 128
+        a, b = describe(list(base), pivots, NEAREST), describe(list(near), pivots, NEAREST)
+        assert np.mean([len(set(x) & set(y)) >= SHARED for x, y in zip(a, b, strict=True)]) > 0.95
+        assert np.bincount(a.ravel(), minlength=len(pivots)).max() <= 300 * 5 * most
+    rows = [(i, 0, x.tolist()) for i, x in enumerate(base[::6])]
+    same(dedup_embeddings(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")), ["vec_id", "n_links", "component_id", "kept"], brute.vectors(rows))
+
+
 def test_quality_base(spark):
     rows = texts()
     same(judge(docs(spark, rows)), ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], [(i, *brute.base(t)) for i, t in rows])
