@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeproof.config import THRESHOLDS, Thresholds
-from citeproof.functions.similarity import rounded, sentence_scores
-from citeproof.functions.text import clauses, contains_any, jaccard, literals, overlap, sentences, stem, stems, trigrams, words, words_from
+from citeproof.functions.similarity import sentence_scores
+from citeproof.functions.text import clauses, contains_any, jaccard, let, literals, overlap, rounded, sentences, stem, stems, trigrams, words, words_from
 from citeproof.lexicons import CONCEPTS, FALLING, NEGATIONS_EN, NEGATIONS_ZH, RISING
 
 
@@ -24,22 +24,26 @@ def negated(text: Column, targets: Column) -> Column:
     """Whether an English negation has one of the target stems among its next four words (any word if there are no
     targets), or a Chinese one stands anywhere."""
     plain = F.filter(words(text), lambda w: w.rlike("^[a-z]+$"))
-    markers = literals(NEGATIONS_EN)
-    near = F.transform(F.array(plain), lambda ws: F.exists(F.transform(ws, lambda w, i: F.array_contains(markers, w) & ((F.size(targets) == 0) | F.arrays_overlap(F.transform(F.slice(ws, i + 2, F.lit(4)), stem), targets))), lambda x: x))
+    near = F.transform(F.array(plain), lambda ws: F.exists(F.transform(ws, lambda w, i: w.isin(NEGATIONS_EN) & ((F.size(targets) == 0) | F.arrays_overlap(F.transform(F.slice(ws, i + 2, F.lit(4)), stem), targets))), lambda x: x))
     return F.coalesce(near[0], F.lit(False)) | contains_any(text, NEGATIONS_ZH)
 
 
+def claim_features(df: DataFrame, claim: str) -> DataFrame:
+    """df with what lexical_features needs of the claim; made before a claim's row is repeated for each sentence."""
+    return df.withColumns({"_cs": stems(F.col(claim)), "_cg": trigrams(F.col(claim)), "_ct": F.array_distinct(words_from(F.col(claim), 3))})
+
+
 def lexical_features(df: DataFrame, claim: str, sentence: str) -> DataFrame:
     """stem_overlap, trigram_jaccard, token_overlap and concept_share of two text columns."""
-    df = df.withColumns({"_cs": stems(F.col(claim)), "_ss": stems(F.col(sentence)), "_cg": trigrams(F.col(claim)), "_sg": trigrams(F.col(sentence)), "_ct": F.array_distinct(words_from(F.col(claim), 3)), "_st": F.array_distinct(words_from(F.col(sentence), 3))})
+    df = df if "_cs" in df.columns else claim_features(df, claim)
     return df.withColumns(
         {
-            "stem_overlap": overlap(F.col("_cs"), F.col("_ss")),
-            "trigram_jaccard": jaccard(F.col("_cg"), F.col("_sg")),
-            "token_overlap": overlap(F.col("_ct"), F.col("_st")),
+            "stem_overlap": overlap(F.col("_cs"), stems(F.col(sentence))),
+            "trigram_jaccard": let(trigrams(F.col(sentence)), lambda g: jaccard(F.col("_cg"), g)),
+            "token_overlap": overlap(F.col("_ct"), F.array_distinct(words_from(F.col(sentence), 3))),
             "concept_share": concept_share(F.lower(claim), F.lower(sentence)),
         }
-    ).drop("_cs", "_ss", "_cg", "_sg", "_ct", "_st")
+    ).drop("_cs", "_cg", "_ct")
 
 
 def most_relevant_clause(df: DataFrame, claim: str, sentence: str, out: str = "clause") -> DataFrame:
@@ -73,16 +77,17 @@ def align(pairs: DataFrame, key: list[str], claim: str = "claim", abstract: str
     """
     whole = pairs.select(*key, F.col(claim).alias("_claim"), F.col(abstract).alias("_abstract"))
     usable = whole.where("_claim <> '' and _abstract <> ''").withColumn("_sentences", sentences(F.col("_abstract")))
-    one = usable.select(*key, "_claim", "_abstract", F.posexplode(F.when(F.size("_sentences") > 0, F.col("_sentences")).otherwise(F.array(F.substring("_abstract", 1, 150)))).alias("_at", "_sentence"), (F.size("_sentences") > 0).alias("_real"))
+    features = claim_features(usable, "_claim")
+    one = features.select(*key, "_claim", "_abstract", "_cs", "_cg", "_ct", F.posexplode(F.when(F.size("_sentences") > 0, F.col("_sentences")).otherwise(F.array(F.substring("_abstract", 1, 150)))).alias("_at", "_sentence"), (F.size("_sentences") > 0).alias("_real"))
     scored = lexical_features(one, "_claim", "_sentence").withColumn("_s", sentence_scores(F.lower("_claim"), F.lower("_sentence"), "stem_overlap", "trigram_jaccard", "concept_share", "token_overlap"))
     total = F.when(F.col("_real"), 0.5 * F.col("_s.semantic") + 0.5 * F.col("_s.lexical")).otherwise(F.lit(0.0))
     best = scored.groupBy(*key).agg(F.max_by(F.struct(F.col("_sentence").alias("sentence"), total.alias("total"), F.col("_s.lexical").alias("lexical"), F.col("_s.semantic").alias("semantic")), F.struct(total, -F.col("_at"))).alias("_best"))
     # Sentences of a pair come from one row, so joining on the key brings back the claim without a second copy in the aggregate.
     df = usable.drop("_sentences").join(best, key).withColumn("best_sentence", F.col("_best.sentence"))
     df = polarity_conflict(polarity_conflict(df, "_claim", "best_sentence", "_near"), "_claim", "_abstract", "_far")
-    semantic, lexical, peak = F.col("_best.semantic"), F.col("_best.lexical"), rounded(F.col("_best.total"), F.lit(2))
+    semantic, lexical, peak = F.col("_best.semantic"), F.col("_best.lexical"), rounded(F.col("_best.total"), 2)
     blended = F.when((semantic >= 0.35) & (lexical < 0.10), F.greatest(semantic, peak)).otherwise(F.greatest(0.5 * semantic + 0.5 * lexical, peak))
-    df = df.withColumn("_score", rounded(blended, F.lit(2)))
+    df = df.withColumn("_score", rounded(blended, 2))
     against = F.col("_near") | F.col("_far")
     score = F.when(against, F.lit(limits.contradiction_score)).otherwise(F.col("_score"))
     state = F.when(against, "CONTRADICTED").when(F.col("_score") >= limits.strong_alignment, "SUPPORTED").when(F.col("_score") >= limits.weak_alignment, "PARTIAL").otherwise("NEUTRAL")

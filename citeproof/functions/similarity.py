@@ -41,9 +41,3 @@ def sentence_scores(claim: pd.Series, sentence: pd.Series, stems: pd.Series, gra
         meaning = 0.5 * t + 0.5 * r if pd.isna(c) else 0.7 * c + 0.3 * r
         out.append((round(0.5 * s + 0.3 * g + 0.2 * r, 2), round(min(1.0, meaning), 2)))
     return pd.DataFrame(out, columns=["lexical", "semantic"], dtype=float)
-
-
-@F.pandas_udf(DoubleType())
-def rounded(x: pd.Series, places: pd.Series) -> pd.Series:
-    """To the nearest decimal of the exact binary value, which the JVM's functions do not do for ties in print."""
-    return pd.Series([None if pd.isna(v) else round(v, int(p)) for v, p in zip(x, places, strict=True)], dtype=float)

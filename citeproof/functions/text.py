@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citeproof.lexicons import CLAUSE_WORDS_EN, CLAUSE_WORDS_ZH, STEM_SUFFIXES, SYNONYMS, TITLE_STOP_WORDS
 
+# Patterns that results depend on.
 DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
 YEAR = r"(?U)\b(19\d{2}|20\d{2})\b"
 CLAUSE_END = r"(?iU)(?:[;,]|\b(?:" + "|".join(CLAUSE_WORDS_EN) + r")\b|" + "|".join(CLAUSE_WORDS_ZH) + ")"
@@ -16,6 +19,11 @@ def literals(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_as_null(x: Column) -> Column:
     return F.when(x != "", x)
 
@@ -108,8 +116,7 @@ def words_from(x: Column, least: int) -> Column:
 
 def title_tokens(x: Column) -> Column:
     """Words of two or more letters, Latin or Han, without stop words; in order, with repeats."""
-    stop = literals(TITLE_STOP_WORDS)
-    return F.filter(words(x), lambda w: w.rlike(r"^[a-z\u4e00-\u9fa5]{2,}$") & ~F.array_contains(stop, w))
+    return F.filter(words(x), lambda w: w.rlike(r"^[a-z\u4e00-\u9fa5]{2,}$") & ~w.isin(TITLE_STOP_WORDS))
 
 
 def stem(word: Column) -> Column:
@@ -124,8 +131,9 @@ def _stemmed(word: str) -> str:
 def stems(x: Column) -> Column:
     """The distinct stems of a text's words of two or more characters, and of their synonyms."""
     other = F.create_map(*[y for k, v in SYNONYMS.items() for y in (F.lit(k), literals([_stemmed(s) for s in v]))])
-    w = words_from(x, 2)
-    return F.array_distinct(F.concat(F.transform(w, stem), F.flatten(F.transform(w, lambda y: F.coalesce(F.try_element_at(other, y), F.array().cast("array<string>"))))))
+    # Few words have synonyms: they are told by a hash set before the map is searched.
+    known = lambda y: F.when(y.isin(list(SYNONYMS)), F.try_element_at(other, y))
+    return let(words_from(x, 2), lambda w: F.array_distinct(F.concat(F.transform(w, stem), F.flatten(F.filter(F.transform(w, known), lambda y: y.isNotNull())))))
 
 
 def trigrams(x: Column) -> Column:
@@ -152,6 +160,20 @@ def normalized_title(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(x)), r"(?U)[^\w\s]", ""), r"(?U)\s+", " ")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A value from 0 to under 2, rounded to the nearest decimal of its exact binary value, as printed decimals are.
+
+    The value is an integer number of 2 ** -62 (but for what is under 2 ** -10), and integers tell which side of a tie it is on.
+    """
+    one, wide = F.lit(2**62).cast("decimal(38,0)"), "decimal(38,0)"
+    scaled = (x * float(2**62)).cast("bigint").cast("decimal(20,0)") * F.lit(10**places).cast("decimal(8,0)")
+    rest = (scaled % one).cast(wide)
+    below = ((scaled - rest) / one).cast("bigint")
+    half = F.lit(2**61).cast(wide)
+    up = (rest > half) | ((rest == half) & (below % 2 == 1))
+    return (below + up.cast("bigint")) / F.lit(float(10**places))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeproof.functions.text import words_from
+from citeproof.storage import written
 
 
 def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:
@@ -94,7 +95,8 @@ def batches(df: DataFrame, order: str, size: int = 55) -> DataFrame:
     """df with batch, in runs of `size` by the order column, numbered without gathering the rows in one task."""
     from pyspark.sql.window import Window
 
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    # Written once: both branches must see the same parts.
+    parts = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeproof.config import THRESHOLDS, WEIGHTS, Thresholds, Weights
-from citeproof.functions.similarity import rounded, title_similarity
-from citeproof.functions.text import YEAR, blank_as_null, found, jaccard, normalize_doi, normalized_title, strip, title_tokens
+from citeproof.functions.similarity import title_similarity
+from citeproof.functions.text import YEAR, blank_as_null, found, jaccard, normalize_doi, normalized_title, rounded, strip, title_tokens
 
 
 def union_candidates(providers: list[DataFrame], per_provider: int = 5) -> DataFrame:
@@ -62,29 +62,60 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), jaccard(a, b))
 
 
-def score_candidates(pairs: DataFrame, title_score: Column | None = None, limits: Thresholds = THRESHOLDS, weights: Weights = WEIGHTS) -> DataFrame:
+def title_scores(pairs: DataFrame, hybrid: bool = True) -> DataFrame:
+    """(c_title, title, title_score, long) for the different pairs of titles: titles repeat, and only different pairs go
+    to Python. hybrid: 0.6 of the sequence ratio and 0.4 of the shared tokens; else the tokens alone. long: the title has
+    twelve characters and three tokens, so that a low score rejects."""
+    clean = lambda c: strip(F.coalesce(c, F.lit("")))
+    tokens = {side: pairs.select(F.col(side)).distinct().select(F.col(side), clean(F.col(side)).alias(f"_{side}"), title_tokens(clean(F.col(side))).alias(f"_tok_{side}")) for side in ("c_title", "title")}
+    both = pairs.select("c_title", "title").distinct()
+    for side, own in tokens.items():
+        own = own.withColumnRenamed(side, "_same")
+        both = both.join(own, F.col(side).eqNullSafe(F.col("_same"))).drop("_same")
+    shared = token_similarity(F.col("_tok_c_title"), F.col("_tok_title"))
+    score = title_similarity(F.lower("_c_title"), F.lower("_title"), shared) if hybrid else F.coalesce(shared, F.lit(0.0))
+    return both.select("c_title", "title", score.alias("title_score"), ((F.length("_c_title") >= 12) & (F.size("_tok_c_title") >= 3)).alias("_long"))
+
+
+def score_candidates(pairs: DataFrame, hybrid: bool = True, limits: Thresholds = THRESHOLDS, weights: Weights = WEIGHTS) -> DataFrame:
     """pairs with title_score, author_score, year_score, venue_score, status and match_score.
 
-    pairs: c_title, c_authors, c_year, c_raw, title, authors, year, venue. A title_score of one's own replaces the hybrid
-    one, which goes to Python. Rejected pairs stay, with their status and score 0.
+    pairs: c_title, c_authors, c_year, c_raw, title, authors, year, venue. Without hybrid, titles are compared by their
+    tokens alone and scores aren't rounded. Rejected pairs stay, with their status and score 0.
     """
-    clean = lambda c: strip(F.coalesce(c, F.lit("")))
-    df = pairs.withColumns({"_ct": clean(F.col("c_title")), "_t": clean(F.col("title"))}).withColumns({"_ctok": title_tokens(F.col("_ct")), "_tok": title_tokens(F.col("_t"))})
-    hybrid = title_similarity(F.lower("_ct"), F.lower("_t"), token_similarity(F.col("_ctok"), F.col("_tok")))
-    df = df.withColumn("title_score", hybrid if title_score is None else title_score)
+    own = title_scores(pairs, hybrid).withColumnsRenamed({"c_title": "_a", "title": "_b"})
+    df = pairs.join(own, F.col("c_title").eqNullSafe(F.col("_a")) & F.col("title").eqNullSafe(F.col("_b"))).drop("_a", "_b")
     year = F.coalesce("c_year", found(F.col("c_raw"), YEAR, 1).try_cast("int"))
-    df = df.withColumns({"author_score": author_score(title_tokens(F.array_join("c_authors", " ")), title_tokens(F.array_join("authors", " "))), "year_score": year_score(year, F.col("year").try_cast("int")), "venue_score": venue_score(F.col("venue"), F.col("c_raw"))})
+    df = df.withColumns({"_ca": title_tokens(F.array_join("c_authors", " ")), "_a": title_tokens(F.array_join("authors", " "))})
+    df = df.withColumns({"author_score": author_score(F.col("_ca"), F.col("_a")), "year_score": year_score(year, F.col("year").try_cast("int")), "venue_score": venue_score(F.col("venue"), F.col("c_raw"))})
     t, a, y, v = (F.col(f"{n}_score") for n in ("title", "author", "year", "venue"))
-    floor = (F.length("_ct") >= 12) & (F.size("_ctok") >= 3) & (t < limits.title_hard_floor)
+    floor = F.col("_long") & (t < limits.title_hard_floor)
     gate = (t >= 0.70) | ((a >= 0.50) & (t >= 0.40)) | ((a >= 0.50) & (F.coalesce(y, F.lit(0.0)) >= 0.5) & (t >= 0.35))
     known = [(t, weights.title, F.lit(True)), (a, weights.author, a > 0), (y, weights.year, y.isNotNull()), (v, weights.venue, v.isNotNull())]
     total = sum((F.when(present, F.lit(w) * s).otherwise(0.0) for s, w, present in known), F.lit(0.0))
     weight = sum((F.when(present, F.lit(w)).otherwise(0.0) for _, w, present in known), F.lit(0.0))
     raw = total / weight
-    score = rounded(raw, F.lit(3)) if title_score is None else raw
+    score = rounded(raw, 3) if hybrid else raw
     status = F.when(floor, "REJECTED_HARD_FLOOR").when(~gate, "REJECTED_IDENTITY_GATE").otherwise("ELIGIBLE")
     df = df.withColumns({"status": status, "_raw": score})
-    return df.withColumn("match_score", F.when(F.col("status") == "ELIGIBLE", F.col("_raw")).otherwise(0.0)).drop("_ct", "_t", "_ctok", "_tok", "_raw")
+    return df.withColumn("match_score", F.when(F.col("status") == "ELIGIBLE", F.col("_raw")).otherwise(0.0)).drop("_ca", "_a", "_long", "_raw")
+
+
+def containing(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
+    """texts joined with the needles that stand in them, both lower-cased by the caller.
+
+    A needle's words but its first and last one stand in such a text as whole words, so the longest of them tells which
+    texts to search; only needles without one (of two words or fewer) are searched in every text.
+    """
+    space = r"(?U)\s+"
+    inner = F.filter(F.slice(F.split(needle, space), 2, F.greatest(F.size(F.split(needle, space)) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    keyed = needles.withColumn("_word", longest)
+    words = texts.withColumn("_word", F.explode(F.array_distinct(F.split(text, space))))
+    wanted = keyed.where("_word is not null")
+    found_ = words.join(wanted, "_word").where(F.contains(F.col(text), F.col(needle))).drop("_word")
+    short = keyed.where("_word is null").drop("_word")
+    return found_.unionByName(texts.join(short, F.contains(F.col(text), F.col(needle))))
 
 
 def rank_candidates(scored: DataFrame, key: str = "citation_key", min_score: float = THRESHOLDS.min_score) -> DataFrame:
@@ -127,6 +158,7 @@ def local_matches(citations: DataFrame, papers: DataFrame, limits: Thresholds =
     text = F.coalesce(blank_as_null(F.col("abstract")), F.col("fulltext"), F.lit(""))
     hits = best.select("citation_key", strip(text).alias("target_text"), "filename", F.bround("match_score", 2).alias("confidence"))
     rest = named.join(hits.select("citation_key"), "citation_key", "left_anti").withColumn("_needle", F.lower(strip(F.coalesce("_given", F.lit(""))))).where(F.length("_needle") >= 6)
-    inside = rest.join(papers, F.contains(F.lower("fulltext"), F.col("_needle"))).groupBy("citation_key").agg(F.min_by(F.struct("abstract", "fulltext", "filename"), "seq").alias("p"))
+    bodies = papers.select("seq", "abstract", "fulltext", "filename", F.lower("fulltext").alias("_body"))
+    inside = containing(bodies, rest.select("citation_key", "_needle"), "_body", "_needle").groupBy("citation_key").agg(F.min_by(F.struct("abstract", "fulltext", "filename"), "seq").alias("p"))
     text = F.coalesce(blank_as_null(F.col("p.abstract")), F.col("p.fulltext"))
     return hits.unionByName(inside.select("citation_key", strip(text).alias("target_text"), "p.filename", F.lit(0.70).alias("confidence")))

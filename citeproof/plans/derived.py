@@ -39,17 +39,21 @@ def retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_works(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Three catalogues of parts as works, which overlap: all, the larger and the smaller ones. The first five of each name."""
+    """Three catalogues of parts as works (work_id, title, ...), which overlap: all, the larger and the smaller ones."""
     p = table(spark, sf_dir, "part")
-    w = Window.partitionBy("p_name").orderBy("p_partkey")
     out = []
     for source, keep in (("A", F.lit(True)), ("B", F.col("p_size") >= 15), ("C", F.col("p_size") <= 35)):
         doi = F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("https://doi.org/10.5000/P." if source == "B" else "10.5000/P."), "p_partkey"))
-        df = p.where(keep).withColumn("position", F.row_number().over(w)).where("position <= 5")
-        out.append(df.select(F.col("p_name").alias("citation_key"), "position", "p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"), doi.alias("doi"), F.array("p_brand").alias("authors"), (F.col("p_size") + 1960).alias("year"), F.lit(None).cast("string").alias("venue"), F.lit(source).alias("source")))
+        out.append(p.where(keep).select(F.col("p_partkey").alias("work_id"), "p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"), doi.alias("doi"), F.array("p_brand").alias("authors"), (F.col("p_size") + 1960).alias("year"), F.lit(None).cast("string").alias("venue"), F.lit(source).alias("source")))
     return out
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(citation_key, query): the different titles that citations name."""
+    title = F.concat_ws(" ", "p_name", "p_type")
+    return citations(spark, sf_dir).select(title.alias("citation_key"), title.alias("query")).distinct()
+
+
 def claim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, claim, evidence) with verbs and negations that agree or not."""
     c = citations(spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeproof.functions import text as T
-from citeproof.functions.alignment import align, lexical_features, most_relevant_clause, negated, polarity_conflict
+from citeproof.functions.alignment import align, claim_features, lexical_features, most_relevant_clause, negated, polarity_conflict
 from citeproof.functions.similarity import gestalt_ratio
 from citeproof.operators import audit as A
 from citeproof.operators import cache as K
@@ -18,6 +18,8 @@ from citeproof.operators import report as P
 from citeproof.operators import resolve as R
 from citeproof.operators import retraction as Q
 from citeproof.plans import derived as D
+from citeproof.sources.providers import search
+from citeproof.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 S = SparkSession
@@ -125,7 +127,9 @@ def strip_math_code(spark: S, sf: str) -> DataFrame:
 
 
 def _candidates(spark: S, sf: str) -> DataFrame:
-    return R.dedup_candidates(R.union_candidates(D.provider_works(spark, sf)))
+    """The best five works of each catalogue for each title, by title search over all works."""
+    found = [search(D.titles(spark, sf), works) for works in D.provider_works(spark, sf)]
+    return R.dedup_candidates(R.union_candidates(found))
 
 
 @query
@@ -135,10 +139,10 @@ def candidate_union_dedup(spark: S, sf: str) -> DataFrame:
 
 def _scored(spark: S, sf: str, hybrid: bool) -> DataFrame:
     c = D.citations(spark, sf)
-    wanted = c.select(F.col("o_orderkey"), F.col("p_partkey").alias("gold"), F.col("p_name").alias("citation_key"), F.concat_ws(" ", "p_name", "p_type").alias("c_title"), F.array("c_name").alias("c_authors"), F.col("yr").alias("c_year"), F.col("raw_text").alias("c_raw"))
+    title = F.concat_ws(" ", "p_name", "p_type")
+    wanted = c.select(F.col("o_orderkey"), F.col("p_partkey").alias("gold"), title.alias("citation_key"), title.alias("c_title"), F.array("c_name").alias("c_authors"), F.col("yr").alias("c_year"), F.col("raw_text").alias("c_raw"))
     pairs = wanted.join(_candidates(spark, sf), "citation_key").drop("citation_key").withColumnRenamed("o_orderkey", "citation_key")
-    own = None if hybrid else F.coalesce(R.token_similarity(F.col("_ctok"), F.col("_tok")), F.lit(0.0))
-    return R.score_candidates(pairs, own)
+    return R.score_candidates(pairs, hybrid)
 
 
 @query
@@ -177,7 +181,7 @@ def containment_join(spark: S, sf: str) -> DataFrame:
     """Benchmark passages that stand in a document as a whole: the first such document of each."""
     b, d = D.table(spark, sf, "benchmark"), D.table(spark, sf, "documents")
     needles = b.select("item_id", F.lower("text").alias("needle")).where("length(needle) >= 24")
-    hits = d.select("doc_id", F.lower("text").alias("body")).join(needles, F.contains("body", F.col("needle")))
+    hits = R.containing(d.select("doc_id", F.lower("text").alias("body")), needles, "body")
     return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"))
 
 
@@ -234,7 +238,8 @@ def concept_share(spark: S, sf: str) -> DataFrame:
 @query
 def best_sentence(spark: S, sf: str) -> DataFrame:
     """For each turn the sentence of the next one that shares most of its stems and trigrams."""
-    one = D.turn_pairs(spark, sf).select("conv_id", "turn", "claim", F.posexplode(T.sentences(F.col("abstract"))).alias("at", "sentence"))
+    pairs = claim_features(D.turn_pairs(spark, sf), "claim")
+    one = pairs.select("conv_id", "turn", "claim", "_cs", "_cg", "_ct", F.posexplode(T.sentences(F.col("abstract"))).alias("at", "sentence"))
     df = lexical_features(one, "claim", "sentence")
     score = 0.5 * F.col("stem_overlap") + 0.3 * F.col("trigram_jaccard")
     best = df.groupBy("conv_id", "turn").agg(F.max(F.struct(score.alias("score"), (-F.col("at")).alias("i"), "sentence")).alias("b"))
@@ -292,14 +297,14 @@ def audit_report(spark: S, sf: str) -> DataFrame:
 @query
 def audit_cascade(spark: S, sf: str) -> DataFrame:
     """The whole audit of all manuscripts: extraction, retractions, DOI records, title search, alignment, report."""
-    # Citations and verdicts are read by several branches each; they are kept rather than worked out again.
-    cited = X.extract_citations(D.manuscripts(spark, sf)).withColumn("citation_key", F.concat_ws(":", "doc_id", "line_no")).persist()
+    # Citations and verdicts are read by several branches each; they are written rather than worked out again.
+    cited = written(X.extract_citations(D.manuscripts(spark, sf)).withColumn("citation_key", F.concat_ws(":", "doc_id", "line_no")))
     works = D.citations(spark, sf)
     by_doi = works.where("o_orderpriority <> '5-LOW'").select(F.lower(T.extract_doi(F.col("raw_text"))).alias("doi"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.lit(False).alias("is_retracted"), F.when(F.col("o_orderstatus") != "P", F.concat_ws(" ", "p_name", F.lit("shows demand in"), "c_mktsegment")).otherwise("").alias("abstract"))
-    title = F.col("title")
-    keys = cited.select("citation_key", F.substring_index(title, " ", 2).alias("name"))
-    found = R.union_candidates(D.provider_works(spark, sf)).withColumnRenamed("citation_key", "name").withColumns({"abstract": title, "is_retracted": F.lit(False)})
-    verdicts = A.verify(cited, Q.retraction_dimension(D.retractions(spark, sf)), by_doi, found.join(keys, "name").drop("name")).persist()
+    asked = cited.select(F.col("title").alias("citation_key"), F.col("title").alias("query")).distinct()
+    found = R.union_candidates([search(asked, w) for w in D.provider_works(spark, sf)]).withColumnRenamed("citation_key", "asked").withColumns({"abstract": F.col("title"), "is_retracted": F.lit(False)})
+    candidates = found.join(cited.select("citation_key", F.col("title").alias("asked")), "asked").drop("asked")
+    verdicts = written(A.verify(cited, Q.retraction_dimension(D.retractions(spark, sf)), by_doi, candidates))
     return A.report(A.audit(cited, verdicts), "doc_id")
 
 

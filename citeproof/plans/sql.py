@@ -113,18 +113,23 @@ RESULTS = f"""{STATES},
 res AS (SELECT o_custkey AS doc_id, o_orderkey AS line_no, 'cit_' || o_orderkey AS citation_id, raw_text, p_name AS title, doi, status, risk, norm_doi AS verified_doi, 'ARTICLE_MATCHED' AS evidence_status,
   'claim <' || c_mktsegment || '> & more' AS claim, p_type AS evidence_text, 'SENTENCE' AS evidence_granularity, 1.0::DOUBLE AS reference_confidence, 0.5::DOUBLE AS claim_alignment_score, alignment_state FROM states)"""
 _WORKS = " UNION ALL ".join(
-    f"""SELECT p_name AS citation_key, {rank} * 5 + position AS seq, p_partkey, p_name || ' ' || p_type AS title, CASE WHEN p_size % 4 <> 0 THEN '{prefix}10.5000/P.' || p_partkey END AS doi, p_brand AS author, p_size + 1960 AS year, '{source}' AS source
-FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS position FROM part WHERE {keep}) WHERE position <= 5"""
+    f"""SELECT citation_key, {rank} * 5 + position AS seq, p_partkey, title, CASE WHEN p_size % 4 <> 0 THEN '{prefix}10.5000/P.' || p_partkey END AS doi, p_brand AS author, p_size + 1960 AS year, '{source}' AS source
+FROM (SELECT m.citation_key, t.*, row_number() OVER (PARTITION BY m.citation_key ORDER BY m.shared DESC, t.p_partkey) AS position FROM met m JOIN titled t USING (title) WHERE {keep}) WHERE position <= 5"""
     for rank, (source, keep, prefix) in enumerate((("A", "true", ""), ("B", "p_size >= 15", "https://doi.org/"), ("C", "p_size <= 35", "")))
 )
-CANDIDATES = f"""works AS ({_WORKS}),
+CANDIDATES = f"""asked AS (SELECT DISTINCT p_name || ' ' || p_type AS citation_key FROM cit),
+askt AS (SELECT citation_key, list_distinct({title_tokens('citation_key')}) AS a FROM asked),
+titled AS (SELECT *, p_name || ' ' || p_type AS title FROM part),
+titt AS (SELECT title, list_distinct({title_tokens('title')}) AS b FROM (SELECT DISTINCT title FROM titled)),
+met AS (SELECT * FROM (SELECT citation_key, title, {both('a', 'b')} AS shared FROM askt CROSS JOIN titt) WHERE shared > 0),
+works AS ({_WORKS}),
 wkeys AS (SELECT *, {normalize_doi('doi')} AS nd, regexp_replace(regexp_replace(lower({strip('title')}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g') AS nt FROM works),
 wsame AS (SELECT *, CASE WHEN nd IS NOT NULL THEN 'd' || nd WHEN length(nt) >= 5 THEN 't' || nt || '|' || lower(author) || '|' || year ELSE 's' || seq END AS same FROM wkeys),
 cand AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY citation_key, same ORDER BY seq) AS n FROM wsame) WHERE n = 1)"""
 _T, _W = THRESHOLDS, WEIGHTS
 SCORED = f"""{CITED}, {CANDIDATES},
 raws AS (SELECT o_orderkey, cit.p_partkey AS gold, cand.p_partkey, seq, {title_tokens("cit.p_name || ' ' || p_type")} AS a, {title_tokens('title')} AS b, length(cit.p_name || ' ' || p_type) AS n,
-  CASE WHEN abs(yr - year) = 0 THEN 1.0::DOUBLE WHEN abs(yr - year) = 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS year_score FROM cit JOIN cand ON cit.p_name = citation_key),
+  CASE WHEN abs(yr - year) = 0 THEN 1.0::DOUBLE WHEN abs(yr - year) = 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS year_score FROM cit JOIN cand ON cit.p_name || ' ' || p_type = citation_key),
 tsim AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN {jaccard('list_distinct(a)', 'list_distinct(b)')} ELSE 0.0::DOUBLE END AS t FROM raws),
 scored AS (SELECT *, CASE WHEN n >= 12 AND len(a) >= 3 AND t < {_T.title_hard_floor} THEN 'REJECTED_HARD_FLOOR' WHEN t < 0.70 THEN 'REJECTED_IDENTITY_GATE' ELSE 'ELIGIBLE' END AS status,
   ({_W.title}::DOUBLE * t + {_W.year}::DOUBLE * year_score) / ({_W.title}::DOUBLE + {_W.year}::DOUBLE) AS raw FROM tsim),
@@ -171,7 +176,7 @@ SELECT doi, title, r OR coalesce({contains_any('lower(title)', RETRACTED_TITLE['
     "bracket_range_mentions": f"WITH {MANUSCRIPT} SELECT doc_id, ref_line, claim_line, claim FROM men",
     "manuscript_citations": f"""WITH {MANUSCRIPT} SELECT b.doc_id, n + 1 + k AS line_no, 'cit_' || b.o_orderkey AS citation_id, '10.1000/ORD.' || b.o_orderkey AS doi, p_name || ' ' || p_type AS title, c_name AS authors, yr AS year, claim, 'Text Line ' || (n + 1 + k) AS location_info
 FROM body b JOIN men ON men.doc_id = b.doc_id AND ref_line = n + 1 + k JOIN cit ON cit.o_orderkey = b.o_orderkey""",
-    "candidate_union_dedup": f"WITH {CANDIDATES} SELECT citation_key, seq, p_partkey, coalesce(nd, doi) AS doi, title, year, source FROM cand",
+    "candidate_union_dedup": f"WITH {CITED}, {CANDIDATES} SELECT citation_key, seq, p_partkey, coalesce(nd, doi) AS doi, title, year, source FROM cand",
     "candidate_rank_margin": f"WITH {SCORED} SELECT o_orderkey, p_partkey, score AS match_score, margin, CASE WHEN score >= {_T.high_confidence} AND margin >= {_T.high_margin} THEN 'HIGH' WHEN score >= {_T.medium_confidence} AND margin >= {_T.medium_margin} THEN 'MEDIUM' ELSE 'UNCERTAIN' END AS confidence FROM ranked WHERE rank = 1",
     "candidate_status": f"WITH {SCORED} SELECT status, count(*) AS n, sum(year_score) AS year_points FROM scored GROUP BY 1",
     "mrr_recall5": f"WITH {SCORED}, g AS (SELECT o_orderkey, rank FROM ranked WHERE p_partkey = gold) SELECT count(*) AS n, avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS top1, avg(coalesce(1 / rank::DOUBLE, 0.0)) AS mrr, avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0.0 END) AS recall5 FROM cit LEFT JOIN g USING (o_orderkey)",
