@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from citeproof.config import THRESHOLDS, Thresholds
 from citeproof.functions.similarity import sentence_scores
-from citeproof.functions.text import clauses, contains_any, jaccard, let, literals, overlap, rounded, sentences, stem, stems, trigrams, words, words_from
+from citeproof.functions.text import clauses, contains_any, fenced, jaccard, let, literals, overlap, rounded, sentences, stem, stems, trigrams, words, words_from
 from citeproof.lexicons import CONCEPTS, FALLING, NEGATIONS_EN, NEGATIONS_ZH, RISING
 
 
@@ -33,17 +33,20 @@ def claim_features(df: DataFrame, claim: str) -> DataFrame:
     return df.withColumns({"_cs": stems(F.col(claim)), "_cg": trigrams(F.col(claim)), "_ct": F.array_distinct(words_from(F.col(claim), 3))})
 
 
-def lexical_features(df: DataFrame, claim: str, sentence: str) -> DataFrame:
-    """stem_overlap, trigram_jaccard, token_overlap and concept_share of two text columns."""
+FEATURES = ("stem_overlap", "trigram_jaccard", "token_overlap", "concept_share")
+
+
+def lexical_features(df: DataFrame, claim: str, sentence: str, only: tuple[str, ...] = FEATURES) -> DataFrame:
+    """stem_overlap, trigram_jaccard, token_overlap and concept_share, or some of them, of two text columns."""
     df = df if "_cs" in df.columns else claim_features(df, claim)
-    return df.withColumns(
-        {
-            "stem_overlap": overlap(F.col("_cs"), stems(F.col(sentence))),
-            "trigram_jaccard": let(trigrams(F.col(sentence)), lambda g: jaccard(F.col("_cg"), g)),
-            "token_overlap": overlap(F.col("_ct"), F.array_distinct(words_from(F.col(sentence), 3))),
-            "concept_share": concept_share(F.lower(claim), F.lower(sentence)),
-        }
-    ).drop("_cs", "_cg", "_ct")
+    each = {
+        "stem_overlap": overlap(F.col("_cs"), stems(F.col(sentence))),
+        "trigram_jaccard": let(trigrams(F.col(sentence)), lambda g: jaccard(F.col("_cg"), g)),
+        "token_overlap": overlap(F.col("_ct"), F.array_distinct(words_from(F.col(sentence), 3))),
+        "concept_share": concept_share(F.lower(claim), F.lower(sentence)),
+    }
+    features = F.struct(*[each[f].alias(f) for f in only])
+    return df.withColumn("_f", fenced(features)).select(*[c for c in df.columns if c not in ("_cs", "_cg", "_ct")], "_f.*")
 
 
 def most_relevant_clause(df: DataFrame, claim: str, sentence: str, out: str = "clause") -> DataFrame:

@@ -28,6 +28,13 @@ def query_text(title: Column, doi: Column) -> Column:
     return F.when(F.length(text) >= 3, text)
 
 
+def enriched(best: DataFrame, by_doi: DataFrame) -> DataFrame:
+    """best (doi, abstract, ...) with the abstract of the DOI's record (doi, abstract) where it has none of its own."""
+    more = by_doi.select(F.col("doi").alias("_found"), F.col("abstract").alias("_more"))
+    lacking = F.when(F.coalesce("abstract", F.lit("")) == "", F.col("doi"))
+    return best.withColumn("_found", lacking).join(more, "_found", "left").withColumn("abstract", F.coalesce(blank_as_null(F.col("abstract")), F.col("_more"), F.lit(""))).drop("_found", "_more")
+
+
 def verify(citations: DataFrame, retractions: DataFrame, by_doi: DataFrame, candidates: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """citations (citation_key, title, doi, raw_text, authors, year) with their verdict (the VERDICT columns).
 
@@ -63,8 +70,7 @@ def verify(citations: DataFrame, retractions: DataFrame, by_doi: DataFrame, cand
 
     wanted = left.where(query_text(F.col("title"), F.col("doi")).isNotNull()).select("citation_key", F.col("title").alias("c_title"), F.col("raw_text").alias("c_raw"), F.col("authors").alias("c_authors"), F.col("year").alias("c_year"))
     best = best_candidates(score_candidates(dedup_candidates(candidates).join(wanted, "citation_key"))).where("title <> ''")
-    more = by_doi.select(F.col("doi").alias("_found"), F.col("abstract").alias("_more"))
-    best = best.withColumn("_found", F.col("doi")).join(more, "_found", "left").withColumn("abstract", F.coalesce(blank_as_null(F.col("abstract")), F.col("_more"), F.lit("")))
+    best = enriched(best, by_doi)
     gone = F.coalesce("is_retracted", F.lit(False))
     searched = best.select("citation_key", F.lit(True).alias("matched"), "doi", "title", gone.alias("is_retracted"), "abstract", F.bround("match_score", 2).alias("confidence"), "match_confidence", "match_margin", F.when(gone, "RETRACTED").otherwise("ARTICLE_MATCHED").alias("evidence_status"), "is_uncertain", F.concat("source", F.lit(" (rerank)")).alias("source"), null.cast("string").alias("failure_reason"))
     left = left.join(searched.select("citation_key"), "citation_key", "left_anti")

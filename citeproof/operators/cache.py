@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,51 @@ def delete(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return entries.join(keys.select("key").distinct(), "key", "left_anti")
 
 
+class Table:
+    """A cache kept as Parquet: every write adds files, the last entry of a key counts, and purge() writes the table anew.
+
+    A version is a folder of its own, and the newest one with a success mark is the table, so that a reader or a job that
+    is cut off never sees half of a purge. One writer at a time.
+    """
+
+    SCHEMA = "key string, value string, expires_at bigint, seq bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._of = lambda *parts: hadoop.Path("/".join([self.path, *parts]))
+
+    def _version(self) -> int:
+        if not self._fs.exists(self._of()):
+            return 0
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._of())]
+        return max([int(n[1:]) for n in names if n[:1] == "v" and self._fs.exists(self._of(n, "_SUCCESS"))], default=0)
+
+    def entries(self) -> DataFrame:
+        """All entries that were written and not purged, older ones of a key too."""
+        version = self._version()
+        if not version:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{version}")
+
+    def set(self, entries: DataFrame) -> None:
+        entries.select("key", "value", "expires_at", "seq").write.mode("append").parquet(f"{self.path}/v{max(1, self._version())}")
+
+    def get(self, keys: DataFrame, now: Column) -> DataFrame:
+        return alive(latest(self.entries()), now).join(keys.select("key").distinct(), "key", "left_semi")
+
+    def purge(self, now: Column, gone: DataFrame | None = None) -> None:
+        """Keep the last entry of each key that is alive, without the keys of gone."""
+        old = self._version()
+        kept = alive(latest(self.entries()), now)
+        (kept if gone is None else delete(kept, gone)).write.mode("overwrite").parquet(f"{self.path}/v{old + 1}")
+        self._fs.delete(self._of(f"v{old}"), True)
+
+    def clear(self) -> None:
+        self._fs.delete(self._of(), True)
+
+
 def read_through(requests: DataFrame, entries: DataFrame, now: Column, fetch) -> tuple[DataFrame, DataFrame]:
     """(answers, new entries) for requests (key, ...): live entries answer, fetch(missing requests) -> (key, value) the rest."""
     held = alive(latest(entries), now).select("key", "value")

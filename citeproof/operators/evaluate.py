@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,42 @@ def ranking_metrics(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count("*").alias("n"), F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top1"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)).alias("recall5"))
 
 
+def abstention_accuracy(results: DataFrame) -> DataFrame:
+    """Of results (expected, found: ids, null for none) how many ask for no answer, how many of these got none, and the share."""
+    none = F.col("expected").isNull()
+    right = F.count_if(none & F.col("found").isNull())
+    return results.agg(F.count_if(none).alias("n_abstain"), right.alias("abstained"), F.try_divide(right, F.count_if(none)).alias("abstention_accuracy"))
+
+
+def detection_counts(results: DataFrame) -> DataFrame:
+    """Of results (kind: retracted, fake or real; status; matched) the retracted ones detected, the fakes rejected and the real ones matched."""
+    kind, matched = F.col("kind"), F.coalesce("matched", F.lit(False))
+    return results.agg(F.count("*").alias("total"), F.count_if((kind == "retracted") & (F.col("status") == "RETRACTED")).alias("retracted_detected"), F.count_if((kind == "fake") & ~matched).alias("fake_rejected"), F.count_if((kind == "real") & matched).alias("matched_count"))
+
+
+def mean_token_lengths(texts: DataFrame, *columns: str) -> DataFrame:
+    """The mean number of words, between white space, of each text column; empty and null texts have none."""
+    n = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    return texts.agg(*[F.avg(n(c)).alias(f"mean_{c}") for c in columns])
+
+
+def evidence_pairs(claims: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(claim_id, claim, doc_id, label, title, abstract): claims (claim_id, claim, evidence: map of doc_id to labels,
+    cited: doc_ids) with the documents of the corpus that they name. The first label of the evidence counts, NEUTRAL where
+    a document is cited without; documents that the corpus lacks are dropped."""
+    named = claims.select("claim_id", "claim", F.explode(F.array_distinct(F.concat(F.coalesce(F.map_keys("evidence"), F.array().cast("array<string>")), F.coalesce("cited", F.array().cast("array<string>"))))).alias("doc_id"), "evidence")
+    label = F.coalesce(F.get(F.try_element_at("evidence", F.col("doc_id")), F.lit(0)), F.lit("NEUTRAL"))
+    return named.select("claim_id", "claim", "doc_id", label.alias("label")).join(corpus.select("doc_id", "title", "abstract"), "doc_id")
+
+
+def timed(run: Callable[[], int]) -> dict[str, float]:
+    """Seconds, items a second and milliseconds an item of run(), which returns how many items it went through."""
+    began = time.perf_counter()
+    n = run()
+    took = time.perf_counter() - began
+    return {"items": n, "seconds": took, "qps": n / max(took, 1e-9), "ms_per_item": 1000 * took / max(n, 1)}
+
+
 def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf) of the words of two or more characters."""
     return texts.select(key, F.explode(words_from(F.col(text), 2)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))

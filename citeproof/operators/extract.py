@@ -49,6 +49,14 @@ def bracket_mentions(lines: DataFrame, most: int = 10_000) -> DataFrame:
     return parts.select("doc_id", "line_no", "line", number(0).alias("lo"), hi.alias("hi")).where("lo <= hi")
 
 
+def key_mentions(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, key, claim_line, claim): the first line of a document in whose brackets a key of keys (doc_id, key) stands
+    alone, whether the key is a number or not. Brackets become rows and meet keys by equality."""
+    inside = lines.select("doc_id", "line_no", "line", F.explode(F.regexp_extract_all("line", F.lit(r"(?U)\[\s*([^\[\]]*?)\s*\]"), F.lit(1))).alias("key"))
+    hits = inside.where("key <> ''").join(keys.select("doc_id", "key").distinct(), ["doc_id", "key"])
+    return hits.groupBy("doc_id", "key").agg(F.min(F.struct("line_no", "line")).alias("m")).select("doc_id", "key", F.col("m.line_no").alias("claim_line"), F.col("m.line").alias("claim"))
+
+
 def first_mentions(references: DataFrame, mentions: DataFrame, widest: int = 1000) -> DataFrame:
     """(doc_id, ref_line, claim_line, claim) with the first other line of a document whose brackets hold a reference's number.
 

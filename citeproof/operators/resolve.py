@@ -77,16 +77,22 @@ def title_scores(pairs: DataFrame, hybrid: bool = True) -> DataFrame:
     return both.select("c_title", "title", score.alias("title_score"), ((F.length("_c_title") >= 12) & (F.size("_tok_c_title") >= 3)).alias("_long"))
 
 
+def author_tokens(authors: Column) -> Column:
+    return title_tokens(F.array_join(authors, " "))
+
+
 def score_candidates(pairs: DataFrame, hybrid: bool = True, limits: Thresholds = THRESHOLDS, weights: Weights = WEIGHTS) -> DataFrame:
     """pairs with title_score, author_score, year_score, venue_score, status and match_score.
 
-    pairs: c_title, c_authors, c_year, c_raw, title, authors, year, venue. Without hybrid, titles are compared by their
+    pairs: c_title, c_authors, c_year, c_raw, title, authors, year, venue; and where they were made before the join,
+    c_author_tokens and author_tokens of the two. Without hybrid, titles are compared by their
     tokens alone and scores aren't rounded. Rejected pairs stay, with their status and score 0.
     """
     own = title_scores(pairs, hybrid).withColumnsRenamed({"c_title": "_a", "title": "_b"})
     df = pairs.join(own, F.col("c_title").eqNullSafe(F.col("_a")) & F.col("title").eqNullSafe(F.col("_b"))).drop("_a", "_b")
     year = F.coalesce("c_year", found(F.col("c_raw"), YEAR, 1).try_cast("int"))
-    df = df.withColumns({"_ca": title_tokens(F.array_join("c_authors", " ")), "_a": title_tokens(F.array_join("authors", " "))})
+    own_tokens, tokens = (F.col(n) if n in df.columns else author_tokens(F.col(c)) for n, c in (("c_author_tokens", "c_authors"), ("author_tokens", "authors")))
+    df = df.withColumns({"_ca": own_tokens, "_a": tokens})
     df = df.withColumns({"author_score": author_score(F.col("_ca"), F.col("_a")), "year_score": year_score(year, F.col("year").try_cast("int")), "venue_score": venue_score(F.col("venue"), F.col("c_raw"))})
     t, a, y, v = (F.col(f"{n}_score") for n in ("title", "author", "year", "venue"))
     floor = F.col("_long") & (t < limits.title_hard_floor)

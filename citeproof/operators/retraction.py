@@ -14,6 +14,17 @@ def known_retractions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN_RETRACTIONS, "doi string, title string, journal string, date string, reason string")
 
 
+def save_retractions(records: DataFrame, path: str) -> None:
+    """Add records (doi, title, journal, date, reason, seq) to the table at path; retraction_dimension takes the last of each DOI."""
+    records.select("doi", "title", "journal", "date", "reason", "seq").write.mode("append").parquet(path)
+
+
+def load_retractions(spark: SparkSession, path: str) -> DataFrame:
+    """The records at path over the known ones, which come first."""
+    known = known_retractions(spark).withColumn("seq", F.lit(-1).cast("bigint"))
+    return known.unionByName(spark.read.schema(known.schema).parquet(path))
+
+
 def retraction_dimension(records: DataFrame, order: str = "seq") -> DataFrame:
     """records by normalized DOI; the last record of a DOI counts, and those without a DOI don't."""
     last = F.row_number().over(Window.partitionBy("doi").orderBy(F.desc(order)))

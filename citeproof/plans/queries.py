@@ -18,7 +18,8 @@ from citeproof.operators import report as P
 from citeproof.operators import resolve as R
 from citeproof.operators import retraction as Q
 from citeproof.plans import derived as D
-from citeproof.sources.providers import search
+from citeproof.sources.files import kind_of, paper_columns
+from citeproof.sources.providers import crossref_works, openalex_works, search, semantic_scholar_works
 from citeproof.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,7 +142,9 @@ def _scored(spark: S, sf: str, hybrid: bool) -> DataFrame:
     c = D.citations(spark, sf)
     title = F.concat_ws(" ", "p_name", "p_type")
     wanted = c.select(F.col("o_orderkey"), F.col("p_partkey").alias("gold"), title.alias("citation_key"), title.alias("c_title"), F.array("c_name").alias("c_authors"), F.col("yr").alias("c_year"), F.col("raw_text").alias("c_raw"))
-    pairs = wanted.join(_candidates(spark, sf), "citation_key").drop("citation_key").withColumnRenamed("o_orderkey", "citation_key")
+    wanted = wanted.withColumn("c_author_tokens", R.author_tokens(F.col("c_authors")))
+    given = _candidates(spark, sf).withColumn("author_tokens", R.author_tokens(F.col("authors")))
+    pairs = wanted.join(given, "citation_key").drop("citation_key").withColumnRenamed("o_orderkey", "citation_key")
     return R.score_candidates(pairs, hybrid)
 
 
@@ -210,18 +213,18 @@ def document_clauses(spark: S, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("c").cast("bigint").alias("n_clauses"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
-def _features(spark: S, sf: str) -> DataFrame:
-    return lexical_features(D.turn_pairs(spark, sf), "claim", "abstract")
+def _features(spark: S, sf: str, *only: str) -> DataFrame:
+    return lexical_features(D.turn_pairs(spark, sf), "claim", "abstract", only)
 
 
 @query
 def stem_overlap(spark: S, sf: str) -> DataFrame:
-    return _features(spark, sf).select("conv_id", "turn", "stem_overlap")
+    return _features(spark, sf, "stem_overlap").select("conv_id", "turn", "stem_overlap")
 
 
 @query
 def trigram_jaccard(spark: S, sf: str) -> DataFrame:
-    return _features(spark, sf).select("conv_id", "turn", "trigram_jaccard")
+    return _features(spark, sf, "trigram_jaccard").select("conv_id", "turn", "trigram_jaccard")
 
 
 @query
@@ -232,7 +235,7 @@ def token_jaccard(spark: S, sf: str) -> DataFrame:
 
 @query
 def concept_share(spark: S, sf: str) -> DataFrame:
-    return _features(spark, sf).select("conv_id", "turn", F.coalesce("concept_share", F.lit(-1.0)).alias("concept_share"), "token_overlap")
+    return _features(spark, sf, "concept_share", "token_overlap").select("conv_id", "turn", F.coalesce("concept_share", F.lit(-1.0)).alias("concept_share"), "token_overlap")
 
 
 @query
@@ -240,7 +243,7 @@ def best_sentence(spark: S, sf: str) -> DataFrame:
     """For each turn the sentence of the next one that shares most of its stems and trigrams."""
     pairs = claim_features(D.turn_pairs(spark, sf), "claim")
     one = pairs.select("conv_id", "turn", "claim", "_cs", "_cg", "_ct", F.posexplode(T.sentences(F.col("abstract"))).alias("at", "sentence"))
-    df = lexical_features(one, "claim", "sentence")
+    df = lexical_features(one, "claim", "sentence", ("stem_overlap", "trigram_jaccard"))
     score = 0.5 * F.col("stem_overlap") + 0.3 * F.col("trigram_jaccard")
     best = df.groupBy("conv_id", "turn").agg(F.max(F.struct(score.alias("score"), (-F.col("at")).alias("i"), "sentence")).alias("b"))
     return best.select("conv_id", "turn", "b.sentence", F.floor(F.col("b.score") * 1e6).cast("bigint").alias("score_ppm"))
@@ -420,3 +423,144 @@ def inverted_index_rebuild(spark: S, sf: str) -> DataFrame:
 @query
 def batch_buckets(spark: S, sf: str) -> DataFrame:
     return E.batches(D.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").groupBy("batch").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+def _payloads(spark: S, sf: str) -> DataFrame:
+    """Parts as the records of three providers, in JSON."""
+    p = D.table(spark, sf, "part")
+    title = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("RETRACTED: "), "p_name")).otherwise(F.col("p_name"))
+    name = F.lit("display_name")
+    authors = F.array(F.struct(F.create_map(name, F.col("p_brand")).alias("author")), F.struct(F.create_map(name, F.col("p_type")).alias("author")))
+    openalex = F.to_json(F.struct(F.concat(F.lit("https://doi.org/10.5000/P."), "p_partkey").alias("doi"), F.when(F.col("p_size") % 5 != 0, title).alias("title"), title.alias("display_name"), (F.col("p_size") + 1960).alias("publication_year"), (F.col("p_size") == 20).alias("is_retracted"), F.col("p_size").alias("cited_by_count"), F.when(F.col("p_size") % 3 != 0, F.create_map("p_type", F.array(F.lit(1), F.lit(2)), "p_brand", F.array(F.lit(0)))).alias("abstract_inverted_index"), authors.alias("authorships")))
+    update = F.array(F.struct(F.when(F.col("p_size") % 4 == 0, "retraction").otherwise("correction").alias("type")))
+    crossref = F.to_json(F.struct(F.concat(F.lit("10.5000/P."), "p_partkey").alias("DOI"), F.array(title).alias("title"), F.col("p_brand").alias("publisher"), F.when(F.col("p_size") == 9, "retracted-article").otherwise("journal-article").alias("type"), update.alias("update-to"), F.array(F.struct(F.col("p_brand").alias("given"), F.col("p_type").alias("family"))).alias("author"), F.struct(F.array(F.array(F.col("p_size") + 1960, F.lit(1))).alias("date-parts")).alias("issued")))
+    ids = F.struct(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("10.5000/P."), "p_partkey")).alias("DOI"), F.concat(F.lit("2301."), "p_partkey").alias("ArXiv"))
+    semantic = F.to_json(F.struct("p_name", title.alias("title"), (F.col("p_size") + 1960).alias("year"), F.col("p_brand").alias("venue"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("abstract"), (F.col("p_size") == 11).alias("isRetracted"), ids.alias("externalIds"), F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.lit("").alias("name"))).alias("authors")))
+    return p.select("p_partkey", openalex.alias("openalex"), crossref.alias("crossref"), semantic.alias("semantic"))
+
+
+def _shown(works: DataFrame) -> DataFrame:
+    return works.withColumn("authors", F.array_join("authors", "|"))
+
+
+@query
+def openalex_records(spark: S, sf: str) -> DataFrame:
+    return _shown(openalex_works(_payloads(spark, sf).select("p_partkey", "openalex"), "openalex"))
+
+
+@query
+def crossref_records_by_doi(spark: S, sf: str) -> DataFrame:
+    return _shown(crossref_works(_payloads(spark, sf).select("p_partkey", "crossref"), "crossref", by_doi=True))
+
+
+@query
+def crossref_records_by_title(spark: S, sf: str) -> DataFrame:
+    return crossref_works(_payloads(spark, sf).select("p_partkey", "crossref"), "crossref").select("p_partkey", "title", "is_retracted")
+
+
+@query
+def semantic_scholar_records(spark: S, sf: str) -> DataFrame:
+    return _shown(semantic_scholar_works(_payloads(spark, sf).select("p_partkey", "semantic"), "semantic"))
+
+
+@query
+def query_admission(spark: S, sf: str) -> DataFrame:
+    """What a title search asks for, and whether a title is used as a DOI."""
+    k = F.col("o_orderkey") % 4
+    title = F.when(k == 0, "ab").when(k == 1, F.concat(F.lit("doi 10.1000/x."), "o_orderkey")).when(k == 2, F.col("raw_text")).otherwise("")
+    df = D.citations(spark, sf).select("o_orderkey", title.alias("title"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" https://doi.org/10.1000/ORD."), "o_orderkey")).alias("doi"))
+    return df.select("o_orderkey", A.query_text(F.col("title"), F.col("doi")).alias("query"), T.looks_like_doi(F.col("title")).alias("by_doi"), T.provider_doi(F.col("doi")).alias("provider_doi"))
+
+
+@query
+def abstract_enrichment(spark: S, sf: str) -> DataFrame:
+    """Works without an abstract take that of their DOI's record."""
+    p = D.table(spark, sf, "part")
+    best = p.select("p_partkey", F.concat(F.lit("10.5/"), F.col("p_partkey") % 1000).alias("doi"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, "").alias("abstract"))
+    records = p.where("p_partkey < 1000 and p_size < 40").select(F.concat(F.lit("10.5/"), "p_partkey").alias("doi"), F.col("p_type").alias("abstract"))
+    return A.enriched(best, records)
+
+
+@query
+def gold_labels(spark: S, sf: str) -> DataFrame:
+    df = _states(spark, sf).select(E.gold_label(F.col("alignment_state")).alias("label"), "risk")
+    return df.groupBy("label", "risk").agg(F.count("*").alias("n"))
+
+
+@query
+def file_kinds(spark: S, sf: str) -> DataFrame:
+    """Formats by extension, names without folders, and addresses with names in them."""
+    ends = F.array(*map(F.lit, [".md", ".TXT", ".tex", ".bib", ".docx", ".pdf", "", ".odt"]))
+    path = F.concat(F.lit("/data/v1.2/"), "p_brand", F.lit("/"), "p_name", F.get(ends, F.col("p_partkey").cast("int") % 8))
+    df = D.table(spark, sf, "part").select("p_partkey", path.alias("path"))
+    return df.select("p_partkey", kind_of(F.col("path")).alias("kind"), T.basename(F.col("path")).alias("name"), T.extension(F.col("path")).alias("extension"), T.quoted(F.col("path")).alias("quoted"))
+
+
+@query
+def paper_records(spark: S, sf: str) -> DataFrame:
+    """Documents as reference papers: the title is the first line that isn't blank, the abstract what is marked as one."""
+    d = D.table(spark, sf, "documents").where("lang = 'en'")
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 80), F.lit("\nA. Author, B. Author\nAbstract: We study "), "source", F.lit(" in 2004.\n\n1. Body\n"), "text")).otherwise(F.col("text"))
+    papers = paper_columns(d.select(F.col("doc_id").cast("string").alias("filename"), F.lit("/x").alias("filepath"), marked.alias("fulltext")))
+    return papers.select(F.col("filename").cast("bigint").alias("doc_id"), "title", F.when(F.col("filename").cast("bigint") % 2 == 0, F.col("abstract")).alias("abstract"))
+
+
+@query
+def evidence_map(spark: S, sf: str) -> DataFrame:
+    """Claims with the documents that their evidence or citations name; documents that don't exist are dropped."""
+    o = D.table(spark, sf, "orders")
+    key = lambda m: (F.col("o_orderkey") % m).cast("string")
+    evidence = F.map_from_arrays(F.array(key(300)), F.array(F.array(F.when(F.col("o_orderstatus") == "F", "SUPPORT").otherwise("CONTRADICT"))))
+    claims = o.select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderpriority").alias("claim"), F.when(F.col("o_orderstatus") != "P", evidence).alias("evidence"), F.array(key(300), key(170), key(5000)).alias("cited"))
+    d = D.table(spark, sf, "documents")
+    corpus = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("title"), F.col("source").alias("abstract"))
+    return E.evidence_pairs(claims, corpus)
+
+
+@query
+def key_mentions(spark: S, sf: str) -> DataFrame:
+    """Where keys that aren't numbers are first cited."""
+    k = F.concat(F.lit("K"), F.col("o_orderkey") % 50)
+    lines = D.citations(spark, sf).select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("line_no"), F.concat(F.lit("See [ "), k, F.lit(" ] and ["), "p_name", F.lit("], not ["), k, F.lit("x].")).alias("line"))
+    keys = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("K"), i))).alias("key"))
+    return X.key_mentions(lines, keys)
+
+
+@query
+def detection_counts(spark: S, sf: str) -> DataFrame:
+    kind = F.when(F.col("retraction").isNotNull(), "retracted").when(F.col("o_orderkey") % 3 == 0, "fake").otherwise("real")
+    df = _flagged(spark, sf).select(kind.alias("kind"), F.when(F.col("o_orderstatus") != "P", "RETRACTED").otherwise("VALID").alias("status"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority") < "3").alias("matched"))
+    return E.detection_counts(df)
+
+
+@query
+def abstention(spark: S, sf: str) -> DataFrame:
+    ranked = R.rank_candidates(_scored(spark, sf, False)).where("rank = 1").select("citation_key", F.col("p_partkey").alias("found"))
+    c = D.citations(spark, sf).select(F.col("o_orderkey").alias("citation_key"), F.when(F.col("o_orderkey") % 4 != 0, F.col("p_partkey")).alias("expected"))
+    return E.abstention_accuracy(c.join(ranked.where("citation_key % 8 <> 0"), "citation_key", "left"))
+
+
+@query
+def candidate_top_two(spark: S, sf: str) -> DataFrame:
+    """The best candidate of each citation by title tokens, and both of the two best where they are too close."""
+    best = R.best_candidates(_scored(spark, sf, False))
+    two = F.array_join(F.transform("ambiguous_candidates", lambda s: F.concat_ws("/", s["title"], s["doi"], s["source"])), "|")
+    return best.select(F.col("citation_key").alias("o_orderkey"), "p_partkey", "is_uncertain", two.alias("two"))
+
+
+@query
+def token_lengths(spark: S, sf: str) -> DataFrame:
+    return E.mean_token_lengths(D.turn_pairs(spark, sf), "claim", "abstract")
+
+
+@query
+def report_terminal(spark: S, sf: str) -> DataFrame:
+    return P.terminal(_results(spark, sf).where("risk <> 'PASS'"))
+
+
+@query
+def report_html_rows(spark: S, sf: str) -> DataFrame:
+    """How many rows and which counts the HTML pages show."""
+    page = P.html(_results(spark, sf))
+    n = lambda r: F.regexp_count("html", F.lit(f'<tr data-risk="{r}"')).cast("bigint")
+    return page.select("doc_id", *[n(r).alias(r.lower()) for r in A.RISKS], F.regexp_extract("html", r"<p>(\d+) citations", 1).alias("total"))

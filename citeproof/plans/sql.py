@@ -227,4 +227,38 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id
     "cache_upsert_latest": f"WITH {CACHE}, l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM entries) SELECT key, seq, expires_at FROM l WHERE n = 1 AND expires_at >= {NOW}",
     "inverted_index_rebuild": "SELECT item_id, md5(text) AS text_md5 FROM benchmark",
     "batch_buckets": "SELECT batch, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 55) AS BIGINT) AS batch FROM orders) GROUP BY 1",
+    "openalex_records": """SELECT p_partkey, title, '10.5000/p.' || p_partkey AS doi, p_brand || '|' || p_type AS authors, p_size + 1960 AS year, CAST(NULL AS VARCHAR) AS venue, CASE WHEN p_size % 3 <> 0 THEN p_brand || ' ' || p_type || ' ' || p_type ELSE '' END AS abstract,
+  p_size = 20 OR contains(lower(title), 'retracted') AS is_retracted, CAST(p_size AS BIGINT) AS cited_by_count, 'OpenAlex' AS source FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN 'RETRACTED: ' || p_name ELSE p_name END AS title FROM part)""",
+    "crossref_records_by_doi": """SELECT p_partkey, title, '10.5000/p.' || p_partkey AS doi, p_brand || ' ' || p_type AS authors, p_size + 1960 AS year, p_brand AS venue, '' AS abstract, p_size % 4 = 0 OR p_size = 9 OR contains(lower(title), 'retracted') AS is_retracted, 'Crossref' AS source
+  FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN 'RETRACTED: ' || p_name ELSE p_name END AS title FROM part)""",
+    "crossref_records_by_title": "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'RETRACTED: ' || p_name ELSE p_name END AS title, p_size % 7 = 0 AS is_retracted FROM part",
+    "semantic_scholar_records": """SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'RETRACTED: ' || p_name ELSE p_name END AS title, CASE WHEN p_size % 2 = 0 THEN '10.5000/p.' || p_partkey ELSE '2301.' || p_partkey END AS doi, p_brand AS authors, p_size + 1960 AS year, p_brand AS venue,
+  CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS abstract, p_size = 11 AS is_retracted, 'Semantic Scholar' AS source FROM part""",
+    "query_admission": f"""WITH {CITED} SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN regexp_replace('1000/x.' || o_orderkey, '\\d{{4}}$', '') WHEN 2 THEN p_name || ' ' || p_type ELSE CASE WHEN o_orderstatus = 'F' THEN ' https://doi.org/10.1000/ORD.' || o_orderkey END END AS query,
+  o_orderkey % 4 IN (1, 2) AS by_doi, CASE WHEN o_orderstatus = 'F' THEN '10.1000/ord.' || o_orderkey END AS provider_doi FROM cit""",
+    "abstract_enrichment": """SELECT b.p_partkey, '10.5/' || (b.p_partkey % 1000) AS doi, CASE WHEN b.p_size % 3 = 0 THEN b.p_name ELSE coalesce(r.p_type, '') END AS abstract FROM part b LEFT JOIN part r ON r.p_partkey < 1000 AND r.p_size < 40 AND r.p_partkey = b.p_partkey % 1000""",
+    "gold_labels": f"WITH {STATES} SELECT CASE WHEN alignment_state IN ('SUPPORTED', 'PARTIAL') THEN 'SUPPORTS' WHEN alignment_state = 'CONTRADICTED' THEN 'CONTRADICTS' ELSE 'NEUTRAL' END AS label, risk, count(*) AS n FROM states GROUP BY ALL",
+    "file_kinds": """SELECT p_partkey, ['Text', 'Text', 'LaTeX/BibTeX', 'LaTeX/BibTeX', 'DOCX', 'PDF', 'Text', 'Text'][p_partkey % 8 + 1] AS kind, p_name || e AS name, lower(e) AS extension, replace(url_encode('/data/v1.2/' || p_brand || '/' || p_name || e), '+', '%20') AS quoted
+  FROM (SELECT *, ['.md', '.TXT', '.tex', '.bib', '.docx', '.pdf', '', '.odt'][p_partkey % 8 + 1] AS e FROM part)""",
+    "paper_records": f"""SELECT doc_id, substring(list_filter(list_transform(string_split(CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 80) || chr(10) || 'A. Author' ELSE text END, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')[1], 1, 200) AS title,
+  CASE WHEN doc_id % 2 = 0 THEN 'We study ' || source || ' in 2004.' END AS abstract FROM documents WHERE lang = 'en' AND {strip("coalesce(text, '')")} <> ''""",
+    "evidence_map": """WITH n AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, unnest(list_distinct([o_orderkey % 300, o_orderkey % 170, o_orderkey % 5000])) AS d FROM orders)
+SELECT o_orderkey AS claim_id, o_orderpriority AS claim, CAST(d AS VARCHAR) AS doc_id, CASE WHEN d = o_orderkey % 300 AND o_orderstatus <> 'P' THEN CASE WHEN o_orderstatus = 'F' THEN 'SUPPORT' ELSE 'CONTRADICT' END ELSE 'NEUTRAL' END AS label, lang AS title, source AS abstract FROM n JOIN documents ON doc_id = d""",
+    "key_mentions": f"""WITH {CITED}, l AS (SELECT o_custkey AS doc_id, o_orderkey, 'K' || (o_orderkey % 50) AS key, 'See [ K' || (o_orderkey % 50) || ' ] and [' || p_name || '], not [K' || (o_orderkey % 50) || 'x].' AS line FROM cit)
+SELECT doc_id, key, min(o_orderkey) AS claim_line, arg_min(line, o_orderkey) AS claim FROM l GROUP BY 1, 2""",
+    "detection_counts": f"""WITH {FLAGGED} SELECT count(*) AS total, count(*) FILTER (hit AND o_orderstatus <> 'P') AS retracted_detected, count(*) FILTER (NOT hit AND o_orderkey % 3 = 0 AND (o_orderpriority = '5-LOW' OR o_orderpriority >= '3')) AS fake_rejected,
+  count(*) FILTER (NOT hit AND o_orderkey % 3 <> 0 AND o_orderpriority < '3') AS matched_count FROM flag""",
+    "abstention": f"""WITH {SCORED}, g AS (SELECT o_orderkey, p_partkey AS found FROM ranked WHERE rank = 1 AND o_orderkey % 8 <> 0)
+SELECT count(*) FILTER (o_orderkey % 4 = 0) AS n_abstain, count(*) FILTER (o_orderkey % 4 = 0 AND found IS NULL) AS abstained, count(*) FILTER (o_orderkey % 4 = 0 AND found IS NULL) / nullif(count(*) FILTER (o_orderkey % 4 = 0), 0)::DOUBLE AS abstention_accuracy FROM cit LEFT JOIN g USING (o_orderkey)""",
+    "candidate_top_two": f"""WITH {SCORED}, named AS (SELECT r.o_orderkey, r.p_partkey, rank, score, margin, concat_ws('/', c.title, coalesce(c.nd, c.doi), c.source) AS shown FROM ranked r JOIN cit ON cit.o_orderkey = r.o_orderkey JOIN cand c ON c.citation_key = cit.p_name || ' ' || cit.p_type AND c.seq = r.seq WHERE rank <= 2),
+u AS (SELECT o_orderkey, p_partkey, NOT (score >= {_T.medium_confidence} AND margin >= {_T.medium_margin}) AS is_uncertain FROM named WHERE rank = 1)
+SELECT o_orderkey, u.p_partkey, is_uncertain, CASE WHEN is_uncertain THEN string_agg(shown, '|' ORDER BY rank) END AS two FROM u JOIN named USING (o_orderkey) GROUP BY 1, 2, 3""",
+    "token_lengths": f"WITH {TURNS} SELECT avg(len(list_filter(string_split_regex(claim, '\\s+'), lambda w: w <> ''))) AS mean_claim, avg(len(list_filter(string_split_regex(abstract, '\\s+'), lambda w: w <> ''))) AS mean_abstract FROM turns",
+    "report_terminal": f"WITH {RESULTS} SELECT citation_id, substring(raw_text, 1, 40) AS citation, status, risk, substring(evidence_text, 1, 40) AS evidence FROM res WHERE risk <> 'PASS'",
+    "report_markdown": f"""WITH {RESULTS}, cards AS (SELECT *, '### ' || CASE risk WHEN 'DANGER' THEN '🔴' WHEN 'WARNING' THEN '🟡' WHEN 'NOTICE' THEN '🔵' ELSE '🟢' END || ' [' || risk || '] ' || title || chr(10) || '- place: Text Line ' || line_no || chr(10) || '- status: `' || status || '`' || chr(10)
+  || '- DOI: [' || coalesce(verified_doi, doi) || '](https://doi.org/' || coalesce(verified_doi, doi) || ')' || chr(10) || '- claim: *"' || claim || '"*' || chr(10) || '- evidence: ' || substring(evidence_text, 1, 200) || '...' AS card FROM res)
+SELECT doc_id, '# Citation audit' || chr(10) || '**file**: `' || doc_id || '`' || chr(10) || '**citations**: ' || count(*) || ' | 🟢 ' || count(*) FILTER (risk = 'PASS') || ' | 🔵 ' || count(*) FILTER (risk = 'NOTICE') || ' | 🟡 ' || count(*) FILTER (risk = 'WARNING') || ' | 🔴 ' || count(*) FILTER (risk = 'DANGER')
+  || chr(10) || chr(10) || '---' || chr(10) || '## Needs attention' || chr(10) || CASE WHEN count(*) = count(*) FILTER (risk = 'PASS') THEN '> 🟢 nothing' || chr(10) ELSE regexp_replace(string_agg(CASE WHEN risk <> 'PASS' THEN card ELSE '' END, chr(10) ORDER BY line_no), '\\n{{2,}}', chr(10), 'g') END
+  || chr(10) || '---' || chr(10) || '## All citations' || chr(10) || '| ID | title | status | risk |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || concat_ws(' | ', citation_id, substring(title, 1, 200), status, risk) || ' |', chr(10) ORDER BY line_no) AS markdown FROM cards GROUP BY doc_id""",
+    "report_html_rows": f"WITH {RESULTS} SELECT doc_id, count(*) FILTER (risk = 'PASS') AS pass, count(*) FILTER (risk = 'NOTICE') AS notice, count(*) FILTER (risk = 'WARNING') AS warning, count(*) FILTER (risk = 'DANGER') AS danger, CAST(count(*) AS VARCHAR) AS total FROM res GROUP BY 1",
 }

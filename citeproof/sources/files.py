@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeproof.functions.text import YEAR, basename, extension, found, strip
@@ -51,6 +51,14 @@ def _extracted(files: DataFrame, pdf: Callable[[bytes], str]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
+def kind_of(path: Column) -> Column:
+    """The format that a path's extension names; text by default."""
+    kind = F.lit("Text")
+    for name, extensions in KINDS.items():
+        kind = F.when(extension(path).isin(extensions), name).otherwise(kind)
+    return kind
+
+
 def read_documents(spark: SparkSession, path: str, only: list[str] | None = None, pdf: Callable[[bytes], str] = pdf_text) -> DataFrame:
     """(doc_id, location_prefix, text, error) of the files below a path; only: extensions to take, all by default.
 
@@ -64,10 +72,7 @@ def read_documents(spark: SparkSession, path: str, only: list[str] | None = None
     text = F.regexp_replace(F.expr("cast(content as string)"), "�", "")
     plain = files.where(~packed).select("path", text.alias("text"), F.lit(None).cast("string").alias("error"))
     both = plain.unionByName(_extracted(files.where(packed), pdf))
-    kind = F.lit("Text")
-    for name, extensions in KINDS.items():
-        kind = F.when(extension(F.col("path")).isin(extensions), name).otherwise(kind)
-    return both.select(F.col("path").alias("doc_id"), kind.alias("location_prefix"), "text", "error")
+    return both.select(F.col("path").alias("doc_id"), kind_of(F.col("path")).alias("location_prefix"), "text", "error")
 
 
 def paper_columns(papers: DataFrame) -> DataFrame:

@@ -213,3 +213,71 @@ def test_streamed_cache(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.key for r in spark.sql("select key from kept").collect()) == ["a", "b"]
+
+
+def test_fetch_retries(spark):
+    from citeproof.sources import fetch as H
+
+    policy = H.Policy(retries=2)
+    waits, calls = [], []
+
+    def opener(answers):
+        left = list(answers)
+
+        def one(url, timeout):
+            calls.append(timeout)
+            answer = left.pop(0)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        return one
+
+    ask = lambda *answers: H.get_json("u", policy, opener(answers), waits.append)
+    ok = (200, {}, b'{"a": 1}')
+    assert ask(ok) == ('{"a": 1}', None) and ask((404, {}, b"")) == (None, None) and ask((500, {}, b"")) == (None, "HTTP_500") and ask((200, {}, b"<")) == (None, "NOT_JSON")
+    assert not waits
+    assert ask((429, {"Retry-After": "3"}, b""), ok) == ('{"a": 1}', None) and waits == [3.0]
+    assert ask((503, {}, b""), TimeoutError(), OSError()) == (None, "NETWORK") and len(waits) == 3 and all(0.5 <= w <= 8 for w in waits[1:])
+    assert H.get_json("u", H.Policy(total_s=0.0), opener([ok])) == (None, "TIMEOUT")
+    assert H.backoff(9, 8.0, policy, lambda a, b: b) == 8.0 and H.backoff(0, 8.0, policy, lambda a, b: b) == 1.0
+    rows = spark.createDataFrame([("a", "u/a"), ("b", None), ("c", "u/404")], "key string, url string")
+    got = H.fetch(rows, 2, policy, lambda url, timeout: (404, {}, b"") if url.endswith("404") else (200, {}, b'{"x": "y"}'))
+    assert {r.key: (r.json, r.failure) for r in got.collect()} == {"a": ('{"x": "y"}', None), "b": (None, "NO_URL"), "c": (None, None)}
+
+
+def test_cache_table(spark, tmp_path):
+    t = K.Table(spark, str(tmp_path / "cache"))
+    new = lambda *rows: spark.createDataFrame(list(rows), K.Table.SCHEMA)
+    assert t.entries().count() == 0
+    t.purge(F.lit(0))
+    t.set(new(("a", "1", 100, 1), ("b", "2", 50, 2)))
+    t.set(new(("a", "3", 200, 3), ("c", "4", 300, 4)))
+    keys = spark.createDataFrame([("a",), ("b",), ("x",)], "key string")
+    assert {r.key: r.value for r in t.get(keys, F.lit(60)).collect()} == {"a": "3"}
+    t.purge(F.lit(60), spark.createDataFrame([("c",)], "key string"))
+    assert {r.key: r.value for r in t.entries().collect()} == {"a": "3"}
+    t.set(new(("d", None, 900, 9)))
+    assert K.stats(K.latest(t.entries()), F.lit(500)).first().asDict() == {"total": 2, "expired": 1, "valid": 1}
+    t.clear()
+    assert t.entries().count() == 0
+
+
+def test_saved_retractions(spark, tmp_path):
+    path = str(tmp_path / "retractions")
+    rows = [("10.1126/SCIENCE.1112286", "later", "S", "2007", "again", 5), ("10.1/new", "new", "S", "2020", "x", 6)]
+    Q.save_retractions(spark.createDataFrame(rows, "doi string, title string, journal string, date string, reason string, seq bigint"), path)
+    got = {r.doi: r.title for r in Q.retraction_dimension(Q.load_retractions(spark, path)).collect()}
+    assert got["10.1126/science.1112286"] == "later" and got["10.1/new"] == "new" and len(got) == 4
+
+
+def test_containing(spark):
+    texts = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "brown  fox"), (3, ""), (4, None)], "id int, body string")
+    needles = spark.createDataFrame([("a", "ick brown fo"), ("b", "fox"), ("c", "n  f"), ("d", "own fox"), ("e", "missing words here")], "k string, needle string")
+    got = {(r.id, r.k) for r in R.containing(texts, needles, "body").collect()}
+    assert got == {(1, "a"), (1, "b"), (2, "b"), (2, "c"), (1, "d")}
+
+
+def test_timed():
+    got = E.timed(lambda: 10)
+    assert got["items"] == 10 and got["qps"] > 0 and got["ms_per_item"] >= 0
