@@ -3,23 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's spark.checkpoint.dir. Where none is set, a session on one machine (tests) gets
-    a temporary one; on a cluster, where other machines could not see such a folder, that is an error."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and not (context.master or "").partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+from citeproof.storage import delete, shared_folder, written
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,23 +16,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_few(df: DataFrame) -> DataFrame:
-    """The same rows as a table written in the checkpoint folder; for what is far smaller than the documents.
-
-    Unlike a checkpoint's, its size is known to the optimizer, however many rounds of an iteration went before, and
-    release() deletes it.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables of cut_few that nothing reads any more: what was made from them has been written itself."""
-    for path in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
-        spark = tables[0].sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: For what is far smaller than the documents: a table of its own, whose size the optimizer knows however many rounds of
+#: an iteration went before, and how it goes when nothing reads it any more.
+cut_few, release = written, delete
 
 
 def tidy(spark: SparkSession) -> None:

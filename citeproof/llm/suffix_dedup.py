@@ -1,14 +1,15 @@
-"""Suffix-array dedup: shards' suffix orders are merged by refining their interleave symbol by symbol.
+"""Suffix-array dedup: shards' Burrows-Wheeler transforms are merged by refining their interleave.
 
-A shard is a chunk of documents. Its repeated `depth`-byte strings, as suffixes cut at `depth`, are put in order on its own.
-Shards are merged in ranges of suffixes (buckets): their orders start one behind another, and each round refines the
-blocks that still hold several suffixes by the next symbol of 8 bytes. As every shard is in order already, a block's
-refinement merges sorted runs; blocks of one suffix, and blocks whose suffixes agree, cost no sorting. The round in which
-two neighbours part gives their common prefix, and blocks that never part are the repeated intervals.
+A shard is a chunk of documents. Of its `depth`-byte strings those that may repeat elsewhere, one of each, are put in
+suffix order as pieces of text that end with a terminator each, and the shard sends the transform of these pieces. A merge
+inverts the transforms, which gives every shard's suffixes in their order without sorting them: the orders start one
+behind another, and each round refines the blocks that still hold several suffixes by the next symbol of 8 bytes. The first
+round merges sorted runs; blocks of one suffix, and blocks whose suffixes agree, cost no more. The round in which two
+neighbours part gives their common prefix, and blocks that never part are the repeated intervals.
 
 Suffixes that can't repeat never leave their shard: a string of `depth` bytes holds a least GRAM-byte hash (its anchor),
 equal strings hold equal anchors, and only anchors that stand in several places are looked at. The anchor also deals
-suffixes to buckets.
+pieces to buckets, each of which is merged by itself.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeproof.llm.exchange import KEY, KEY_DDL, chunked, earlier_elsewhere, key_columns, late_of, places, told
+from citeproof.llm.exchange import CHUNK, KEY, KEY_DDL, chunked, earlier_elsewhere, key_columns, late_of, places, told
 from citeproof.llm.runtime import planned_bytes, power_of_two
 from citeproof.llm.words import INVERSE, mix, powers, slices, string_buffers
 
@@ -61,9 +63,10 @@ def symbols(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def interleave(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def interleave(words: np.ndarray, starts: np.ndarray, depth: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at starts by their first depth bytes, ties as they come, and for each in that order
-    whether it differs from the one before."""
+    whether it differs from the one before. Starts that are sorted runs one behind another are merged, not sorted.
+    names: what to call the starts, their places among themselves by default."""
     order = np.argsort(words[starts], kind="stable")
     first = words[starts[order]]
     new = np.ones(len(order), bool)
@@ -91,7 +94,74 @@ def interleave(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
         parted = np.ones(len(moved), bool)
         parted[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         new[spots] |= parted
-    return order, new
+    return order if names is None else names[order], new
+
+
+def suffix_order(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of pieces of data, each ended by a terminator (0, below every byte), in order, and the symbols (a byte
+    and 1) at every place. Equal suffixes are in the order of their pieces. Prefixes are doubled from 7 symbols on."""
+    n = int(lengths.sum()) + len(lengths)
+    symbol = np.zeros(n, np.uint64)
+    ends = np.cumsum(lengths + 1) - 1
+    body = np.ones(n, bool)
+    body[ends] = False
+    symbol[body] = data.astype(np.uint64) + np.uint64(1)
+    word, width = symbol, 1
+    for step in (1, 2, 4):
+        # What stands after a terminator is nothing, whatever the next piece begins with.
+        after = np.zeros(n, np.uint64)
+        after[:-step] = word[step:] if step < 4 else word[4:] >> np.uint64(9)
+        more = min(step, 3)
+        word = (word << np.uint64(9 * more)) | np.where(word & np.uint64(511), after, np.uint64(0))
+        width += more
+    order = np.argsort(word, kind="stable")
+    ended = (word & np.uint64(511)) == 0
+    first = word[order]
+    new = np.ones(n, bool)
+    new[1:] = first[1:] != first[:-1]
+    block = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = block
+    open_ = ~ended[order] & ~(new & np.append(new[1:], True))
+    spots = np.flatnonzero(open_)
+    while len(spots):
+        at = order[spots]
+        by = rank[at] << 32 | rank[at + width]
+        sorted_ = np.argsort(by, kind="stable")
+        at, by = at[sorted_], by[sorted_]
+        order[spots] = at
+        parted = np.ones(len(spots), bool)
+        parted[1:] = by[1:] != by[:-1]
+        then = ended[at + width]
+        rank[at] = np.maximum.accumulate(np.where(parted, spots, 0))
+        ended[at] = then
+        spots = spots[~then & ~(parted & np.append(parted[1:], True))]
+        width *= 2
+    return order, symbol
+
+
+def invert(bwt: np.ndarray, rows: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From transforms one behind another the text of their pieces, and for each entry where its suffix begins (one place
+    past the piece for its terminator).
+
+    bwt: symbols, 0 for a terminator; rows: the transform of each entry; pieces: how many pieces each transform has;
+    lengths: of all pieces. All pieces are walked backwards at once, from their terminators, which come first in each order.
+    """
+    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = by_symbol[np.argsort(rows[by_symbol], kind="stable")]
+    before = np.empty(len(bwt), np.int64)
+    before[by_symbol] = np.arange(len(bwt))
+    sizes = np.bincount(rows, minlength=len(pieces))
+    entry = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(pieces) + pieces, pieces) + np.arange(pieces.sum())
+    place = np.cumsum(lengths)
+    text, where = np.zeros(int(lengths.sum()), np.uint8), np.empty(len(bwt), np.int64)
+    while len(entry):
+        where[entry] = place
+        symbol = bwt[entry]
+        go = symbol > 0
+        entry, place = before[entry[go]], place[go] - 1
+        text[place] = (symbol[go] - 1).astype(np.uint8)
+    return text, where
 
 
 class _Shard:
@@ -154,11 +224,22 @@ class _Shard:
         self.late = self.ids[text] > self.ids[text[lead]][self.group] if len(lead) else np.zeros(0, bool)
         # An earlier start in the same text; equal ids of different texts are not earlier than each other.
         self.late[1:] |= ~new[1:] & (text[1:] == text[:-1])
-        # The first of each class of equal strings stands for it in other chunks, in the order of the text.
-        standing = self.sorted[lead]
+        # The first of each class of equal strings stands for it in other chunks, and so does one of another text with the
+        # same id, which isn't after it; all others go for the first's sake. In the order of the text.
+        stands = ~self.late
+        standing = self.sorted[stands]
         self.standing = np.sort(standing[elsewhere[key[self.of_run[standing]]]])
-        self.class_of = np.full(len(at), -1, np.int64)
-        self.class_of[self.sorted] = self.group
+
+
+def runs_of(places: np.ndarray) -> np.ndarray:
+    """Rising places as pairs (first, how many) of runs, one behind another."""
+    first = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    return np.stack([places[first], np.diff(first, append=len(places))], axis=1).astype(np.uint32).ravel()
+
+
+def of_runs(pairs: np.ndarray) -> np.ndarray:
+    first, n = pairs.reshape(-1, 2).astype(np.int64).T
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, docs_per_chunk: int = DOCS_PER_CHUNK) -> DataFrame:
@@ -174,74 +255,99 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = earlier_elsewhere(chunks, lambda group: _Shard(group, depth).keys, buckets, any_other=True)
 
     def send(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"bucket": [], "base": [], "sizes": [], "texts": []}
-        if group.num_rows and answers.num_rows:
+        """A row for each bucket: the transform of the shard's pieces there, without its terminators, where these are, and
+        of each piece which of the standing strings it begins with and how many it holds. And a row for the shard itself,
+        in a bucket of its own: what goes for its own strings' sake, and where the standing ones are."""
+        rows: dict[str, list] = {"bucket": [], "base": [], "sizes": [], "bwt": [], "ends": []}
+        if group.num_rows:
             shard = _Shard(group, depth)
             shard.order(places(answers), depth)
-            where = shard.standing
-            if len(where):
-                begins, anchors = shard.at[where], shard.run_anchor[shard.of_run[where]]
-                piece = np.ones(len(where), bool)
+            late = np.sort(shard.at[shard.sorted[shard.late]])
+            begins = shard.at[shard.standing]
+            add = lambda *row: [rows[c].append(x) for c, x in zip(rows, row, strict=True)]
+            add(-1 - hash(tuple(k.as_py() for k in key)) % buckets, runs_of(late).tobytes(), runs_of(begins).tobytes(), b"", b"")
+            if len(begins):
+                anchors = shard.run_anchor[shard.of_run[shard.standing]]
+                piece = np.ones(len(begins), bool)
                 piece[1:] = (np.diff(begins) != 1) | (anchors[1:] != anchors[:-1])
                 base = np.flatnonzero(piece)
-                sizes = np.diff(base, append=len(where))
+                sizes = np.diff(base, append=len(begins))
+                lengths = sizes + depth - 1
+                inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                order, symbol = suffix_order(shard.data[np.repeat(begins[base], lengths) + inside], lengths)
+                # A part of the pieces has its suffixes in the same order.
                 bucket = (anchors[base] >> np.uint64(64 - bits)).astype(np.int64)
-                for b in np.unique(bucket).tolist():
-                    of = np.flatnonzero(bucket == b)
-                    lengths = sizes[of] + depth - 1
-                    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    rows["bucket"].append(b)
-                    rows["base"].append(base[of].astype(np.uint32).tobytes())
-                    rows["sizes"].append(sizes[of].astype(np.uint32).tobytes())
-                    rows["texts"].append(shard.data[np.repeat(begins[base[of]], lengths) + inside].tobytes())
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), **key_columns([k.as_py() for k in key], len(rows["bucket"])), **{c: pa.array(rows[c], pa.binary()) for c in ("base", "sizes", "texts")}})
-
-    def merge(group: pa.Table) -> pa.Table:
-        texts, starts, owner, standing, done = [], [], [], [], 0
-        for i in range(group.num_rows):
-            base, sizes = (np.frombuffer(group.column(c)[i].as_py(), np.uint32).astype(np.int64) for c in ("base", "sizes"))
-            data = np.frombuffer(group.column("texts")[i].as_py(), np.uint8)
-            steps = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            lengths = sizes + depth - 1
-            at = np.repeat(np.cumsum(lengths) - lengths, sizes) + steps
-            order, _ = interleave(symbols(data), at, depth)
-            texts.append(data)
-            starts.append(at[order] + done)
-            standing.append((np.repeat(base, sizes) + steps)[order])
-            owner.append(np.full(len(at), i))
-            done += len(data)
-        order, new = interleave(symbols(np.concatenate(texts)), np.concatenate(starts), depth)
-        owners = np.concatenate(owner)
-        late = np.sort(late_of(order, new, group.column("_chunk").to_numpy()[owners]))
-        return told(group, owners, np.concatenate(standing), late)
-
-    sent = chunks.groupBy(*KEY).cogroup(shared.groupBy(*KEY)).applyInArrow(send, f"bucket bigint, {KEY_DDL}, base binary, sizes binary, texts binary")
-    repeated = sent.groupBy("bucket").applyInArrow(merge, f"{KEY_DDL}, at binary")
-    answered = shared.withColumn("kind", F.lit(0)).unionByName(repeated.withColumn("kind", F.lit(1)))
+                found, small = np.unique(bucket, return_inverse=True)
+                kind = np.uint16 if len(found) < 65536 else np.int64
+                of = np.repeat(small.astype(kind), lengths + 1)
+                order = order[np.argsort(of[order], kind="stable")]
+                last = np.concatenate([np.zeros(1, np.uint64), symbol[:-1]])[order]
+                edges = np.cumsum(np.bincount(of, minlength=len(found))).tolist()
+                by_bucket = np.argsort(small, kind="stable")
+                cuts = np.cumsum(np.bincount(small, minlength=len(found))).tolist()
+                for b, lo, hi, p, q in zip(found.tolist(), [0, *edges], edges, [0, *cuts], cuts, strict=False):
+                    bwt, mine = last[lo:hi], by_bucket[p:q]
+                    add(b, base[mine].astype(np.uint32).tobytes(), sizes[mine].astype(np.uint32).tobytes(), (bwt[bwt > 0] - np.uint64(1)).astype(np.uint8).tobytes(), np.flatnonzero(bwt == 0).astype(np.uint32).tobytes())
+        return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), **key_columns([k.as_py() for k in key], len(rows["bucket"])), **{c: pa.array(rows[c], pa.binary()) for c in ("base", "sizes", "bwt", "ends")}})
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        keys = {c: group.column(c) for c in KEY}
+        if key[0].as_py() < 0:
+            return pa.table({**keys, "at": group.column("base"), "standing": group.column("sizes")})
+        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(c)]
+        ends, bytes_, pieces = read("ends", np.uint32), read("bwt", np.uint8), np.array([len(x.as_py()) // 4 for x in group.column("base")])
+        base, sizes = (np.concatenate(read(c, np.uint32)).astype(np.int64) for c in ("base", "sizes"))
+        total = np.array([len(e) + len(x) for e, x in zip(ends, bytes_, strict=True)])
+        bwt, body = np.zeros(total.sum(), np.uint16), np.ones(total.sum(), bool)
+        body[np.concatenate([e.astype(np.int64) + o for e, o in zip(ends, np.cumsum(total) - total, strict=True)])] = False
+        bwt[body] = np.concatenate(bytes_).astype(np.uint16) + np.uint16(1)
+        row = np.repeat(np.arange(len(total), dtype=np.uint16 if len(total) < 65536 else np.int64), total)
+        lengths = sizes + depth - 1
+        text, where = invert(bwt, row, pieces, lengths)
+        # The strings' places in the text, and which of the standing ones each is.
+        steps = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        starts = np.repeat(np.cumsum(lengths) - lengths, sizes) + steps
+        string = np.full(len(text) + 1, -1, np.int64)
+        string[starts] = np.arange(len(starts))
+        # A terminator's place is the next piece's first one: entries of terminators come first in their order.
+        first = np.arange(len(where)) - np.repeat(np.cumsum(total) - total, total) < np.repeat(pieces, total)
+        runs = string[where[~first]]
+        runs = runs[runs >= 0]
+        order, new = interleave(symbols(text), starts[runs], depth, runs)
+        owner = np.repeat(np.arange(len(total)), pieces)
+        owner = np.repeat(owner, sizes)
+        late = np.sort(late_of(order, new, group.column(CHUNK).to_numpy()[owner]))
+        out = told(group, owner, np.repeat(base, sizes) + steps, late)
+        return out.append_column("standing", pa.nulls(out.num_rows, pa.binary()))
+
+    sent = chunks.groupBy(*KEY).cogroup(shared.groupBy(*KEY)).applyInArrow(send, f"bucket bigint, {KEY_DDL}, base binary, sizes binary, bwt binary, ends binary")
+    answered = sent.groupBy("bucket").applyInArrow(merge, f"{KEY_DDL}, at binary, standing binary")
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return schema.empty_table()
-        kind = answers.column("kind").to_numpy() if answers.num_rows else np.zeros(0)
-        shard = _Shard(group, depth)
-        shard.order(places(answers.filter(pa.array(kind == 0))), depth)
-        hit = np.zeros(int(shard.group[-1]) + 1 if len(shard.group) else 0, bool)
-        hit[shard.class_of[shard.standing[places(answers.filter(pa.array(kind == 1)))]]] = True
-        late = shard.late | hit[shard.group]
-        at = shard.at[shard.sorted[late]]
-        steps = np.zeros(len(shard.data) + 1, np.int32)
-        steps[: len(shard.data)] += np.bincount(at, minlength=len(shard.data)).astype(np.int32)[: len(shard.data)]
+        group = group.sort_by("doc_id")
+        column_ids = group.column("doc_id")
+        data, offsets = string_buffers(group.column("text"))
+        at = np.zeros(0, np.int64)
+        if answers.num_rows:
+            own = pc.is_valid(answers.column("standing"))
+            mine = answers.filter(own)
+            standing = of_runs(np.frombuffer(mine.column("standing")[0].as_py(), np.uint32))
+            at = np.concatenate([of_runs(np.frombuffer(mine.column("at")[0].as_py(), np.uint32)), standing[places(answers.filter(pc.invert(own)))]])
+        steps = np.zeros(len(data) + 1, np.int32)
+        steps[: len(data)] += np.bincount(at, minlength=len(data)).astype(np.int32)[: len(data)]
         steps -= np.bincount(at + depth, minlength=len(steps)).astype(np.int32)
         gone = np.cumsum(steps)[:-1] > 0
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-        for a, b in zip(shard.offsets[:-1].tolist(), shard.offsets[1:].tolist(), strict=True):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             mask = gone[a:b]
             n = int(mask.sum())
             edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).tolist() if n else []
-            kept = shard.data[a:b][~mask].tobytes() if n else shard.data[a:b].tobytes()
+            kept = data[a:b][~mask].tobytes() if n else data[a:b].tobytes()
             for k, v in zip(out, (b - a, n, len(edges) // 2, hashlib.sha256(kept).hexdigest(), list(map(list, zip(edges[::2], edges[1::2], strict=True)))), strict=True):
                 out[k].append(v)
-        return pa.table([shard.column_ids, *(pa.array(out[f.name], f.type) for f in list(schema)[1:])], schema=schema)
+        return pa.table([column_ids, *(pa.array(out[f.name], f.type) for f in list(schema)[1:])], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
     return chunks.groupBy(*KEY).cogroup(answered.groupBy(*KEY)).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>")

@@ -94,6 +94,27 @@ def test_repeats_over_many_chunks(spark):
     same(dedup_suffixes(df, docs_per_chunk=3), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
 
 
+def test_suffix_orders_and_their_inverse():
+    """Pieces of few letters, zero bytes, equal and empty ones: the order of all suffixes, and the text back from two transforms."""
+    from citeproof.llm.suffix_dedup import invert, suffix_order
+
+    rnd = random.Random(1)
+    for t in range(120):
+        pieces = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(t % 2, 60))) for _ in range(rnd.randint(1, 6))]
+        if t % 3 == 0:
+            pieces[-1] = pieces[0] * 3
+        data, lengths = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+        order, symbol = suffix_order(data, lengths)
+        suffixes = [((*[x + 1 for x in p[j:]], 0), i) for i, p in enumerate(pieces) for j in range(len(p) + 1)]
+        assert order.tolist() == sorted(range(len(suffixes)), key=suffixes.__getitem__)
+        last = np.concatenate([np.zeros(1, np.uint64), symbol[:-1]])[order].astype(np.uint16)
+        text, where = invert(np.concatenate([last, last]), np.repeat(np.arange(2, dtype=np.uint16), len(last)), np.array([len(pieces)] * 2), np.concatenate([lengths, lengths]))
+        assert text.tobytes() == data.tobytes() * 2
+        ends = np.cumsum(lengths + 1) - 1
+        place = np.array([i - sum(e < i for e in ends) for i in range(len(suffixes))])
+        assert where.tolist() == [*place[order], *(place[order] + len(data))]
+
+
 def test_suffixes(spark):
     rows = texts()
     same(dedup_suffixes(docs(spark, rows), docs_per_chunk=8), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
