@@ -10,7 +10,7 @@ import base64
 import hashlib
 import heapq
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -190,16 +190,16 @@ def codec(vocabulary: bytes, pattern: str) -> Codec:
     return kept[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256 (of little-endian uint32 ids), decoded_sha256, and ids on request.
+def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256 (of little-endian uint32 ids), decoded_sha256, ids on request, and the columns to keep.
 
     Texts are cut by the pattern and every match is encoded by itself, without special tokens; a null text counts as
-    empty. The vocabulary file is read on the driver and sent to the executors once; its size is fixed. Only the two
-    named columns are read; every row gives a row, also repeated ones and those without an id.
+    empty. The vocabulary file is read on the driver and sent to the executors once; its size is fixed. Only the named
+    columns are read; every row gives a row, also repeated ones and those without an id.
     """
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary.value, pattern)
@@ -213,7 +213,8 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: s
                 if with_ids:
                     kept.append(np.frombuffer(ids, "<u4").astype(np.int64))
             columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.list_(pa.int64()))] * with_ids], names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.list_(pa.int64()))] * with_ids, *batch.columns[2:]], names)
 
-    ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
+    types = dict(docs.dtypes)
+    ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids + "".join(f", `{c}` {types[c]}" for c in keep)
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, ddl)

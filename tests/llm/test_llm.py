@@ -569,6 +569,8 @@ def test_pipeline(spark):
     got = cut(c.run(spark, SF))
     same(got, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], want)
     assert len(want) > 100
+    mixed = mix_sources(cut(c.near_copies(spark, cut(c.lines(spark, cut(c.quality(spark, df, SF)), SF)), SF)))
+    assert sorted(tuple(r) for r in got.select("doc_id", "slot", "start").collect()) == sorted(tuple(r) for r in mixed.select("doc_id", "slot", "start").collect())
 
 
 def test_pipeline_on_odd_rows(spark):
