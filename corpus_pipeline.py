@@ -51,15 +51,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
+    """All documents, written in the order of the mix; the last stage names each one's place in it."""
     return mix_sources(docs).orderBy("slot", "start", "doc_id").select(*[f"doc.{c}" for c in COLUMNS])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, and its place in the mix: slot and start.
+
+    Rows that are read again may come in any order, and the columns of documents have no place for it. A document's place
+    follows from ids, sources and lengths alone, so it is told again here; sorted by it, the rows are the mix.
+    """
     import public_tokenizers
 
-    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    placed = mix_sources(docs).select("doc.doc_id", "doc.text", "slot", "start")
+    return encode_decode(placed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["slot", "start"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
