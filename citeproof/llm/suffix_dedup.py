@@ -63,17 +63,30 @@ def symbols(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def interleave(words: np.ndarray, starts: np.ndarray, depth: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at starts by their first depth bytes, ties as they come, and for each in that order
-    whether it differs from the one before. Starts that are sorted runs one behind another are merged, not sorted.
-    names: what to call the starts, their places among themselves by default."""
-    order = np.argsort(words[starts], kind="stable")
+def _by_block(block: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The order by block, then symbol; of equals any. Symbols are ranked first, so that both fit into one number."""
+    order = np.argsort(symbol)
+    ranked = symbol[order]
+    rank = np.empty(len(symbol), np.int64)
+    rank[order] = np.cumsum(np.diff(ranked, prepend=ranked[:1]) != 0)
+    return np.argsort(block << 32 | rank)
+
+
+def in_places(order: np.ndarray, new: np.ndarray) -> None:
+    """Put equals (runs that begin where new says) in the order of their places."""
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    order[tied] = np.sort((np.cumsum(new)[tied] << 32) | order[tied]) & 0xFFFFFFFF
+
+
+def interleave(words: np.ndarray, starts: np.ndarray, depth: int, merged: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at starts by their first depth bytes, of equals any, and for each in that order whether it
+    differs from the one before. merged: starts are sorted runs one behind another, which the first round merges."""
+    order = np.argsort(words[starts], kind="stable" if merged else "quicksort")
     first = words[starts[order]]
     new = np.ones(len(order), bool)
     new[1:] = first[1:] != first[:-1]
+    active = np.flatnonzero(~(new & np.append(new[1:], True)))
     for at in range(8, depth, 8):
-        last = np.append(new[1:], True)
-        active = np.flatnonzero(~(new & last))
         if not len(active):
             break
         symbol = words[starts[order[active]] + at]
@@ -87,14 +100,15 @@ def interleave(words: np.ndarray, starts: np.ndarray, depth: int, names: np.ndar
         mixed = np.zeros(block[-1] + 1, bool)
         mixed[block[differs]] = True
         moved = np.flatnonzero(mixed[block])
-        by_symbol = np.lexsort((symbol[moved], block[moved]))
+        by_symbol = _by_block(block[moved], symbol[moved])
         spots = active[moved]
         order[spots] = order[spots[by_symbol]]
         s, b = symbol[moved][by_symbol], block[moved]
         parted = np.ones(len(moved), bool)
         parted[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         new[spots] |= parted
-    return order if names is None else names[order], new
+        active = active[~(new[active] & np.append(new, True)[active + 1])]
+    return order, new
 
 
 def suffix_order(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,29 +128,29 @@ def suffix_order(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
         more = min(step, 3)
         word = (word << np.uint64(9 * more)) | np.where(word & np.uint64(511), after, np.uint64(0))
         width += more
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     ended = (word & np.uint64(511)) == 0
     first = word[order]
     new = np.ones(n, bool)
     new[1:] = first[1:] != first[:-1]
-    block = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[order] = block
-    open_ = ~ended[order] & ~(new & np.append(new[1:], True))
-    spots = np.flatnonzero(open_)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    spots = np.flatnonzero(~ended[order] & ~(new & np.append(new[1:], True)))
     while len(spots):
         at = order[spots]
         by = rank[at] << 32 | rank[at + width]
-        sorted_ = np.argsort(by, kind="stable")
+        sorted_ = np.argsort(by)
         at, by = at[sorted_], by[sorted_]
         order[spots] = at
         parted = np.ones(len(spots), bool)
         parted[1:] = by[1:] != by[:-1]
+        new[spots] = parted
         then = ended[at + width]
         rank[at] = np.maximum.accumulate(np.where(parted, spots, 0))
         ended[at] = then
         spots = spots[~then & ~(parted & np.append(parted[1:], True))]
         width *= 2
+    in_places(order, new)
     return order, symbol
 
 
@@ -217,7 +231,8 @@ class _Shard:
         sizes = self.run_length[runs]
         self.of_run = np.repeat(runs, sizes)
         self.at = at = np.repeat(self.run_at[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        self.sorted, new = interleave(symbols(self.data), at, depth)
+        self.sorted, new = interleave(symbols(self.data), at, depth, False)
+        in_places(self.sorted, new)
         self.group = np.cumsum(new) - 1
         text = np.searchsorted(self.offsets, at[self.sorted], "right") - 1
         lead = np.flatnonzero(new)
@@ -313,7 +328,8 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = np.arange(len(where)) - np.repeat(np.cumsum(total) - total, total) < np.repeat(pieces, total)
         runs = string[where[~first]]
         runs = runs[runs >= 0]
-        order, new = interleave(symbols(text), starts[runs], depth, runs)
+        order, new = interleave(symbols(text), starts[runs], depth, True)
+        order = runs[order]
         owner = np.repeat(np.arange(len(total)), pieces)
         owner = np.repeat(owner, sizes)
         late = np.sort(late_of(order, new, group.column(CHUNK).to_numpy()[owner]))
