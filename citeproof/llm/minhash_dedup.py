@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeproof.llm.components import components
-from citeproof.llm.runtime import cut, cut_few, release, tidy
+from citeproof.llm.runtime import cut, cut_few, power_of_two, release, tidy
 from citeproof.llm.words import FOLDED_VALUES, mix, powers, slices, string_buffers, word_hashes
 
 SHINGLE, HALVES, ROWS, PERCENT = 4, 8, 2, 80
@@ -29,6 +29,8 @@ STAR_ROUNDS, CENTRES = 2, 16
 COMMON, HOT = 32, 1000
 #: Pairs of a centre that are compared in one task.
 CENTRE_PAIRS = 256
+#: Most bits (4 MB) that tell the texts which documents' sets are wanted.
+BITS = 1 << 25
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = powers(SHINGLE + 1, 0xD1342543DE82EF95)
 
@@ -77,14 +79,28 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, halves:
     return docs.select(id_col, text_col).mapInArrow(sign, "doc_id bigint, n bigint, s1 bigint, s2 bigint, halves array<bigint>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, grams): the shingle sets of the wanted documents (doc_id), and of few others, made where the texts are.
+
+    Which documents are wanted goes to the texts as a table of bits, one for each hash of an id. It has BITS bits at most:
+    where more documents are wanted than fit, more sets are made for nothing, and none is missing.
+    """
+    bits = power_of_two(8 * wanted.count(), 1 << 16, BITS)
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
+    words = wanted.select(F.floor(at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at % 64).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
+    table = np.zeros(bits // 64, np.int64)
+    table[[r.word for r in words]] = [r.bit for r in words]
+    held = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bit = batch.column(2).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(held.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))))
             sets = [x.view(np.int64) for x in shingle_sets(*string_buffers(batch.column(1)), width)]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["doc_id", "grams"])
 
-    return docs.mapInArrow(collect, "doc_id bigint, grams array<bigint>")
+    return docs.where("doc_id is not null").select("doc_id", "text", at).mapInArrow(collect, "doc_id bigint, grams array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +180,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = cut_few(keyed.join(crowded, "key").withColumn("rank", -F.sum("c").over(Window.partitionBy("doc_id"))).drop("c"))
 
     wanted = keyed.select("doc_id").distinct()
-    sets = cut_few(_sets(named.join(wanted, "doc_id", "left_semi"), width))
+    sets = cut_few(_sets(named, wanted, width))
     tested = links = labels = None
     turn, centres, common_only = 0, 1, False
     while True:
@@ -179,6 +195,10 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             release(keyed)
             if now.isEmpty():
                 break
+            if turn == 1:
+                # Every further round reads the sets of what is left alone.
+                old, sets = sets, cut_few(sets.join(now.select("doc_id").distinct().repartition(F.xxhash64("doc_id")), "doc_id", "left_semi"))
+                release(old)
         if turn == STAR_ROUNDS and not common_only:
             met, common = _by_rare(now.select("doc_id", "n", "component").distinct(), sets, percent)
             counted = now.drop("component").join(common.repartition(F.xxhash64("doc_id")), "doc_id")
