@@ -116,11 +116,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, centre) of different components of members (doc_id, n, component) that share a rare shingle, and (doc_id, u).
+    """Pairs (a, b, centre) of different components of members (doc_id, n, component) that share rare shingles, and (doc_id, u).
 
-    Let u be how many of a set's shingles are common, in COMMON sets or more. Two sets that share no rare shingle have at
-    most min(u, u') in common. So a pair that links either shares a rare shingle, which fewer than COMMON sets have, or
-    both its sets have enough common ones for their sizes; that is seldom for near copies that differ in places of their own.
+    Let u be how many of a set's shingles are common, in COMMON sets or more. Two sets that share r rare shingles, which
+    fewer than COMMON sets have, have at most r + min(u, u') in common: pairs for which that is too few are left out. So a
+    pair that links either is here, or both its sets have enough common ones for their sizes without any rare one; that is
+    seldom for near copies that differ in places of their own. Where an id has several texts, r and u count all of them.
     """
     held = sets.join(members.repartition(F.xxhash64("doc_id")), "doc_id").select("doc_id", "n", "component", F.explode("grams").alias("gram"))
     counted = cut_few(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
@@ -132,7 +133,12 @@ def _by_rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     other = rare.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("its"))
     pairs = rare.withColumnRenamed("doc_id", "a").join(other, "gram").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & F.expr("a < b and component <> its"))
     often = rest.join(counted.where(F.col("n_docs") >= max(COMMON, 2)).select("gram"), "gram").select("doc_id").unionByName(held.join(hot, "gram").select("doc_id"))
-    return pairs.select("a", "b", F.col("a").alias("centre")), often.groupBy("doc_id").agg(F.count("*").alias("u"))
+    common = cut_few(often.groupBy("doc_id").agg(F.count("*").alias("u")))
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("r"), (F.min("n") + F.min("m")).alias("both"))
+    for end in ("a", "b"):
+        shared = shared.join(common.select(F.col("doc_id").alias(end), F.col("u").alias(f"u_{end}")), end, "left")
+    most = F.col("r") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0)))
+    return shared.where(most * (100 + percent) >= F.col("both") * percent).select("a", "b", F.col("a").alias("centre")), common
 
 
 def _star(now: DataFrame, turn: int, centres: int) -> DataFrame:
