@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from citeproof.llm import sql
 from citeproof.llm.bpe import encode_decode
+from citeproof.llm.divergence import audit_sources
 from citeproof.llm.embedding_dedup import dedup_embeddings
+from citeproof.llm.hard_negatives import mine_negatives
 from citeproof.llm.licenses import scan_licenses
 from citeproof.llm.line_dedup import dedup_lines
 from citeproof.llm.minhash_dedup import dedup_minhash
 from citeproof.llm.mixing import mix_sources
+from citeproof.llm.packing import pack_documents
 from citeproof.llm.quality_rules import quality_rules
 from citeproof.llm.runtime import table
 from citeproof.llm.substring_dedup import dedup_substrings
@@ -64,6 +67,22 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_minhash(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = dict(sql.ORACLES)
