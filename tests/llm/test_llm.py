@@ -519,7 +519,7 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.sql(sql.ORACLES[name])
     got = QUERIES[name](spark, SF)
