@@ -23,23 +23,30 @@ from citeproof.llm.runtime import cut
 
 LEAST_DOCS, TOP, SCALE, ADDED = 30, 50, 1_000_000_000, 5
 #: Counters of a block of documents; terms of a unit of the second scan, sources on its left, and cells of a dense block.
-BLOCK_TERMS, UNIT_TERMS, UNIT_SOURCES, CELLS = 200_000, 4096, 256, 1 << 18
+BLOCK_TERMS, UNIT_TERMS, UNIT_SOURCES, CELLS = 400_000, 4096, 256, 1 << 18
 #: Bytes of a term: letters of ASCII and all of other characters; capitals of ASCII are lowered, all else parts terms.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, term, source, docs, n) of blocks of documents, sorted. The empty term, which no text has, names the group."""
+    """Rows (lang, term, source, docs, n) of blocks of documents. The empty term, which no text has, names the group."""
     n: dict[tuple[str, str], Counter] = {}
     docs: dict[tuple[str, str], Counter] = {}
 
     def sent() -> pa.RecordBatch:
-        rows = sorted((lang, term, source, docs[lang, source][term], k) for (lang, source), counts in n.items() for term, k in counts.items())
-        columns = list(zip(*rows, strict=True))
+        langs, sources, sizes = [], [], []
+        terms, count, held = [], [], []
+        for group, counts in n.items():
+            langs.append(group[0])
+            sources.append(group[1])
+            sizes.append(len(counts))
+            terms.extend(counts)
+            count.extend(counts.values())
+            held.extend(map(docs[group].__getitem__, counts))
         n.clear()
         docs.clear()
-        texts = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.string())]
-        return pa.RecordBatch.from_arrays([*texts, pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["lang", "term", "source", "docs", "n"])
+        named = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(named), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(sources, pa.string()).take(named), pa.array(held, pa.int64()), pa.array(count, pa.int64())], ["lang", "term", "source", "docs", "n"])
 
     for batch in batches:
         for text, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
