@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeproof.llm.exchange import FEW
 from citeproof.llm.runtime import cut
 
 LEAST_DOCS, TOP, SCALE, ADDED = 30, 50, 1_000_000_000, 5
@@ -220,15 +221,18 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     blocks = named.mapInArrow(_blocks, "lang string, term string, source string, docs bigint, n bigint")
     sorted_ = blocks.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
     runs = cut(sorted_.mapInArrow(lambda x: _runs(x, least_docs), "lang string, term string, source string, n bigint, leads bigint"))
-    groups = runs.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = groups.withColumn("place", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("bigint"))
     terms = runs.where("term <> ''")
-    langs = groups.groupBy("lang").agg(F.count("*").alias("n_sources")).join(terms.groupBy("lang").agg(F.sum("leads").alias("n_terms")), "lang", "left")
-    langs = langs.select("lang", F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms"), F.expr(f"(n_sources - 1) div {UNIT_SOURCES}").alias("tiles"), F.expr(f"greatest(0, coalesce(n_terms, 0) - 1) div {UNIT_TERMS} + 1").alias("buckets"))
+    groups = runs.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    groups = groups.withColumns({"place": (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("bigint"), "n_sources": F.count("*").over(Window.partitionBy("lang"))})
+    n_terms = F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms")
+    groups = groups.join(terms.groupBy("lang").agg(F.sum("leads").alias("n_terms")), "lang", "left").select("lang", "source", "n", "place", n_terms, F.expr(f"(n_sources - 1) div {UNIT_SOURCES}").alias("tiles"), F.expr(f"greatest(0, coalesce(n_terms, 0) - 1) div {UNIT_TERMS} + 1").alias("buckets"))
+    groups = cut(groups)
+    # Few groups go to every task; else the join's key is a group, which has each term once at most.
+    few = F.broadcast(groups) if groups.count() <= FEW else groups
     tile = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles"))).alias("tile")
-    heads = groups.join(langs, "lang").select("*", tile).select("lang", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1)).alias("bucket"), F.lit("").alias("term"), "source", "n", "n_terms", "place")
+    heads = groups.select("*", tile).select("lang", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1)).alias("bucket"), F.lit("").alias("term"), "source", "n", "n_terms", "place")
     bucket = F.pmod(F.xxhash64("term"), F.col("buckets")).alias("bucket")
-    rows = terms.join(groups.select("lang", "source", "place"), ["lang", "source"]).join(langs, "lang").select("lang", tile, bucket, "term", "source", "n", "n_terms", "place")
+    rows = terms.join(few.drop("n"), ["lang", "source"]).select("lang", tile, bucket, "term", "source", "n", "n_terms", "place")
     units = heads.unionByName(rows).repartition("lang", "tile", "bucket").sortWithinPartitions("lang", "tile", "bucket", "term", "source")
     partial = units.mapInArrow(lambda x: _distances(x, top), "lang string, source string, part string, item string, value bigint")
     values = partial.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
