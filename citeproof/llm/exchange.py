@@ -8,46 +8,74 @@ documents hold it, and answers a chunk only about keys that an earlier chunk hol
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeproof.llm.runtime import cut
+from citeproof.llm.runtime import cut, power_of_two
 
 #: A chunk is told by its place in the order of ids, and by a part where rows of one id (or none) are too many for a task.
 CHUNK, PART = "_chunk", "_part"
 KEY = [CHUNK, PART]
 KEY_DDL = f"{CHUNK} bigint, {PART} bigint"
-#: A chunk with so many times the rows asked for is dealt anew; so many at most are broadcast for that.
+#: A chunk with so many times the rows or bytes asked for is dealt anew; so many at most are broadcast for that.
 HEAVY, FEW = 4, 20_000
+#: Bytes of a chunk's texts, beyond which it is dealt anew as well, and the most buckets of keys.
+BYTES_PER_CHUNK, MOST_BUCKETS = 16 << 20, 1 << 30
 _NO_ID = -(2**63)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, docs_per_chunk: int) -> DataFrame:
-    """(doc_id, text, _chunk, _part). Chunks are ranges of ids, of about docs_per_chunk rows however the ids lie.
+class Sizes(NamedTuple):
+    """What is counted of documents before they are dealt: the smallest and largest id, rows with an id, and bytes of all texts."""
 
-    Ids are cut into equal ranges first; ranges that hold too many rows, as ids stand close together, are cut again by
-    their own bounds. Rows of one id are parted by their texts, rows without an id by their place in the input.
+    low: int
+    high: int
+    n: int
+    n_bytes: int
+
+    def buckets(self, bytes_per_bucket: int) -> int:
+        """How many buckets take keys of so many bytes of text each: a power of two, and never more than a task number holds."""
+        return power_of_two(self.n_bytes / bytes_per_bucket, 16, MOST_BUCKETS)
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str) -> Sizes:
+    """Counted, as the optimizer's estimate of rows from joins or from the driver may be off by any factor."""
+    i = F.col(id_col).cast("bigint")
+    low, high, n, n_bytes = docs.agg(F.min(i), F.max(i), F.count(i), F.sum(F.octet_length(text_col))).first()
+    return Sizes(low or 0, high or 0, n, n_bytes or 0)
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, docs_per_chunk: int, sizes: Sizes | None = None, bytes_per_chunk: int = BYTES_PER_CHUNK) -> DataFrame:
+    """(doc_id, text, _chunk, _part). Chunks are ranges of ids, of about docs_per_chunk rows however the ids lie, and of
+    no more than a few times bytes_per_chunk of text.
+
+    Ids are cut into equal ranges first; ranges that hold too many rows or bytes, as ids stand close together or texts are
+    long, are cut again by their own bounds. Rows of one id are parted by their texts, rows without an id by their place in
+    the input. What can't be parted is one text, and texts that are equal under one id.
     """
+    low, high, n, n_bytes = sizes or measured(docs, id_col, text_col)
     i = F.col(id_col).cast("bigint")
-    ids = docs.select(i.alias("id")).where("id is not null")
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    if not n:
-        low = high = 0
-    span = F.lit(min(2**62, max(1, (high - low + 1) * docs_per_chunk // max(n, 1)))).cast("bigint")
+    ids = docs.select(i.alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("size")).where("id is not null")
+    # A chunk is as full as its rows or its bytes make it; fullness 1 is what was asked for.
+    per_id = max(n / docs_per_chunk, n_bytes / bytes_per_chunk, 1) / (high - low + 1)
+    span = F.lit(min(2**62, max(1, int(1 / per_id)))).cast("bigint")
+    full = F.ceil(F.greatest(F.count("*") / docs_per_chunk, F.sum("size") / bytes_per_chunk))
 
     def start(x: Column, lo: Column, width: Column) -> Column:
         # In decimals, as the distance of two ids may be over a bigint's.
         return x - ((x.cast("decimal(38,0)") - lo.cast("decimal(38,0)")) % width.cast("decimal(38,0)")).cast("bigint")
 
-    cells = ids.select("id", start(F.col("id"), F.lit(low).cast("bigint"), span).alias(CHUNK))
+    cells = ids.select("id", "size", start(F.col("id"), F.lit(low).cast("bigint"), span).alias(CHUNK))
     splits, one = [], F.lit(1).cast("bigint")
     while True:
-        counted = cells.groupBy(CHUNK).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("n") > HEAVY * docs_per_chunk)
-        width = F.greatest(F.lit(1), F.expr(f"cast(least((cast(hi as decimal(38,0)) - lo + 1) * {docs_per_chunk} div n, {2**62}) as bigint)"))
-        heavy = cut(counted.select(CHUNK, F.col("lo").alias("_lo"), width.alias("_width"), F.when(F.col("lo") == F.col("hi"), F.ceil(F.col("n") / docs_per_chunk)).otherwise(one).cast("bigint").alias("_parts")))
+        counted = cells.groupBy(CHUNK).agg(full.alias("n"), F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        # A document alone is as large as it is.
+        counted = counted.where((F.col("n") > HEAVY) & (F.col("rows") > 1))
+        width = F.greatest(F.lit(1), F.expr(f"cast(least((cast(hi as decimal(38,0)) - lo + 1) div n, {2**62}) as bigint)"))
+        heavy = cut(counted.select(CHUNK, F.col("lo").alias("_lo"), width.alias("_width"), F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(one).cast("bigint").alias("_parts")))
         many = heavy.count()
         if many:
             splits.append(F.broadcast(heavy) if many <= FEW else heavy)

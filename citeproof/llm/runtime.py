@@ -27,11 +27,6 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input's size; no job runs for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def power_of_two(least: float, low: int, high: int | None = None) -> int:
     """The first of low, 2 * low, 4 * low, ... that is not under least; high bounds it where one is given."""
     n = low

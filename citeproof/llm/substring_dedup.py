@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citeproof.llm.exchange import KEY, chunked, earlier_elsewhere, places
-from citeproof.llm.runtime import planned_bytes, power_of_two
+from citeproof.llm.exchange import KEY, chunked, earlier_elsewhere, measured, places
 from citeproof.llm.words import slices, string_buffers, window_hashes, word_hashes
 
 WIDTH = 50
@@ -69,8 +68,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told apart by 64-bit hashes. Null and empty texts have no words; rows without an id are never changed and change
     nothing; rows with equal ids are not earlier than each other; only the two named columns are read.
     """
-    chunks = chunked(docs, id_col, text_col, docs_per_chunk)
-    buckets = power_of_two(planned_bytes(docs.select(id_col, text_col)) / BYTES_PER_BUCKET, 16)
+    sizes = measured(docs, id_col, text_col)
+    chunks = chunked(docs, id_col, text_col, docs_per_chunk, sizes)
+    buckets = sizes.buckets(BYTES_PER_BUCKET)
     replies = earlier_elsewhere(chunks, lambda group: _Chunk(group, width).keys, buckets)
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:

@@ -22,8 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeproof.llm.exchange import CHUNK, KEY, KEY_DDL, chunked, earlier_elsewhere, key_columns, late_of, places, told
-from citeproof.llm.runtime import planned_bytes, power_of_two
+from citeproof.llm.exchange import CHUNK, KEY, KEY_DDL, chunked, earlier_elsewhere, key_columns, late_of, measured, places, told
 from citeproof.llm.words import INVERSE, mix, powers, slices, string_buffers
 
 DEPTH, GRAM, DOCS_PER_CHUNK = 100, 32, 512
@@ -264,8 +263,9 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same document. Strings lie within one text's UTF-8 bytes and are compared byte by byte. A null text is empty;
     rows without an id are never changed and change nothing; rows with equal ids are not earlier than each other.
     """
-    chunks = chunked(docs, id_col, text_col, docs_per_chunk)
-    buckets = power_of_two(planned_bytes(docs.select(id_col, text_col)) / BYTES_PER_BUCKET, 16)
+    sizes = measured(docs, id_col, text_col)
+    chunks = chunked(docs, id_col, text_col, docs_per_chunk, sizes)
+    buckets = sizes.buckets(BYTES_PER_BUCKET)
     bits = buckets.bit_length() - 1
     shared = earlier_elsewhere(chunks, lambda group: _Shard(group, depth).keys, buckets, any_other=True)
 

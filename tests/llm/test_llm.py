@@ -94,6 +94,39 @@ def test_repeats_over_many_chunks(spark):
     same(dedup_suffixes(df, docs_per_chunk=3), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
 
 
+def test_repeats_in_tables_of_any_estimate(spark, tmp_path, monkeypatch):
+    """The optimizer's estimates of rows from the driver, from files and from joins differ by any factor; buckets and rows don't.
+    Few buckets and many chunks: each merge has several transforms with several anchors."""
+    from citeproof.llm import exchange, suffix_dedup
+
+    asked = []
+    monkeypatch.setattr(exchange.Sizes, "buckets", lambda self, size: asked.append(exchange.power_of_two(self.n_bytes / size, 2, 1 << 30)) or asked[-1])
+    rnd = random.Random(8)
+    make = lambda n: [rnd.choice("abcdefgh") * rnd.randint(1, 3) + str(rnd.randrange(90)) for _ in range(n)]
+    passages = [make(55) for _ in range(4)]
+    rows = [(i, " ".join([*make(rnd.randint(0, 20)), *rnd.choice(passages)[rnd.randint(0, 4) :], *make(rnd.randint(0, 9))])) for i in range(90)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string")
+    given.write.parquet(f"{tmp_path}/rows")
+    files = spark.read.parquet(f"{tmp_path}/rows")
+    joined = files.join(files.select(F.col("doc_id").alias("o")), F.expr("doc_id = o + 0")).join(given.select(F.col("doc_id").alias("p")), F.expr("doc_id = p + 0"))
+    for df in (given, files, joined):
+        same(dedup_substrings(df, docs_per_chunk=3), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.substrings(rows))
+        same(dedup_suffixes(df, docs_per_chunk=3), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
+    assert asked == [2] * 6
+    assert suffix_dedup.measured(files, "doc_id", "text") == (0, 89, 90, sum(len(t) for _, t in rows))
+
+
+def test_chunks_of_long_texts(spark):
+    """Chunks are bounded by bytes as well as rows; a text that is longer by itself has a chunk of its own."""
+    rows = [(i, "x" * (5000 if i % 10 == 0 else 10)) for i in range(100)] + [(200, "y" * n) for n in range(3000, 3020)] + [(300, "z" * 50_000), (301, None), (None, "w" * 4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = chunked(df, "doc_id", "text", 1000, bytes_per_chunk=3000).groupBy("_chunk", "_part").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()
+    assert sum(r.n for r in got) == len(rows)
+    assert all(r.size is None or r.size <= 4 * 3000 or r.n == 1 for r in got if r.lo != 200) and len([r for r in got if r.lo == 200]) > 5
+    spans = sorted((r._chunk, r.lo, r.hi) for r in got if r.lo is not None)
+    assert all(a[2] < b[1] or a[2] == b[1] == 200 for a, b in zip(spans, spans[1:]))
+
+
 def test_suffix_orders_and_their_inverse():
     """Pieces of few letters, zero bytes, equal and empty ones: the order of all suffixes, and the text back from two transforms."""
     from citeproof.llm.suffix_dedup import invert, suffix_order
