@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeproof.config import THRESHOLDS
+from citeproof.storage import checkpointed
 
 
 def latest(entries: DataFrame, order: str = "seq") -> DataFrame:
@@ -82,10 +83,15 @@ class Table:
         self._fs.delete(self._of(), True)
 
 
-def read_through(requests: DataFrame, entries: DataFrame, now: Column, fetch) -> tuple[DataFrame, DataFrame]:
-    """(answers, new entries) for requests (key, ...): live entries answer, fetch(missing requests) -> (key, value) the rest."""
-    held = alive(latest(entries), now).select("key", "value")
-    hits = requests.join(held, "key")
-    fetched = fetch(requests.join(held.select("key"), "key", "left_anti"))
-    new = fetched.select("key", "value", expiry(now).alias("expires_at"))
-    return hits.select("key", "value").unionByName(fetched.select("key", "value")), new
+def read_through(requests: DataFrame, entries: DataFrame, now: Column, fetch, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(answers, new entries) for requests (key, ...): live entries answer, fetch(missing requests) -> (key, value) the rest.
+
+    answers (key, value) has a row for each request, also repeated ones; value is null where nothing answered. A key that
+    is asked for several times is fetched once, and what was fetched is written once, so that reading either result, or
+    both, asks nobody again. Nulls aren't kept as entries.
+    """
+    held = alive(latest(entries, order), now).select("key", "value")
+    missing = requests.join(held.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    fetched = checkpointed(fetch(missing).select("key", "value"))
+    answers = requests.select("key").join(held.unionByName(fetched), "key", "left")
+    return answers, fetched.where("value is not null").select("key", "value", expiry(now).alias("expires_at"))

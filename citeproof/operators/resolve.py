@@ -10,7 +10,11 @@ from pyspark.sql.window import Window
 
 from citeproof.config import THRESHOLDS, WEIGHTS, Thresholds, Weights
 from citeproof.functions.similarity import title_similarity
-from citeproof.functions.text import YEAR, blank_as_null, found, jaccard, normalize_doi, normalized_title, rounded, strip, title_tokens
+from citeproof.functions.text import YEAR, blank_as_null, fenced, found, jaccard, normalize_doi, normalized_title, rounded, strip, title_tokens
+from citeproof.storage import checkpointed
+
+#: No pair passes with a title score under this one.
+LOWEST_GATE = 0.35
 
 
 def union_candidates(providers: list[DataFrame], per_provider: int = 5) -> DataFrame:
@@ -62,19 +66,52 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), jaccard(a, b))
 
 
-def title_scores(pairs: DataFrame, hybrid: bool = True) -> DataFrame:
-    """(c_title, title, title_score, long) for the different pairs of titles: titles repeat, and only different pairs go
-    to Python. hybrid: 0.6 of the sequence ratio and 0.4 of the shared tokens; else the tokens alone. long: the title has
-    twelve characters and three tokens, so that a low score rejects."""
+def ratio_bound(a: Column, b: Column) -> Column:
+    """An upper bound of the sequence ratio of two texts: twice the characters that both have, as often as both have them,
+    over all. 1 for two empty ones."""
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    pair = F.struct(chars(a).alias("a"), chars(b).alias("b"))
+    often = lambda xs, c: F.size(F.filter(xs, lambda x: x == c))
+    shared = lambda p: F.aggregate(F.array_intersect(p["a"], p["b"]), F.lit(0), lambda n, c: n + F.least(often(p["a"], c), often(p["b"], c)))
+    total = lambda p: F.size(p["a"]) + F.size(p["b"])
+    return F.get(F.transform(F.array(pair), lambda p: F.when(total(p) > 0, 2 * shared(p) / total(p)).otherwise(1.0)), F.lit(0))
+
+
+def title_scores(pairs: DataFrame, hybrid: bool = True, limits: Thresholds = THRESHOLDS) -> DataFrame:
+    """(c_title, title, title_score, _long) for the different pairs of titles. hybrid: 0.6 of the sequence ratio and 0.4 of
+    the shared tokens; else the tokens alone. _long: the title has twelve characters and three tokens, so that a low score
+    rejects.
+
+    Titles repeat, and only different pairs that need it go to Python: the ratio of equal titles is 1, and pairs whose
+    score stays under every gate, whatever their ratio is, are given its upper bound, which rejects them in the same way.
+    """
     clean = lambda c: strip(F.coalesce(c, F.lit("")))
-    tokens = {side: pairs.select(F.col(side)).distinct().select(F.col(side), clean(F.col(side)).alias(f"_{side}"), title_tokens(clean(F.col(side))).alias(f"_tok_{side}")) for side in ("c_title", "title")}
-    both = pairs.select("c_title", "title").distinct()
+    # Written once: several branches read the different pairs, and what they are made from may be a search.
+    different = checkpointed(pairs.select("c_title", "title").distinct())
+    tokens = {side: different.select(F.col(side)).distinct().select(F.col(side), clean(F.col(side)).alias(f"_{side}"), title_tokens(clean(F.col(side))).alias(f"_tok_{side}")) for side in ("c_title", "title")}
+    both = different
     for side, own in tokens.items():
         own = own.withColumnRenamed(side, "_same")
         both = both.join(own, F.col(side).eqNullSafe(F.col("_same"))).drop("_same")
-    shared = token_similarity(F.col("_tok_c_title"), F.col("_tok_title"))
-    score = title_similarity(F.lower("_c_title"), F.lower("_title"), shared) if hybrid else F.coalesce(shared, F.lit(0.0))
-    return both.select("c_title", "title", score.alias("title_score"), ((F.length("_c_title") >= 12) & (F.size("_tok_c_title") >= 3)).alias("_long"))
+    both = both.withColumns({"_shared": token_similarity(F.col("_tok_c_title"), F.col("_tok_title")), "_long": (F.length("_c_title") >= 12) & (F.size("_tok_c_title") >= 3), "_a": F.lower("_c_title"), "_b": F.lower("_title")})
+    if not hybrid:
+        return both.select("c_title", "title", F.coalesce("_shared", F.lit(0.0)).alias("title_score"), "_long")
+    known = ratio_bounds(both, limits)
+    # The two kinds are told apart before Python, which a condition inside one expression would not spare.
+    score = F.when((F.col("_a") == "") | (F.col("_b") == ""), 0.0).otherwise(rounded(0.6 * F.col("_ratio") + 0.4 * F.coalesce("_shared", F.col("_ratio")), 3))
+    done = known.where("_ratio is not null").select("c_title", "title", score.alias("title_score"), "_long")
+    rest = known.where("_ratio is null").select("c_title", "title", title_similarity("_a", "_b", "_shared").alias("title_score"), "_long")
+    return done.unionByName(rest)
+
+
+def ratio_bounds(both: DataFrame, limits: Thresholds = THRESHOLDS) -> DataFrame:
+    """both (_a, _b, _shared, _long) with _ratio: the ratio that is known or bounded well enough, null where Python is needed."""
+    bound = fenced(ratio_bound(F.col("_a"), F.col("_b")))
+    top = 0.6 * F.col("_bound") + 0.4 * F.coalesce("_shared", F.col("_bound"))
+    # Under the hard floor, or under the lowest gate for titles that the floor doesn't hold for; clear of rounding.
+    under = top < F.when(F.col("_long"), limits.title_hard_floor).otherwise(LOWEST_GATE) - 0.001
+    easy = F.when((F.col("_a") == "") | (F.col("_b") == ""), 0.0).when(F.col("_a") == F.col("_b"), 1.0).when(under, F.col("_bound"))
+    return both.withColumn("_bound", bound).withColumn("_ratio", easy).drop("_bound")
 
 
 def author_tokens(authors: Column) -> Column:
@@ -88,7 +125,7 @@ def score_candidates(pairs: DataFrame, hybrid: bool = True, limits: Thresholds =
     c_author_tokens and author_tokens of the two. Without hybrid, titles are compared by their
     tokens alone and scores aren't rounded. Rejected pairs stay, with their status and score 0.
     """
-    own = title_scores(pairs, hybrid).withColumnsRenamed({"c_title": "_a", "title": "_b"})
+    own = title_scores(pairs, hybrid, limits).withColumnsRenamed({"c_title": "_a", "title": "_b"})
     df = pairs.join(own, F.col("c_title").eqNullSafe(F.col("_a")) & F.col("title").eqNullSafe(F.col("_b"))).drop("_a", "_b")
     year = F.coalesce("c_year", found(F.col("c_raw"), YEAR, 1).try_cast("int"))
     own_tokens, tokens = (F.col(n) if n in df.columns else author_tokens(F.col(c)) for n, c in (("c_author_tokens", "c_authors"), ("author_tokens", "authors")))
@@ -96,7 +133,7 @@ def score_candidates(pairs: DataFrame, hybrid: bool = True, limits: Thresholds =
     df = df.withColumns({"author_score": author_score(F.col("_ca"), F.col("_a")), "year_score": year_score(year, F.col("year").try_cast("int")), "venue_score": venue_score(F.col("venue"), F.col("c_raw"))})
     t, a, y, v = (F.col(f"{n}_score") for n in ("title", "author", "year", "venue"))
     floor = F.col("_long") & (t < limits.title_hard_floor)
-    gate = (t >= 0.70) | ((a >= 0.50) & (t >= 0.40)) | ((a >= 0.50) & (F.coalesce(y, F.lit(0.0)) >= 0.5) & (t >= 0.35))
+    gate = (t >= 0.70) | ((a >= 0.50) & (t >= 0.40)) | ((a >= 0.50) & (F.coalesce(y, F.lit(0.0)) >= 0.5) & (t >= LOWEST_GATE))
     known = [(t, weights.title, F.lit(True)), (a, weights.author, a > 0), (y, weights.year, y.isNotNull()), (v, weights.venue, v.isNotNull())]
     total = sum((F.when(present, F.lit(w) * s).otherwise(0.0) for s, w, present in known), F.lit(0.0))
     weight = sum((F.when(present, F.lit(w)).otherwise(0.0) for _, w, present in known), F.lit(0.0))
@@ -107,21 +144,50 @@ def score_candidates(pairs: DataFrame, hybrid: bool = True, limits: Thresholds =
     return df.withColumn("match_score", F.when(F.col("status") == "ELIGIBLE", F.col("_raw")).otherwise(0.0)).drop("_ca", "_a", "_long", "_raw")
 
 
-def containing(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
-    """texts joined with the needles that stand in them, both lower-cased by the caller.
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
+def _grams(word: Column) -> Column:
+    """The different runs of one, two and three characters of a word."""
+    chars = F.filter(F.split(word, ""), lambda c: c != "")
+
+    def of(cs: Column, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(cs) - n), lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]))
+        return F.when(F.size(cs) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(chars), lambda cs: F.concat(*[of(cs, n) for n in (1, 2, 3)]))))
+
+
+def containing(texts: DataFrame, needles: DataFrame, key: str, text: str = "text", needle: str = "needle") -> DataFrame:
+    """(key, needles' columns) for the needles that stand in the text of a key, both lower-cased by the caller.
 
-    A needle's words but its first and last one stand in such a text as whole words, so the longest of them tells which
-    texts to search; only needles without one (of two words or fewer) are searched in every text.
+    key tells texts apart. A needle's words but its first and last one stand in such a text as whole words, so the longest
+    of them tells which texts to search. Needles of one or two words are looked for by the longest of these, which is a
+    part of a word of the text: the words of all texts are searched once each, by the part's rarest run of three
+    characters. Only keys are repeated for words; a text is read once more for the needles that it may hold.
+    Null texts and needles, and needles without a word, find nothing.
     """
     space = r"(?U)\s+"
     inner = F.filter(F.slice(F.split(needle, space), 2, F.greatest(F.size(F.split(needle, space)) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
-    keyed = needles.withColumn("_word", longest)
-    words = texts.withColumn("_word", F.explode(F.array_distinct(F.split(text, space))))
-    wanted = keyed.where("_word is not null")
-    found_ = words.join(wanted, "_word").where(F.contains(F.col(text), F.col(needle))).drop("_word")
-    short = keyed.where("_word is null").drop("_word")
-    return found_.unionByName(texts.join(short, F.contains(F.col(text), F.col(needle))))
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    keyed = needles.select(F.col(needle)).distinct().select(F.col(needle).alias("_needle"), longest(inner).alias("_word"), longest(_words(F.col(needle))).alias("_part"))
+    words = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(_words(F.col(text)))).alias("_word"))
+    whole = words.join(keyed.where("_word is not null").select("_needle", "_word"), "_word").select("_key", "_needle")
+    # Parts of words: the words of all texts are far fewer than their places.
+    parts = keyed.where("_word is null and _part is not null").select("_needle", "_part")
+    grams = words.select("_word").distinct().select("_word", F.explode(_grams(F.col("_word"))).alias("_gram"))
+    of_part = F.filter(_grams(F.col("_part")), lambda g: F.length(g) == F.least(F.lit(3), F.length("_part")))
+    wanted = parts.select("_needle", "_part", F.explode(of_part).alias("_gram"))
+    seen = grams.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    # A part with a run that no word has stands nowhere; the other runs are looked for all the same and find less.
+    rarest = wanted.join(seen, "_gram").groupBy("_needle", "_part").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    in_words = grams.join(rarest, "_gram").where(F.contains("_word", F.col("_part"))).select("_word", "_needle")
+    some = words.join(in_words, "_word").select("_key", "_needle")
+    maybe = whole.unionByName(some).distinct()
+    bodies = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    held = maybe.join(bodies, "_key").where(F.contains("_text", F.col("_needle"))).select("_key", "_needle")
+    return held.join(needles.withColumn("_same", F.col(needle)), F.col("_needle") == F.col("_same")).select(F.col("_key").alias(key), *needles.columns)
 
 
 def rank_candidates(scored: DataFrame, key: str = "citation_key", min_score: float = THRESHOLDS.min_score) -> DataFrame:
@@ -159,12 +225,13 @@ def local_matches(citations: DataFrame, papers: DataFrame, limits: Thresholds =
     left = named.select("citation_key", F.explode(F.array_distinct(title_tokens(F.col("c_title")))).alias("token"))
     right = papers.select("seq", F.explode(F.array_distinct(title_tokens(F.col("title")))).alias("token"))
     blocks = left.join(right, "token").select("citation_key", "seq").distinct()
-    pairs = blocks.join(named, "citation_key").join(papers.select("seq", "filename", "title", "authors", "year", "abstract", "fulltext"), "seq").withColumns({"venue": F.lit(None).cast("string"), "doi": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
-    best = best_candidates(score_candidates(dedup_candidates(pairs)), min_score=limits.local_min_score)
-    text = F.coalesce(blank_as_null(F.col("abstract")), F.col("fulltext"), F.lit(""))
-    hits = best.select("citation_key", strip(text).alias("target_text"), "filename", F.bround("match_score", 2).alias("confidence"))
-    rest = named.join(hits.select("citation_key"), "citation_key", "left_anti").withColumn("_needle", F.lower(strip(F.coalesce("_given", F.lit(""))))).where(F.length("_needle") >= 6)
-    bodies = papers.select("seq", "abstract", "fulltext", "filename", F.lower("fulltext").alias("_body"))
-    inside = containing(bodies, rest.select("citation_key", "_needle"), "_body", "_needle").groupBy("citation_key").agg(F.min_by(F.struct("abstract", "fulltext", "filename"), "seq").alias("p"))
-    text = F.coalesce(blank_as_null(F.col("p.abstract")), F.col("p.fulltext"))
-    return hits.unionByName(inside.select("citation_key", strip(text).alias("target_text"), "p.filename", F.lit(0.70).alias("confidence")))
+    # Texts stay behind until it is known which paper's is wanted.
+    null = F.lit(None).cast("string")
+    pairs = blocks.join(named, "citation_key").join(papers.select("seq", "title", "authors", "year"), "seq").withColumns({"venue": null, "doi": null, "source": null})
+    best = best_candidates(score_candidates(dedup_candidates(pairs)), min_score=limits.local_min_score).select("citation_key", "seq", F.bround("match_score", 2).alias("confidence"))
+    rest = named.join(best.select("citation_key"), "citation_key", "left_anti").withColumn("_title", F.lower(strip(F.coalesce("_given", F.lit(""))))).where(F.length("_title") >= 6)
+    inside = containing(papers.select("seq", F.lower("fulltext").alias("_body")), rest.select("citation_key", "_title"), "seq", "_body", "_title")
+    first = inside.groupBy("citation_key").agg(F.min("seq").alias("seq")).withColumn("confidence", F.lit(0.70))
+    found_ = best.withColumn("_otherwise", F.lit("")).unionByName(first.withColumn("_otherwise", null))
+    text = F.coalesce(blank_as_null(F.col("abstract")), F.col("fulltext"), F.col("_otherwise"))
+    return found_.join(papers.select("seq", "abstract", "fulltext", "filename"), "seq").select("citation_key", strip(text).alias("target_text"), "filename", "confidence")

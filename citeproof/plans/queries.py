@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from citeproof.operators import resolve as R
 from citeproof.operators import retraction as Q
 from citeproof.plans import derived as D
 from citeproof.sources.files import kind_of, paper_columns
-from citeproof.sources.providers import crossref_works, openalex_works, search, semantic_scholar_works
+from citeproof.sources.providers import crossref_works, openalex_works, semantic_scholar_works
+from citeproof.sources.title_search import search_catalogues
 from citeproof.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,8 +131,14 @@ def strip_math_code(spark: S, sf: str) -> DataFrame:
 
 def _candidates(spark: S, sf: str) -> DataFrame:
     """The best five works of each catalogue for each title, by title search over all works."""
-    found = [search(D.titles(spark, sf), works) for works in D.provider_works(spark, sf)]
-    return R.dedup_candidates(R.union_candidates(found))
+    return R.dedup_candidates(R.union_candidates(_found(D.titles(spark, sf), D.provider_works(spark, sf))))
+
+
+def _found(asked: DataFrame, catalogues: list[DataFrame]) -> list[DataFrame]:
+    """What each catalogue finds, in one search over all of them."""
+    works = [w.withColumn("catalogue", F.lit(i)) for i, w in enumerate(catalogues)]
+    found = search_catalogues(asked, reduce(DataFrame.unionByName, works))
+    return [found.where(F.col("catalogue") == i).drop("catalogue") for i in range(len(works))]
 
 
 @query
@@ -183,8 +191,8 @@ def author_venue_scores(spark: S, sf: str) -> DataFrame:
 def containment_join(spark: S, sf: str) -> DataFrame:
     """Benchmark passages that stand in a document as a whole: the first such document of each."""
     b, d = D.table(spark, sf, "benchmark"), D.table(spark, sf, "documents")
-    needles = b.select("item_id", F.lower("text").alias("needle")).where("length(needle) >= 24")
-    hits = R.containing(d.select("doc_id", F.lower("text").alias("body")), needles, "body")
+    needles = b.select("item_id", F.lower("text").alias("needle"))
+    hits = R.containing(d.select("doc_id", F.lower("text").alias("body")), needles, "doc_id", "body")
     return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"))
 
 
@@ -305,7 +313,7 @@ def audit_cascade(spark: S, sf: str) -> DataFrame:
     works = D.citations(spark, sf)
     by_doi = works.where("o_orderpriority <> '5-LOW'").select(F.lower(T.extract_doi(F.col("raw_text"))).alias("doi"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.lit(False).alias("is_retracted"), F.when(F.col("o_orderstatus") != "P", F.concat_ws(" ", "p_name", F.lit("shows demand in"), "c_mktsegment")).otherwise("").alias("abstract"))
     asked = cited.select(F.col("title").alias("citation_key"), F.col("title").alias("query")).distinct()
-    found = R.union_candidates([search(asked, w) for w in D.provider_works(spark, sf)]).withColumnRenamed("citation_key", "asked").withColumns({"abstract": F.col("title"), "is_retracted": F.lit(False)})
+    found = R.union_candidates(_found(asked, D.provider_works(spark, sf))).withColumnRenamed("citation_key", "asked").withColumns({"abstract": F.col("title"), "is_retracted": F.lit(False)})
     candidates = found.join(cited.select("citation_key", F.col("title").alias("asked")), "asked").drop("asked")
     verdicts = written(A.verify(cited, Q.retraction_dimension(D.retractions(spark, sf)), by_doi, candidates))
     return A.report(A.audit(cited, verdicts), "doc_id")

@@ -183,7 +183,7 @@ FROM body b JOIN men ON men.doc_id = b.doc_id AND ref_line = n + 1 + k JOIN cit
     "author_venue_scores": f"""WITH {CITED}, t AS (SELECT o_orderkey, raw_text, c_mktsegment, yr, {title_tokens("p_name || ' ' || p_type")} AS a, {title_tokens("p_name || ' ' || c_mktsegment")} AS b FROM cit)
 SELECT o_orderkey, CAST(CASE WHEN len(a) > 0 AND len(b) > 0 THEN floor(round_even(0.7 * CASE WHEN list_contains(b, a[1]) THEN CASE WHEN length(a[1]) > 3 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END ELSE 0.0::DOUBLE END + 0.3 * {overlap('list_distinct(a)', 'list_distinct(b)')}, 3) * 1000 + 0.5) ELSE 0 END AS BIGINT) AS author_points,
   CASE WHEN contains(lower(raw_text), lower(c_mktsegment)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS venue_score, CASE WHEN abs(yr - 1998) = 0 THEN 1.0::DOUBLE WHEN abs(yr - 1998) = 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS year_score FROM t""",
-    "containment_join": "SELECT item_id, min(doc_id) AS doc_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE length(b.text) >= 24 GROUP BY 1",
+    "containment_join": "SELECT item_id, min(doc_id) AS doc_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE trim(b.text) <> '' GROUP BY 1",
     "journal_heuristic": f"WITH p AS (SELECT p_partkey, coalesce(p_name || '，《' || {array(CORE_JOURNALS)}[p_size % 40 + 1] || '》', p_name) AS corpus FROM part) SELECT p_partkey, {_UPDATE} AS journal FROM p",
     "sentence_split": f"WITH s AS (SELECT doc_id, unnest({sentences('text')}) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM s GROUP BY 1",
     "clause_split": f"WITH {PAIRS} SELECT o_orderkey, array_to_string({clauses('evidence')}, '|') AS clauses FROM pairs",

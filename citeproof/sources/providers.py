@@ -1,12 +1,11 @@
-"""Provider records as one candidate schema: JSON in, columns out; and a table of records in place of a search service."""
+"""Provider records as one candidate schema: JSON in, columns out."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from citeproof.functions.text import provider_doi, strip, text_of_positions, title_tokens
+from citeproof.functions.text import provider_doi, strip, text_of_positions
 from citeproof.operators.retraction import crossref_retracted, retracted_title
 
 OPENALEX = "struct<doi:string,title:string,display_name:string,publication_year:int,is_retracted:boolean,cited_by_count:bigint,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<display_name:string>>>>"
@@ -61,19 +60,3 @@ def semantic_scholar_works(raw: DataFrame, json: str = "json") -> DataFrame:
         F.coalesce("_w.isRetracted", F.lit(False)).alias("is_retracted"),
         F.lit("Semantic Scholar").alias("source"),
     )
-
-
-def search(queries: DataFrame, works: DataFrame, limit: int = 5) -> DataFrame:
-    """(citation_key, position, works' columns): the works that share most title tokens with each query text, best first.
-
-    Stands in for a title search over a table of works (work_id, title, ...). Works of one title are as good as each other
-    and go by work_id, so that queries meet different titles, by their tokens, and the first few works of each alone.
-    """
-    first = F.row_number().over(Window.partitionBy("title").orderBy("work_id"))
-    firsts = works.where("title is not null").select("work_id", "title", first.alias("_n")).where(F.col("_n") <= limit).drop("_n")
-    q = queries.select("citation_key", F.explode(F.array_distinct(title_tokens(F.col("query")))).alias("token"))
-    w = firsts.select("title").distinct().select("title", F.explode(F.array_distinct(title_tokens(F.col("title")))).alias("token"))
-    shared = q.join(w, "token").groupBy("citation_key", "title").agg(F.count("*").alias("_shared"))
-    rank = F.row_number().over(Window.partitionBy("citation_key").orderBy(F.desc("_shared"), "work_id"))
-    best = shared.join(firsts, "title").withColumn("position", rank).where(F.col("position") <= limit).select("citation_key", "position", "work_id")
-    return best.join(works, "work_id")

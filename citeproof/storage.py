@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, in the shared folder; Spark deletes them with the DataFrame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a table written in the shared folder: its lineage is cut, and its size known to the optimizer."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"

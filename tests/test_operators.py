@@ -274,7 +274,7 @@ def test_saved_retractions(spark, tmp_path):
 def test_containing(spark):
     texts = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "brown  fox"), (3, ""), (4, None)], "id int, body string")
     needles = spark.createDataFrame([("a", "ick brown fo"), ("b", "fox"), ("c", "n  f"), ("d", "own fox"), ("e", "missing words here")], "k string, needle string")
-    got = {(r.id, r.k) for r in R.containing(texts, needles, "body").collect()}
+    got = {(r.id, r.k) for r in R.containing(texts, needles, "id", "body").collect()}
     assert got == {(1, "a"), (1, "b"), (2, "b"), (2, "c"), (1, "d")}
 
 
