@@ -88,10 +88,10 @@ def read_through(requests: DataFrame, entries: DataFrame, now: Column, fetch, or
 
     answers (key, value) has a row for each request, also repeated ones; value is null where nothing answered. A key that
     is asked for several times is fetched once, and what was fetched is written once, so that reading either result, or
-    both, asks nobody again. Nulls aren't kept as entries.
+    both, asks nobody again. Nulls aren't kept as entries. Other columns that fetch returns come with the answers.
     """
     held = alive(latest(entries, order), now).select("key", "value")
     missing = requests.join(held.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    fetched = checkpointed(fetch(missing).select("key", "value"))
-    answers = requests.select("key").join(held.unionByName(fetched), "key", "left")
+    fetched = checkpointed(fetch(missing))
+    answers = requests.select("key").join(held.unionByName(fetched, allowMissingColumns=True), "key", "left")
     return answers, fetched.where("value is not null").select("key", "value", expiry(now).alias("expires_at"))

@@ -1,11 +1,14 @@
 """JSON over HTTP for the rows that a cache or a dimension could not answer: a client for each partition, with retries.
 
+A client keeps its connections open as long as its partition runs.
+
 Give it the narrow table of what is missing (see cache.read_through), never a wide one; how many requests run at once is
 how many partitions it is dealt to.
 """
 
 from __future__ import annotations
 
+import http.client
 import json
 import random
 import time
@@ -13,6 +16,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,6 +57,57 @@ def open_url(url: str, timeout: float) -> tuple[int, dict[str, str], bytes]:
         return e.code, dict(e.headers or {}), b""
 
 
+class Client:
+    """open_url with a connection for each host that stays open. Proxies and redirects are left to the standard client."""
+
+    def __init__(self):
+        self.kept: dict[tuple[str, str], http.client.HTTPConnection] = {}
+
+    def __call__(self, url: str, timeout: float) -> tuple[int, dict[str, str], bytes]:
+        at = urlsplit(url)
+        if at.scheme in active_proxies() and not urllib.request.proxy_bypass(at.hostname or ""):
+            return open_url(url, timeout)
+        host = (at.scheme, at.netloc)
+        if host not in self.kept:
+            self.kept[host] = (http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection)(at.netloc)
+        connection = self.kept[host]
+        connection.timeout = timeout
+        try:
+            if connection.sock is not None:
+                connection.sock.settimeout(timeout)
+            connection.request("GET", (at.path or "/") + (f"?{at.query}" if at.query else ""), headers={"Accept": "application/json"})
+            answer = connection.getresponse()
+            body = answer.read()
+        except BaseException as e:
+            # Whatever is left of an answer must not be taken for the next one.
+            self.kept.pop(host).close()
+            if isinstance(e, http.client.HTTPException):
+                raise OSError(str(e)) from e
+            raise
+        if answer.status in (301, 302, 303, 307, 308):
+            return open_url(url, timeout)
+        return answer.status, dict(answer.headers), body
+
+    def close(self) -> None:
+        while self.kept:
+            self.kept.popitem()[1].close()
+
+
+class Pace:
+    """Calls an opener no faster than so many times a second; retries count as well."""
+
+    def __init__(self, opener: Callable, per_second: float | None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.opener, self.gap, self.sleep, self.clock = opener, 1 / per_second if per_second else 0.0, sleep, clock
+        self.next = clock()
+
+    def __call__(self, url: str, timeout: float) -> tuple[int, dict[str, str], bytes]:
+        now = self.clock()
+        if self.next > now:
+            self.sleep(self.next - now)
+        self.next = max(self.next, now) + self.gap
+        return self.opener(url, timeout)
+
+
 def get_json(url: str, policy: Policy = Policy(), opener: Callable = open_url, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> tuple[str | None, str | None]:
     """(JSON text, failure): a text, or neither where there is no record, or why all tries failed."""
     began, failure = clock(), "NO_ANSWER"
@@ -81,12 +136,24 @@ def get_json(url: str, policy: Policy = Policy(), opener: Callable = open_url, s
     return None, failure
 
 
-def fetch(requests: DataFrame, at_once: int = 5, policy: Policy = Policy(), opener: Callable = open_url) -> DataFrame:
-    """(key, json, failure) for requests (key, url), with `at_once` requests at a time. A row is asked for once a run."""
+def fetch(requests: DataFrame, at_once: int = 5, policy: Policy = Policy(), opener: Callable | None = None, per_second: float | None = None) -> DataFrame:
+    """(key, json, failure) for requests (key, url), with `at_once` requests at a time.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = [get_json(u, policy, opener) if u else (None, "NO_URL") for u in batch["url"]]
-            yield pd.DataFrame({"key": batch["key"], "json": [a for a, _ in answers], "failure": [f for _, f in answers]}, dtype=object)
+    per_second bounds the requests of all partitions together: each has an equal share of it. Keys are dealt by their hash,
+    so that equal ones meet, and each is asked for once by a run of its partition. A result that is read several times, or
+    whose partition is lost, is asked for again; cache.read_through writes it once.
+    """
+    share = per_second / at_once if per_second else None
 
-    return requests.select("key", "url").repartition(at_once).mapInPandas(run, "key string, json string, failure string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = opener or Client()
+        paced = Pace(client, share)
+        try:
+            for batch in batches:
+                answers = [get_json(u, policy, paced) if u else (None, "NO_URL") for u in batch["url"]]
+                yield pd.DataFrame({"key": batch["key"], "json": [a for a, _ in answers], "failure": [f for _, f in answers]}, dtype=object)
+        finally:
+            if isinstance(client, Client):
+                client.close()
+
+    return requests.select("key", "url").dropDuplicates(["key"]).repartition(at_once, "key").mapInPandas(run, "key string, json string, failure string")
