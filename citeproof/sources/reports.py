@@ -40,13 +40,16 @@ class ReportWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.extension, self.overwrite = options["path"].rstrip("/"), options.get("extension", ".md"), overwrite
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+        # Made here and never by a task, so that one that still runs when the job is aborted can't bring it back.
+        system, staging = _files(self.staging)
+        system.create_dir(staging, recursive=True)
 
     def write(self, rows: Iterator[Row]) -> Written:
         files, (system, staging) = [], _files(self.staging)
         context = TaskContext.get()
         # Attempts of one task never share a file.
         own = f"{staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        system.create_dir(own, recursive=True)
+        system.create_dir(own, recursive=False)
         for doc_id, text in rows:
             name = file_name(doc_id, self.extension)
             with system.open_output_stream(f"{own}/{name}") as out:
