@@ -86,7 +86,7 @@ def op5() -> str:
     grams, joins, pa, pr = [], [], f"(1.0 / {u.SYMBOLS})", f"(1.0 / {u.SYMBOLS})"
     steps = []
     for k in range(1, k1 + 1):
-        grams.append(f"""g{k} AS (SELECT right(win, {k}) AS gram, sum(na) AS ga, sum(nr) AS gr FROM counts GROUP BY 1 HAVING sum(na) + sum(nr) >= (SELECT greatest(1.0, sum(na + nr) * {u.LEAST_SHARE!r}) FROM counts)),
+        grams.append(f"""g{k} AS (SELECT right(win, {k}) AS gram, sum(na) AS ga, sum(nr) AS gr FROM counts GROUP BY 1 HAVING sum(na) + sum(nr) > 0),
 c{k} AS (SELECT left(gram, {k - 1}) AS context, sum(ga) AS ca, sum(gr) AS cr FROM g{k} GROUP BY 1)""")
         steps.append(f"""p{k} AS (SELECT p.url, p.win, CASE WHEN ca IS NULL THEN pa ELSE (coalesce(ga, 0) + {u.A} * pa) / (ca + {u.A}) END AS pa,
   CASE WHEN ca IS NULL THEN pr ELSE (coalesce(gr, 0) + {u.A} * pr) / (cr + {u.A}) END AS pr
