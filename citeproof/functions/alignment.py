@@ -59,17 +59,21 @@ def most_relevant_clause(df: DataFrame, claim: str, sentence: str, out: str = "c
 def polarity_conflict(df: DataFrame, claim: str, sentence: str, out: str) -> DataFrame:
     """Whether claim and sentence point opposite ways: rising against falling words, a Chinese negation on one side with
     three shared characters, or an English negation of a shared stem on one side."""
-    df = most_relevant_clause(df, claim, sentence, "_clause")
-    c, s = F.lower(claim), F.lower("_clause")
-    df = df.withColumn("_shared", F.array_intersect(stems(c), stems(s)))
+    named = df.select(F.col(claim).alias("_pc"), F.col(sentence).alias("_ps"))
+    # Pairs repeat, and what makes them costs far more than bringing the answer back to each.
+    pairs = most_relevant_clause(named.distinct(), "_pc", "_ps", "_clause")
+    c, s = F.lower("_pc"), F.lower("_clause")
+    pairs = pairs.withColumn("_clause", fenced(F.col("_clause"))).withColumn("_shared", fenced(F.array_intersect(stems(c), stems(s))))
     shared = F.col("_shared")
-    up_c, down_c, up_s, down_s = contains_any(c, RISING), contains_any(c, FALLING), contains_any(s, RISING), contains_any(s, FALLING)
-    turned = (up_c & down_s & ~down_c) | (down_c & up_s & ~down_s)
+    signs = {"_up_c": contains_any(c, RISING), "_down_c": contains_any(c, FALLING), "_up_s": contains_any(s, RISING), "_down_s": contains_any(s, FALLING), "_zh_c": contains_any(c, NEGATIONS_ZH), "_zh_s": contains_any(s, NEGATIONS_ZH)}
+    pairs = pairs.withColumn("_signs", fenced(F.struct(*[v.alias(k) for k, v in signs.items()]))).select("*", "_signs.*")
+    turned = (F.col("_up_c") & F.col("_down_s") & ~F.col("_down_c")) | (F.col("_down_c") & F.col("_up_s") & ~F.col("_down_s"))
     skipped = literals(list(" ,.，。!！?？\t\n"))
     chars = lambda x: F.array_except(F.filter(F.split(x, ""), lambda ch: ch != ""), skipped)
-    zh = (contains_any(c, NEGATIONS_ZH) != contains_any(s, NEGATIONS_ZH)) & (F.size(F.array_intersect(chars(c), chars(s))) >= 3)
-    en = (F.size(shared) > 0) & (negated(F.col(claim), shared) != negated(F.col("_clause"), shared))
-    return df.withColumn(out, F.coalesce(turned | zh | en, F.lit(False))).drop("_clause", "_shared")
+    zh = (F.col("_zh_c") != F.col("_zh_s")) & (F.size(F.array_intersect(chars(c), chars(s))) >= 3)
+    en = (F.size(shared) > 0) & (negated(F.col("_pc"), shared) != negated(F.col("_clause"), shared))
+    told = pairs.select("_pc", "_ps", F.coalesce(turned | zh | en, F.lit(False)).alias(out))
+    return df.join(told, F.col(claim).eqNullSafe(F.col("_pc")) & F.col(sentence).eqNullSafe(F.col("_ps"))).drop("_pc", "_ps")
 
 
 def align(pairs: DataFrame, key: list[str], claim: str = "claim", abstract: str = "abstract", limits: Thresholds = THRESHOLDS) -> DataFrame:

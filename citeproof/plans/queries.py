@@ -506,11 +506,12 @@ def file_kinds(spark: S, sf: str) -> DataFrame:
 
 @query
 def paper_records(spark: S, sf: str) -> DataFrame:
-    """Documents as reference papers: the title is the first line that isn't blank, the abstract what is marked as one."""
-    d = D.table(spark, sf, "documents").where("lang = 'en'")
+    """Documents as reference papers: the title is the first line that isn't blank, the abstract what is marked as one, else
+    the beginning of the text."""
+    d = D.table(spark, sf, "documents")
     marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 80), F.lit("\nA. Author, B. Author\nAbstract: We study "), "source", F.lit(" in 2004.\n\n1. Body\n"), "text")).otherwise(F.col("text"))
     papers = paper_columns(d.select(F.col("doc_id").cast("string").alias("filename"), F.lit("/x").alias("filepath"), marked.alias("fulltext")))
-    return papers.select(F.col("filename").cast("bigint").alias("doc_id"), "title", F.when(F.col("filename").cast("bigint") % 2 == 0, F.col("abstract")).alias("abstract"))
+    return papers.select(F.col("filename").cast("bigint").alias("doc_id"), "title", "abstract")
 
 
 @query

@@ -241,7 +241,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id
     "file_kinds": """SELECT p_partkey, ['Text', 'Text', 'LaTeX/BibTeX', 'LaTeX/BibTeX', 'DOCX', 'PDF', 'Text', 'Text'][p_partkey % 8 + 1] AS kind, p_name || e AS name, lower(e) AS extension, replace(url_encode('/data/v1.2/' || p_brand || '/' || p_name || e), '+', '%20') AS quoted
   FROM (SELECT *, ['.md', '.TXT', '.tex', '.bib', '.docx', '.pdf', '', '.odt'][p_partkey % 8 + 1] AS e FROM part)""",
     "paper_records": f"""SELECT doc_id, substring(list_filter(list_transform(string_split(CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 80) || chr(10) || 'A. Author' ELSE text END, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')[1], 1, 200) AS title,
-  CASE WHEN doc_id % 2 = 0 THEN 'We study ' || source || ' in 2004.' END AS abstract FROM documents WHERE lang = 'en' AND {strip("coalesce(text, '')")} <> ''""",
+  CASE WHEN doc_id % 2 = 0 THEN 'We study ' || source || ' in 2004.' ELSE {strip("substring(text, 1, 500)")} END AS abstract FROM documents WHERE {strip("coalesce(text, '')")} <> ''""",
     "evidence_map": """WITH n AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, unnest(list_distinct([o_orderkey % 300, o_orderkey % 170, o_orderkey % 5000])) AS d FROM orders)
 SELECT o_orderkey AS claim_id, o_orderpriority AS claim, CAST(d AS VARCHAR) AS doc_id, CASE WHEN d = o_orderkey % 300 AND o_orderstatus <> 'P' THEN CASE WHEN o_orderstatus = 'F' THEN 'SUPPORT' ELSE 'CONTRADICT' END ELSE 'NEUTRAL' END AS label, lang AS title, source AS abstract FROM n JOIN documents ON doc_id = d""",
     "key_mentions": f"""WITH {CITED}, l AS (SELECT o_custkey AS doc_id, o_orderkey, 'K' || (o_orderkey % 50) AS key, 'See [ K' || (o_orderkey % 50) || ' ] and [' || p_name || '], not [K' || (o_orderkey % 50) || 'x].' AS line FROM cit)
