@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +264,57 @@ def test_cache_table(spark, tmp_path):
     assert t.entries().count() == 0
 
 
+def test_cache_table_reads_asked_buckets(spark, tmp_path):
+    """A read of a few keys opens the files of their buckets; the rows are those of a read of everything."""
+    t = K.Table(spark, str(tmp_path / "cache"), buckets=16)
+    t.set(spark.range(400).selectExpr("concat('k', id) as key", "string(id) as value", "1000 as expires_at", "id as seq"))
+    t.set(spark.range(0, 400, 2).selectExpr("concat('k', id) as key", "concat('new', id) as value", "1000 as expires_at", "id + 1000 as seq"))
+    keys = spark.createDataFrame([("k6",), ("k6",), ("k7",), ("none",), (None,)], "key string")
+    files = lambda df: {f for f in df.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    read, all_files = files(t.entries(keys)), files(t.entries())
+    assert len(all_files) >= 28 and 0 < len(read) <= 6 and read < all_files
+    assert "PartitionFilters: [bucket" in t.entries(keys)._jdf.queryExecution().toString().replace("isnotnull(bucket), ", "")
+    assert {r.key: r.value for r in t.get(keys, F.lit(5)).collect()} == {"k6": "new6", "k7": "7"}
+    assert K.Table(spark, t.path, buckets=3).get(keys, F.lit(5)).count() == 2
+    assert t.get(spark.createDataFrame([], "key string"), F.lit(5)).count() == 0
+    t.set(spark.createDataFrame([], K.Table.SCHEMA))
+    assert t.entries().count() == 600
+
+
+def test_cache_table_two_writers(spark, tmp_path):
+    """Neither writers nor purges that run at the same time lose entries, and a purge that another one overtook starts anew."""
+    t = K.Table(spark, str(tmp_path / "cache"), buckets=2)
+    new = lambda *rows: spark.createDataFrame(list(rows), K.Table.SCHEMA)
+    stale = t._state()
+    t.set(new(("a", "1", 100, 1)))
+    assert not t._commit(stale, live=["lost"]) and t.entries().count() == 1
+
+    def write(i):
+        w = K.Table(spark, t.path)
+        w.set(new((f"w{i}", str(i), 100, 10 + i)))
+        if i % 3 == 0:
+            w.purge(F.lit(50))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(8)))
+    assert {r.key for r in t.entries().collect()} == {"a", *(f"w{i}" for i in range(8))}
+    # A write, and another purge, between the reading and the commit of a purge.
+    commit, between = t._commit, [lambda: K.Table(spark, t.path).set(new(("b", "2", 100, 90))), lambda: K.Table(spark, t.path).purge(F.lit(50))]
+
+    def interrupted(*args, **changes):
+        if between:
+            between.pop(0)()
+        return commit(*args, **changes)
+
+    t._commit = interrupted
+    t.purge(F.lit(50), spark.createDataFrame([("a",)], "key string"))
+    assert not between and {r.key for r in t.entries().collect()} == {"b", *(f"w{i}" for i in range(8))}
+    t._commit = commit
+    for _ in range(2):
+        t.purge(F.lit(50))
+    assert len(list((tmp_path / "cache" / "data").glob("part=*"))) == 2
+
+
 def test_saved_retractions(spark, tmp_path):
     path = str(tmp_path / "retractions")
     rows = [("10.1126/SCIENCE.1112286", "later", "S", "2007", "again", 5), ("10.1/new", "new", "S", "2020", "x", 6)]
