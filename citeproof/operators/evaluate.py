@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from citeproof.functions.text import words_from
@@ -85,6 +85,32 @@ def timed(run: Callable[[], int]) -> dict[str, float]:
     return {"items": n, "seconds": took, "qps": n / max(took, 1e-9), "ms_per_item": 1000 * took / max(n, 1)}
 
 
+def observed(rows: DataFrame, observation: Observation, latency: str = "ms", failure: str | None = "failure") -> DataFrame:
+    """The same rows; the query that reads them also counts them and tells their latencies, without a pass of its own.
+
+    After that query observation.get has n, failures, total, p50, p99 and most: milliseconds of column latency, quantiles
+    within 1/10,000 of the rows. Without rows all but the counts are null. Read the result once, written say: a query that
+    runs it again is not counted again.
+    """
+    failures = F.count(failure) if failure else F.lit(0).cast("bigint") * F.count("*")
+    quantile = lambda q: F.percentile_approx(latency, q, 10000)
+    return rows.observe(observation, F.count("*").alias("n"), failures.alias("failures"), F.sum(latency).alias("total"), quantile(0.5).alias("p50"), quantile(0.99).alias("p99"), F.max(latency).alias("most"))
+
+
+def latency_sketches(rows: DataFrame, by: list[str], latency: str = "ms") -> DataFrame:
+    """(*by, n, total, sketch) of latencies: small rows that can be kept, and merged over any groups by merged_latencies."""
+    given = rows.where(F.col(latency).isNotNull())
+    return given.groupBy(by).agg(F.count("*").alias("n"), F.sum(latency).alias("total"), F.kll_sketch_agg_double(F.col(latency).cast("double")).alias("sketch"))
+
+
+def merged_latencies(sketches: DataFrame, by: list[str], at_once: int = 1) -> DataFrame:
+    """(*by, n, mean, qps, p50, p99) from kept sketches; qps is for at_once requests at a time that never pause."""
+    merged = sketches.groupBy(by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    quantile = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    per_second = F.col("n") * F.lit(1000.0 * at_once) / F.when(F.col("total") > 0, F.col("total"))
+    return merged.select(*by, "n", (F.col("total") / F.col("n")).alias("mean"), per_second.alias("qps"), quantile(0.5).alias("p50"), quantile(0.99).alias("p99"))
+
+
 def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf) of the words of two or more characters."""
     return texts.select(key, F.explode(words_from(F.col(text), 2)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))

@@ -34,6 +34,8 @@ class Connection:
     semantic: str = SEMANTIC
     mailto: str | None = None
     cache: Table | None = None
+    #: Takes a kind of request and its answers (key, json, failure, ms), and returns them: see evaluate.observed.
+    watch: Callable[[str, DataFrame], DataFrame] | None = None
     policy: Policy = field(default_factory=Policy)
     at_once: int = 5
     per_second: float | None = None
@@ -64,9 +66,13 @@ class Connection:
         asked = values.select("value").where("value <> ''").distinct().withColumns({"key": cache_key(kind, *own), "url": self.address(kind, F.col("value"))})
         # Cache keys ignore case and outer blanks, and so may fewer keys than values be asked for.
         now = F.lit(int(time.time()))
-        entries = self.cache.entries() if self.cache else spark.createDataFrame([], Table.SCHEMA)
-        get = lambda missing: fetch(missing, self.at_once, self.policy, self.opener, self.per_second).withColumnRenamed("json", "value")
+
+        def get(missing: DataFrame) -> DataFrame:
+            asked_for = fetch(missing, self.at_once, self.policy, self.opener, self.per_second)
+            return (self.watch(kind, asked_for) if self.watch else asked_for).withColumnRenamed("json", "value")
+
         requests = checkpointed(asked)
+        entries = self.cache.entries(requests) if self.cache else spark.createDataFrame([], Table.SCHEMA)
         answers, new = read_through(requests.select("key", "url"), entries, now, get)
         if self.cache:
             self.cache.set(new.withColumn("seq", F.lit(time.time_ns())))

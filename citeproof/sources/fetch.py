@@ -137,7 +137,8 @@ def get_json(url: str, policy: Policy = Policy(), opener: Callable = open_url, s
 
 
 def fetch(requests: DataFrame, at_once: int = 5, policy: Policy = Policy(), opener: Callable | None = None, per_second: float | None = None) -> DataFrame:
-    """(key, json, failure) for requests (key, url), with `at_once` requests at a time.
+    """(key, json, failure, ms) for requests (key, url), with `at_once` requests at a time; ms is what an answer took, with
+    its retries and waits.
 
     per_second bounds the requests of all partitions together: each has an equal share of it. Keys are dealt by their hash,
     so that equal ones meet, and each is asked for once by a run of its partition. A result that is read several times, or
@@ -150,10 +151,15 @@ def fetch(requests: DataFrame, at_once: int = 5, policy: Policy = Policy(), open
         paced = Pace(client, share)
         try:
             for batch in batches:
-                answers = [get_json(u, policy, paced) if u else (None, "NO_URL") for u in batch["url"]]
-                yield pd.DataFrame({"key": batch["key"], "json": [a for a, _ in answers], "failure": [f for _, f in answers]}, dtype=object)
+                answers, ms = [], []
+                for u in batch["url"]:
+                    began = time.perf_counter()
+                    answers.append(get_json(u, policy, paced) if u else (None, "NO_URL"))
+                    ms.append(1000 * (time.perf_counter() - began))
+                rows = pd.DataFrame({"key": batch["key"], "json": [a for a, _ in answers], "failure": [f for _, f in answers]}, dtype=object)
+                yield rows.assign(ms=pd.Series(ms, rows.index, float))
         finally:
             if isinstance(client, Client):
                 client.close()
 
-    return requests.select("key", "url").dropDuplicates(["key"]).repartition(at_once, "key").mapInPandas(run, "key string, json string, failure string")
+    return requests.select("key", "url").dropDuplicates(["key"]).repartition(at_once, "key").mapInPandas(run, "key string, json string, failure string, ms double")
