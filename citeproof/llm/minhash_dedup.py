@@ -103,16 +103,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", at).mapInArrow(collect, "doc_id bigint, grams array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, many: bool) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, centre) those whose full sets are as similar as asked. A centre that many pairs name is sent
-    to several tasks, so that its pairs don't meet in one. many: pairs grow with the documents, so that sets are dealt
-    by id, once for both ends, at every size; of few pairs the optimizer may send the pairs to the sets."""
-    way = (lambda df: df.hint("merge")) if many else (lambda df: df)
+    to several tasks, so that its pairs don't meet in one."""
     other = pairs.select("a", "b", "centre", F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"))
     blocks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_PAIRS).cast("int").alias("blocks")).repartition(F.xxhash64("centre"))
     dealt = other.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks")
-    centres = sets.select(F.col("doc_id").alias("centre"), F.col("grams").alias("ga")).join(way(blocks), "centre").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    joined = dealt.join(way(sets.select(F.col("doc_id").alias("doc"), F.col("grams").alias("gb"))), "doc").join(way(centres), ["centre", "block"])
+    centres = sets.select(F.col("doc_id").alias("centre"), F.col("grams").alias("ga")).join(blocks, "centre").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    joined = dealt.join(sets.select(F.col("doc_id").alias("doc"), F.col("grams").alias("gb")), "doc").join(centres, ["centre", "block"])
     common = joined.select("a", "b", (F.size("ga") + F.size("gb")).alias("both"), F.size(F.array_intersect("ga", "gb")).alias("common"))
     return common.where((F.lit(100) + percent) * F.col("common") >= F.col("both") * percent).select("a", "b")
 
@@ -125,7 +123,7 @@ def _by_rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     pair that links either is here, or both its sets have enough common ones for their sizes without any rare one; that is
     seldom for near copies that differ in places of their own. Where an id has several texts, r and u count all of them.
     """
-    held = sets.join(members.repartition(F.xxhash64("doc_id")).hint("merge"), "doc_id").select("doc_id", "n", "component", F.explode("grams").alias("gram"))
+    held = sets.join(members.repartition(F.xxhash64("doc_id")), "doc_id").select("doc_id", "n", "component", F.explode("grams").alias("gram"))
     counted = cut_few(held.groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
     total = counted.agg(F.sum("n_docs")).first()[0] or 0
     # Of shingles with so large a share there are as many as HOT at most: they are broadcast, and no task gets all of one's sets.
@@ -205,7 +203,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 break
             if turn == 1:
                 # Every further round reads the sets of what is left alone.
-                old, sets = sets, cut_few(sets.join(now.select("doc_id").distinct().repartition(F.xxhash64("doc_id")).hint("merge"), "doc_id", "left_semi"))
+                old, sets = sets, cut_few(sets.join(now.select("doc_id").distinct().repartition(F.xxhash64("doc_id")), "doc_id", "left_semi"))
                 release(old)
         if turn == STAR_ROUNDS and not common_only:
             met, common = _by_rare(now.select("doc_id", "n", "component").distinct(), sets, percent)
@@ -226,7 +224,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             turn, centres = turn + 1, 8 * centres if common_only else 1
         pairs = met.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut_few(_confirmed(met, sets, percent, not common_only))
+        found = cut_few(_confirmed(met, sets, percent))
         if labels is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             old, labels = labels, cut_few(components(links))
