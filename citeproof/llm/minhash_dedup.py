@@ -187,7 +187,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     wanted = keyed.select("doc_id").distinct()
     sets = cut_few(_sets(named, wanted, width))
-    tested = links = labels = None
+    tested = labels = None
     turn, centres, common_only = 0, 1, False
     while True:
         tidy(docs.sparkSession)
@@ -226,10 +226,12 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut_few(_confirmed(met, sets, percent))
         if labels is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+            # Labels are links to the smallest of each component, and stand for all links of earlier rounds.
+            links = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
             old, labels = labels, cut_few(components(links))
             release(*[old] * (old is not None))
-    release(sets, tested, links)
+        release(found)
+    release(sets, tested)
     tidy(docs.sparkSession)
 
     named_classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), "members", "rep")
