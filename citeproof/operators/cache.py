@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -50,7 +51,8 @@ class Table:
     free, so that of two writers one has to begin anew from the other's commit, and neither loses entries. A purge puts one
     write in the place of those it has read and leaves later ones. Files that it replaces stay until the next purge, for
     readers that still use them; files of writers that never came to commit stay until clear(). That a name is taken once
-    only is the file system's promise: HDFS keeps it; object stores need a committer for renames.
+    only is the file system's promise: HDFS keeps it, links keep it on file systems of one machine or a mount; object stores
+    without a rename that fails where the name is taken allow one writer at a time.
     """
 
     SCHEMA = "key string, value string, expires_at bigint, seq bigint"
@@ -92,6 +94,15 @@ class Table:
         out.write(json.dumps(state).encode())
         out.close()
         self._fs.mkdirs(self._of("commits"))
+        if self._fs.getUri().getScheme() == "file":
+            # Its rename looks first and then replaces; a link is made in one step, or not where the name is taken.
+            try:
+                os.link(staged.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(staged, False)
+            return True
         none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
         try:
             jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(staged, final, none)
