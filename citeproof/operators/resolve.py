@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from citeproof.config import THRESHOLDS, WEIGHTS, Thresholds, Weights
 from citeproof.functions.similarity import title_similarity
 from citeproof.functions.text import YEAR, blank_as_null, fenced, found, jaccard, normalize_doi, normalized_title, rounded, strip, title_tokens
-from citeproof.storage import checkpointed
+from citeproof.storage import checkpointed, written
 
 #: No pair passes with a title score under this one.
 LOWEST_GATE = 0.35
@@ -144,6 +144,26 @@ def score_candidates(pairs: DataFrame, hybrid: bool = True, limits: Thresholds =
     return df.withColumn("match_score", F.when(F.col("status") == "ELIGIBLE", F.col("_raw")).otherwise(0.0)).drop("_ca", "_a", "_long", "_raw")
 
 
+def by_kind(citations: DataFrame, candidates: DataFrame, asked: str = "citation_key") -> tuple[DataFrame, DataFrame]:
+    """citations (asked, c_title, c_authors, c_year, c_raw, ...) with the number of their kind, and the kinds (kind, asked, c_title,
+    c_author_tokens, c_year, c_raw).
+
+    Citations of one kind ask for the same candidates (asked, venue, ...) and agree in title, tokens of authors and year:
+    what score_candidates tells of a pair depends on nothing else but on the raw text, which is kept apart where a
+    candidate names a venue and read for the year where none is given. So a kind's pairs are scored and ranked once,
+    however many citations it has. citations are read twice and candidates once more for the pairs.
+    """
+    venues = candidates.groupBy(F.col(asked).alias("_asked")).agg(F.max(F.coalesce(F.col("venue") != "", F.lit(False))).alias("_venue"))
+    year = F.coalesce("c_year", found(F.col("c_raw"), YEAR, 1).try_cast("int"))
+    what = {asked: F.col(asked), "c_title": F.col("c_title"), "c_author_tokens": author_tokens(F.col("c_authors")), "c_year": year, "c_raw": F.when(F.col("_venue"), F.col("c_raw"))}
+    told = citations.join(venues, F.col(asked) == F.col("_asked"), "left").withColumn("_is", F.struct(*[c.alias(n) for n, c in what.items()])).drop("_asked", "_venue")
+    # Written, so that the numbers stay and the optimizer knows how few there are.
+    kinds = written(told.select("_is").distinct().select(F.monotonically_increasing_id().alias("kind"), "_is.*"))
+    same = [F.col("_is")[n].eqNullSafe(F.col("_k")[n]) for n in what]
+    numbered = kinds.select("kind", F.struct(*what).alias("_k"))
+    return told.join(numbered, reduce(Column.__and__, same)).drop("_is", "_k"), kinds
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
