@@ -50,10 +50,14 @@ def bracket_mentions(lines: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def key_mentions(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc_id, key, claim_line, claim): the first line of a document in whose brackets a key of keys (doc_id, key) stands
-    alone, whether the key is a number or not. Brackets become rows and meet keys by equality."""
-    inside = lines.select("doc_id", "line_no", "line", F.explode(F.regexp_extract_all("line", F.lit(r"(?U)\[\s*([^\[\]]*?)\s*\]"), F.lit(1))).alias("key"))
-    hits = inside.where("key <> ''").join(keys.select("doc_id", "key").distinct(), ["doc_id", "key"])
+    """(doc_id, key, claim_line, claim): the first line of a document in whose brackets a key stands alone, whether the key
+    is a number or not. keys: (doc_id, key), or (doc_id, keys) with the keys of a document as an array.
+
+    Lines meet their document's keys as one row, so that neither keys nor brackets are sent as rows of their own.
+    """
+    own = keys.select("doc_id", "keys") if "keys" in keys.columns else keys.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    inside = F.filter(F.regexp_extract_all("line", F.lit(r"(?U)\[\s*([^\[\]]*?)\s*\]"), F.lit(1)), lambda x: x != "")
+    hits = lines.select("doc_id", "line_no", "line").join(own, "doc_id").select("doc_id", "line_no", "line", F.explode(F.array_intersect(inside, "keys")).alias("key"))
     return hits.groupBy("doc_id", "key").agg(F.min(F.struct("line_no", "line")).alias("m")).select("doc_id", "key", F.col("m.line_no").alias("claim_line"), F.col("m.line").alias("claim"))
 
 

@@ -333,3 +333,26 @@ def test_containing(spark):
 def test_timed():
     got = E.timed(lambda: 10)
     assert got["items"] == 10 and got["qps"] > 0 and got["ms_per_item"] >= 0
+
+
+def test_key_mentions_with_a_documents_keys_as_one_row(spark):
+    lines = spark.createDataFrame([(1, 1, "none [] here"), (1, 2, "see [ a ] and [b]"), (1, 3, "[a] again, [ab]"), (2, 1, "[b] of another, [c]"), (3, 1, None)], "doc_id int, line_no int, line string")
+    rows = [(1, "a"), (1, "a"), (1, "c"), (1, ""), (2, "b"), (3, "a"), (4, "a")]
+    arrays = [(1, ["a", "c", ""]), (1, ["a"]), (2, ["b"]), (2, None), (3, ["a"])]
+    want = [(1, "a", 2, "see [ a ] and [b]"), (2, "b", 1, "[b] of another, [c]")]
+    assert sorted(map(tuple, X.key_mentions(lines, spark.createDataFrame(rows, "doc_id int, key string")).collect())) == want
+    assert sorted(map(tuple, X.key_mentions(lines, spark.createDataFrame(arrays, "doc_id int, keys array<string>")).collect())) == want
+
+
+def test_citations_of_one_kind_are_scored_once(spark):
+    cited = [(i, "t", "deep learning of protein structure", ["Ann Li"], None if i == 3 else 2001, "Nature, 2001") for i in range(5)] + [(5, "t", "deep learning of protein structure", ["Bo Wu"], 2001, "x"), (6, "v", "graphs", [], 2001, "In Nature, 2001 and more text"), (7, "v", "graphs", [], 2001, "In Science, 2001 and more"), (8, "none", None, None, None, None)]
+    cited = spark.createDataFrame(cited, "citation_key int, asked string, c_title string, c_authors array<string>, c_year int, c_raw string")
+    given = spark.createDataFrame([("t", 1, "deep learning of protein structure", ["Ann Li"], 2001, None), ("t", 2, "deep learning", ["Bo Wu"], 2001, ""), ("v", 1, "graphs", [], 2001, "Nature")], "asked string, seq int, title string, authors array<string>, year int, venue string")
+    kept, kinds = R.by_kind(cited, given, "asked")
+    of = {r.citation_key: r.kind for r in kept.collect()}
+    assert sorted(of) == list(range(9)) and len({of[i] for i in range(5)}) == 1 and len(set(of.values())) == kinds.count() == 5
+    shown = ["title_score", "author_score", "year_score", "venue_score", "status", "match_score"]
+    told = R.score_candidates(kinds.join(given, "asked")).select("kind", "seq", *shown)
+    got = kept.join(told, "kind").select("citation_key", "seq", *shown)
+    want = R.score_candidates(cited.join(given, "asked")).select("citation_key", "seq", *shown)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 14
