@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeproof.functions.text import YEAR, arxiv_id, extract_doi, found, strip, strip_math_and_code
+from citeproof.storage import written
 
 REFERENCE = r"(?U)^\[(\d+)\]\s*(.+)"
 BRACKETS = r"(?U)\[\s*([\d\s,\-–—]+)\s*\]"
@@ -61,18 +62,21 @@ def key_mentions(lines: DataFrame, keys: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "key").agg(F.min(F.struct("line_no", "line")).alias("m")).select("doc_id", "key", F.col("m.line_no").alias("claim_line"), F.col("m.line").alias("claim"))
 
 
-def first_mentions(references: DataFrame, mentions: DataFrame, widest: int = 1000) -> DataFrame:
+def first_mentions(references: DataFrame, mentions: DataFrame, lines: DataFrame, widest: int = 1000) -> DataFrame:
     """(doc_id, ref_line, claim_line, claim) with the first other line of a document whose brackets hold a reference's number.
 
     Ranges up to `widest` numbers become rows and join by equality; wider ones, which only mistakes make, join by bounds
-    within their document.
+    within their document. Lines are told by number; their texts are fetched from lines when the first is known.
     """
     wanted = references.select("doc_id", F.col("line_no").alias("ref_line"), F.col("number").try_cast("bigint").alias("n"))
-    narrow = mentions.where(F.col("hi") - F.col("lo") < widest).select("doc_id", "line_no", "line", F.explode(F.sequence("lo", "hi")).alias("n"))
-    hits = wanted.join(narrow, ["doc_id", "n"]).select("doc_id", "ref_line", "line_no", "line")
+    mentions = mentions.select("doc_id", "line_no", "lo", "hi")
+    narrow = mentions.where(F.col("hi") - F.col("lo") < widest).select("doc_id", "line_no", F.explode(F.sequence("lo", "hi")).alias("n"))
+    hits = wanted.join(narrow, ["doc_id", "n"]).select("doc_id", "ref_line", "line_no")
     wide = mentions.where(F.col("hi") - F.col("lo") >= widest)
-    hits = hits.unionByName(wanted.join(wide, "doc_id").where("n between lo and hi").select("doc_id", "ref_line", "line_no", "line"))
-    return hits.where("line_no <> ref_line").groupBy("doc_id", "ref_line").agg(F.min(F.struct("line_no", "line")).alias("m")).select("doc_id", "ref_line", F.col("m.line_no").alias("claim_line"), F.col("m.line").alias("claim"))
+    hits = hits.unionByName(wanted.join(wide, "doc_id").where("n between lo and hi").select("doc_id", "ref_line", "line_no"))
+    first = hits.where("line_no <> ref_line").groupBy("doc_id", "ref_line").agg(F.min("line_no").alias("claim_line"))
+    texts = lines.select("doc_id", F.col("line_no").alias("claim_line"), F.col("line").alias("claim"))
+    return first.join(texts, ["doc_id", "claim_line"]).select("doc_id", "ref_line", "claim_line", "claim")
 
 
 def extract_citations(documents: DataFrame) -> DataFrame:
@@ -80,10 +84,12 @@ def extract_citations(documents: DataFrame) -> DataFrame:
 
     Its key is (doc_id, line_no), as numbers can repeat. A reference that no line cites has a placeholder claim.
     """
-    lines = lines_of(documents)
+    # Written, as references, mentions and other DOIs read them: else every text would be cleaned and split for each.
+    lines = written(lines_of(documents).drop("raw"))
     is_ref = F.col("line").rlike(REFERENCE)
     refs = lines.where(is_ref).select("*", *[c.alias(n) for n, c in reference_fields(F.col("line")).items()])
-    mentions = first_mentions(refs, bracket_mentions(lines)).withColumnRenamed("ref_line", "line_no")
+    numbers = written(bracket_mentions(lines).drop("line"))
+    mentions = first_mentions(refs, numbers, lines).withColumnRenamed("ref_line", "line_no").drop("claim_line")
     refs = refs.join(mentions, ["doc_id", "line_no"], "left")
     unsaid = F.concat(F.lit("正文中引用了文献 ["), F.col("number"), F.lit("]。"))
     location = F.concat(F.col("location_prefix"), F.lit(" Line "), F.col("line_no"))
