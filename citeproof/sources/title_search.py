@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeproof.functions.text import title_tokens
-from citeproof.storage import checkpointed
+from citeproof.storage import checkpointed, written
 
 _SET = ["catalogue", "tokens"]
 
@@ -73,5 +73,6 @@ def search_catalogues(queries: DataFrame, works: DataFrame, limit: int = 5) -> D
     place = F.row_number().over(Window.partitionBy(*_SET).orderBy(F.desc("shared"), "work_id"))
     of_set = of_set.select(*_SET, "work_id", place.alias("position")).where(F.col("position") <= limit)
     by_query = queries.join(sets, "query").select("citation_key", *_SET)
-    placed = checkpointed(by_query.join(of_set, _SET).select("catalogue", "citation_key", "position", "work_id"))
+    # Written, so that the optimizer knows their size: else all works may be broadcast to meet a few places.
+    placed = written(by_query.join(of_set, _SET).select("catalogue", "citation_key", "position", "work_id"))
     return placed.join(works, ["catalogue", "work_id"])
