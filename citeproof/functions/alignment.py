@@ -91,11 +91,14 @@ def align(pairs: DataFrame, key: list[str], claim: str = "claim", abstract: str
     best = scored.groupBy(*key).agg(F.max_by(F.struct(F.col("_sentence").alias("sentence"), total.alias("total"), F.col("_s.lexical").alias("lexical"), F.col("_s.semantic").alias("semantic")), F.struct(total, -F.col("_at"))).alias("_best"))
     # Sentences of a pair come from one row, so joining on the key brings back the claim without a second copy in the aggregate.
     df = usable.drop("_sentences").join(best, key).withColumn("best_sentence", F.col("_best.sentence"))
-    df = polarity_conflict(polarity_conflict(df, "_claim", "best_sentence", "_near"), "_claim", "_abstract", "_far")
+    # One answer for both where the sentence is the whole text.
+    both = df.select(*key, "_claim", F.explode(F.array_distinct(F.array("best_sentence", "_abstract"))).alias("_text"))
+    told = polarity_conflict(both, "_claim", "_text", "_conflict").groupBy(*key).agg(F.max("_conflict").alias("_against"))
+    df = df.join(told, key)
     semantic, lexical, peak = F.col("_best.semantic"), F.col("_best.lexical"), rounded(F.col("_best.total"), 2)
     blended = F.when((semantic >= 0.35) & (lexical < 0.10), F.greatest(semantic, peak)).otherwise(F.greatest(0.5 * semantic + 0.5 * lexical, peak))
     df = df.withColumn("_score", rounded(blended, 2))
-    against = F.col("_near") | F.col("_far")
+    against = F.col("_against")
     score = F.when(against, F.lit(limits.contradiction_score)).otherwise(F.col("_score"))
     state = F.when(against, "CONTRADICTED").when(F.col("_score") >= limits.strong_alignment, "SUPPORTED").when(F.col("_score") >= limits.weak_alignment, "PARTIAL").otherwise("NEUTRAL")
     done = df.select(*key, "best_sentence", score.alias("score"), state.alias("alignment_state"))

@@ -88,7 +88,11 @@ NOW = 20 * 86400
 def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, location_prefix, text): one manuscript per customer. Each reference is cited by a line with a list or range of
     numbers, and the reference list follows."""
-    c = citations(spark, sf_dir)
+    return manuscripts_of(citations(spark, sf_dir))
+
+
+def manuscripts_of(c: DataFrame) -> DataFrame:
+    """The manuscripts of citations."""
     cite = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("As "), "p_name", F.lit(" shows ["), "o_orderkey", F.lit(", "), F.col("o_orderkey") + 100000, F.lit("].")))
     cite = cite.otherwise(F.concat(F.lit("As "), "p_name", F.lit(" shows ["), "o_orderkey", F.lit("-"), F.col("o_orderkey") + 2, F.lit("].")))
     lines = c.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", cite.alias("cite"), "raw_text"))).alias("l"))
