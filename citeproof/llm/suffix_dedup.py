@@ -1,7 +1,8 @@
 """Suffix-array dedup: shards' Burrows-Wheeler transforms are merged by refining their interleave.
 
 A shard is a chunk of documents. Of its `depth`-byte strings those that may repeat elsewhere, one of each, are put in
-suffix order as pieces of text that end with a terminator each, and the shard sends the transform of these pieces. A merge
+suffix order as pieces of text that end with a terminator each, and the shard sends the transform of these pieces. A shard
+sorts each place once: the ends of pieces find theirs by how many bytes neighbours have in common. A merge
 inverts the transforms, which gives every shard's suffixes in their order without sorting them: the orders start one
 behind another, and each round refines the blocks that still hold several suffixes by the next symbol of 8 bytes. The first
 round merges sorted runs; blocks of one suffix, and blocks whose suffixes agree, cost no more. The round in which two
@@ -26,20 +27,22 @@ from citeproof.llm.exchange import CHUNK, KEY, KEY_DDL, chunked, earlier_elsewhe
 from citeproof.llm.words import INVERSE, mix, powers, slices, string_buffers
 
 DEPTH, GRAM, DOCS_PER_CHUNK = 100, 32, 512
-BYTES_PER_BUCKET, BYTES_AT_ONCE = 2 << 20, 1 << 19
+BYTES_PER_BUCKET, BYTES_AT_ONCE, GRAMS_AT_ONCE = 2 << 20, 1 << 19, 1 << 15
 _VALUES = np.random.Generator(np.random.PCG64(99)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hashes of every `width` consecutive bytes, across texts too."""
-    n = len(data)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[data] * powers(n), out=sums[1:])
-    grams = (sums[width:] - sums[:-width]) * powers(n - width + 1, INVERSE)
-    grams ^= grams >> np.uint64(32)
-    grams *= np.uint64(0x94D049BB133111EB)
+    grams = np.zeros(max(len(data) - width + 1, 0), np.uint64)
+    # A hash doesn't depend on its place, and what is hashed at once stays in the cache.
+    for lo in range(0, len(grams), GRAMS_AT_ONCE):
+        part = data[lo : lo + GRAMS_AT_ONCE + width - 1]
+        n, out = len(part), grams[lo : lo + GRAMS_AT_ONCE]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUES[part] * powers(n), out=sums[1:])
+        np.multiply(sums[width:] - sums[:-width], powers(n - width + 1, INVERSE), out=out)
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0x94D049BB133111EB)
     return grams
 
 
@@ -54,12 +57,16 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def symbols(data: np.ndarray) -> np.ndarray:
-    """At every byte the 8 bytes from there on, as a number that orders like them; zeros follow the end."""
-    out = np.zeros(len(data), np.uint64)
-    for k in range(min(8, len(data))):
-        out[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
-    return out
+def symbols(data: np.ndarray, more: int = 0) -> np.ndarray:
+    """At every byte, and `more` places after the last, the 8 bytes from there on, as a number that orders like them; zeros
+    follow the end."""
+    out, n = np.concatenate([data, np.zeros(more + 7, np.uint8)]), len(data) + more
+    for kind, width in ((np.uint16, 1), (np.uint32, 2), (np.uint64, 4)):
+        wide = out[:-width].astype(kind)
+        wide <<= kind(8 * width)
+        wide |= out[width:]
+        out = wide
+    return out[:n]
 
 
 def _by_block(block: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -77,20 +84,69 @@ def in_places(order: np.ndarray, new: np.ndarray) -> None:
     order[tied] = np.sort((np.cumsum(new)[tied] << 32) | order[tied]) & 0xFFFFFFFF
 
 
-def interleave(words: np.ndarray, starts: np.ndarray, depth: int, merged: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at starts by their first depth bytes, of equals any, and for each in that order whether it
-    differs from the one before. merged: starts are sorted runs one behind another, which the first round merges."""
+def _same_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their first bytes symbols have in common."""
+    differ, out = a ^ b, np.zeros(len(a), np.uint8)
+    for k in range(8):
+        out += differ < np.uint64(1 << 56 - 8 * k)
+    return out
+
+
+def interleave(data: np.ndarray, starts: np.ndarray, depth: int, merged: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the suffixes of data at starts by their first depth bytes (zeros follow the end), equals as they come in
+    starts, and for each in that order whether it differs from the one before, and how many first bytes it has in common
+    with that. merged: starts are sorted runs one behind another, which the first round merges.
+
+    Of equals only the first is put in order. They are found by hashes and compared byte by byte; where these don't agree
+    all are put in order.
+    """
+    words = symbols(data, depth)
+    low = np.uint64((1 << max(20, len(starts).bit_length())) - 1)
+    keys = (gram_hashes(np.append(data, np.zeros(depth, np.uint8)), depth)[starts] & ~low) | np.arange(len(starts), dtype=np.uint64)
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] ^ keys[:-1]) > low
+    members = (keys & low).astype(np.int64)
+    leads = np.flatnonzero(new)
+    sizes = np.diff(leads, append=len(keys))
+    others = members[~new]
+    by_place = np.argsort(others)
+    a, b = starts[others[by_place]], starts[np.repeat(members[leads], sizes - 1)[by_place]]
+    # Where the places before agree as well, only the last byte is left to compare.
+    head = (np.diff(a, prepend=-2) != 1) | (np.diff(b, prepend=-2) != 1)
+    differ = words[a + depth - 8] != words[b + depth - 8]
+    a, b = a[head], b[head]
+    if differ.any() or any((words[a + at] != words[b + at]).any() for at in range(0, depth - 8, 8)):
+        order, new, common = _refined(words, starts, depth, merged)
+        in_places(order, new)
+        return order, new, common
+    by_place = np.argsort(members[leads])
+    firsts = members[leads[by_place]]
+    order, _, some = _refined(words, starts[firsts], depth, merged)
+    by_order = by_place[order]
+    sizes = sizes[by_order]
+    at = np.cumsum(sizes) - sizes
+    new, common = np.zeros(len(keys), bool), np.full(len(keys), depth, np.uint8)
+    new[at], common[at] = True, some
+    return members[np.repeat(leads[by_order] - at, sizes) + np.arange(len(keys))], new, common
+
+
+def _refined(words: np.ndarray, starts: np.ndarray, depth: int, merged: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What interleave gives, of equals any first: blocks that agree so far are sorted by their next symbols."""
     order = np.argsort(words[starts], kind="stable" if merged else "quicksort")
     first = words[starts[order]]
     new = np.ones(len(order), bool)
     new[1:] = first[1:] != first[:-1]
+    common = np.zeros(len(order), np.uint8)
+    common[1:] = _same_bytes(first[1:], first[:-1])
+    common[~new] = depth
     active = np.flatnonzero(~(new & np.append(new[1:], True)))
     for at in range(8, depth, 8):
         if not len(active):
             break
         symbol = words[starts[order[active]] + at]
         if depth - at < 8:
-            symbol = symbol >> np.uint64(8 * (8 - depth + at))
+            symbol &= np.uint64(2**64 - (1 << 8 * (8 - depth + at)))
         begins = new[active]
         block = np.cumsum(begins) - 1
         differs = symbol != symbol[np.flatnonzero(begins)][block]
@@ -103,22 +159,26 @@ def interleave(words: np.ndarray, starts: np.ndarray, depth: int, merged: bool)
         spots = active[moved]
         order[spots] = order[spots[by_symbol]]
         s, b = symbol[moved][by_symbol], block[moved]
-        parted = np.ones(len(moved), bool)
-        parted[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        new[spots] |= parted
+        parted = np.flatnonzero((s[1:] != s[:-1]) & (b[1:] == b[:-1])) + 1
+        new[spots[parted]] = True
+        common[spots[parted]] = np.uint8(at) + _same_bytes(s[parted], s[parted - 1])
         active = active[~(new[active] & np.append(new, True)[active + 1])]
-    return order, new
+    return order, new, common
+
+
+def terminated(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pieces of data as symbols (a byte and 1), each ended by a terminator (0)."""
+    symbol, body = np.zeros(int(lengths.sum()) + len(lengths), np.uint16), np.ones(int(lengths.sum()) + len(lengths), bool)
+    body[np.cumsum(lengths + 1) - 1] = False
+    symbol[body] = data.astype(np.uint16) + np.uint16(1)
+    return symbol
 
 
 def suffix_order(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of pieces of data, each ended by a terminator (0, below every byte), in order, and the symbols (a byte
     and 1) at every place. Equal suffixes are in the order of their pieces. Prefixes are doubled from 7 symbols on."""
     n = int(lengths.sum()) + len(lengths)
-    symbol = np.zeros(n, np.uint64)
-    ends = np.cumsum(lengths + 1) - 1
-    body = np.ones(n, bool)
-    body[ends] = False
-    symbol[body] = data.astype(np.uint64) + np.uint64(1)
+    symbol = terminated(data, lengths).astype(np.uint64)
     word, width = symbol, 1
     for step in (1, 2, 4):
         # What stands after a terminator is nothing, whatever the next piece begins with.
@@ -153,6 +213,54 @@ def suffix_order(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return order, symbol
 
 
+def last_below(values: np.ndarray) -> np.ndarray:
+    """For each value the place of the last one before it that is smaller; the first place where none is."""
+    at = np.arange(-1, len(values) - 1, dtype=np.int32 if len(values) < 2**31 else np.int64)
+    at[:1] = 0
+    more = np.flatnonzero((values[at] >= values) & (at > 0))
+    while len(more):
+        # All between a place and the one that is held for it are no smaller.
+        at[more] = at[at[more]]
+        then = at[more]
+        more = more[(values[then] >= values[more]) & (then > 0)]
+    return at
+
+
+def piece_order(rank: np.ndarray, common: np.ndarray, leads: np.ndarray, begins: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """What suffix_order gives for pieces whose places are ordered already, without sorting their ends: piece i has the
+    sizes[i] next of the strings at begins, all of which differ, and ends depth bytes after the last of these begins.
+
+    rank: of each place in the order of what stands there; common: the first bytes that each in that order has in common
+    with the one before; leads: for each string the rank of the first that equals it. A piece's last bytes, n of them, come
+    just before the first place that begins with them, which is the last one up to their own that has fewer than n in
+    common with the one before.
+    """
+    lengths = sizes + depth - 1
+    ends = np.cumsum(lengths + 1) - 1
+    last = begins[np.cumsum(sizes) - 1] + depth
+    bits, pieces = np.uint64(max(1, len(sizes).bit_length())), np.arange(len(sizes), dtype=np.uint64)
+    small = np.uint64(max(1, depth.bit_length()))
+    # One number each: the place's rank, the length (of whole strings depth, as these are told by their rank), and the piece.
+    keys = np.empty(len(sizes) * (depth - 1) + len(begins), np.uint64)
+    less = last_below(common)
+    for n in range(1, depth):
+        own = rank[last - n]
+        far = np.flatnonzero(common[own] >= n)
+        while len(far):
+            own[far] = less[own[far]]
+            far = far[common[own[far]] >= n]
+        keys[(n - 1) * len(sizes) : n * len(sizes)] = ((own.astype(np.uint64) << small | np.uint64(n)) << bits) | pieces
+    keys[len(sizes) * (depth - 1) :] = (leads.astype(np.uint64) << small | np.uint64(depth)) << bits
+    keys.sort()
+    place = np.empty(len(common), np.int64)
+    place[leads] = np.repeat(ends - lengths - np.cumsum(sizes) + sizes, sizes) + np.arange(len(begins))
+    length = ((keys >> bits) & np.uint64((1 << int(small)) - 1)).astype(np.int64)
+    order = ends[(keys & np.uint64((1 << int(bits)) - 1)).astype(np.int64)] - length
+    whole = np.flatnonzero(length == depth)
+    order[whole] = place[(keys[whole] >> (bits + small)).astype(np.int64)]
+    return np.concatenate([ends, order])
+
+
 def invert(bwt: np.ndarray, rows: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From transforms one behind another the text of their pieces, and for each entry where its suffix begins (one place
     past the piece for its terminator).
@@ -230,8 +338,20 @@ class _Shard:
         sizes = self.run_length[runs]
         self.of_run = np.repeat(runs, sizes)
         self.at = at = np.repeat(self.run_at[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        self.sorted, new = interleave(symbols(self.data), at, depth, False)
-        in_places(self.sorted, new)
+        # Pieces end with the bytes of their last strings, so that the places after each run are ordered too.
+        wide = np.bincount(self.run_at[runs], minlength=len(self.data) + 1) - np.bincount(self.run_at[runs] + sizes + depth - 1, minlength=len(self.data) + 1)
+        wide = np.flatnonzero(np.cumsum(wide[:-1], dtype=np.int32) > 0)
+        order, new, self.common = interleave(self.data, wide, depth, False)
+        order = wide[order]
+        self.rank = np.zeros(len(self.data), np.int32 if len(order) < 2**31 else np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[self.rank[at]]
+        number = np.full(len(self.data), -1, np.int64)
+        number[at] = np.arange(len(at))
+        self.sorted = number[order]
+        strings = self.sorted >= 0
+        self.sorted = self.sorted[strings]
+        new = np.diff(self.lead[self.sorted], prepend=-1) != 0
         self.group = np.cumsum(new) - 1
         text = np.searchsorted(self.offsets, at[self.sorted], "right") - 1
         lead = np.flatnonzero(new)
@@ -289,20 +409,26 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sizes = np.diff(base, append=len(begins))
                 lengths = sizes + depth - 1
                 inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                order, symbol = suffix_order(shard.data[np.repeat(begins[base], lengths) + inside], lengths)
+                text = shard.data[np.repeat(begins[base], lengths) + inside]
+                leads = shard.lead[shard.standing]
+                if len(np.unique(leads)) == len(leads):
+                    order, symbol = piece_order(shard.rank, shard.common, leads, begins, sizes, depth), terminated(text, lengths)
+                else:
+                    # Texts of one id hold equal strings, which only what follows them puts in order.
+                    order, symbol = suffix_order(text, lengths)
                 # A part of the pieces has its suffixes in the same order.
                 bucket = (anchors[base] >> np.uint64(64 - bits)).astype(np.int64)
                 found, small = np.unique(bucket, return_inverse=True)
                 kind = np.uint16 if len(found) < 65536 else np.int64
                 of = np.repeat(small.astype(kind), lengths + 1)
                 order = order[np.argsort(of[order], kind="stable")]
-                last = np.concatenate([np.zeros(1, np.uint64), symbol[:-1]])[order]
+                last = np.concatenate([symbol[:1] * 0, symbol[:-1]])[order]
                 edges = np.cumsum(np.bincount(of, minlength=len(found))).tolist()
                 by_bucket = np.argsort(small, kind="stable")
                 cuts = np.cumsum(np.bincount(small, minlength=len(found))).tolist()
                 for b, lo, hi, p, q in zip(found.tolist(), [0, *edges], edges, [0, *cuts], cuts, strict=False):
                     bwt, mine = last[lo:hi], by_bucket[p:q]
-                    add(b, base[mine].astype(np.uint32).tobytes(), sizes[mine].astype(np.uint32).tobytes(), (bwt[bwt > 0] - np.uint64(1)).astype(np.uint8).tobytes(), np.flatnonzero(bwt == 0).astype(np.uint32).tobytes())
+                    add(b, base[mine].astype(np.uint32).tobytes(), sizes[mine].astype(np.uint32).tobytes(), (bwt[bwt > 0] - bwt.dtype.type(1)).astype(np.uint8).tobytes(), np.flatnonzero(bwt == 0).astype(np.uint32).tobytes())
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), **key_columns([k.as_py() for k in key], len(rows["bucket"])), **{c: pa.array(rows[c], pa.binary()) for c in ("base", "sizes", "bwt", "ends")}})
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
@@ -328,7 +454,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = np.arange(len(where)) - np.repeat(np.cumsum(total) - total, total) < np.repeat(pieces, total)
         runs = string[where[~first]]
         runs = runs[runs >= 0]
-        order, new = interleave(symbols(text), starts[runs], depth, True)
+        order, new, _ = interleave(text, starts[runs], depth, True)
         order = runs[order]
         owner = np.repeat(np.arange(len(total)), pieces)
         owner = np.repeat(owner, sizes)

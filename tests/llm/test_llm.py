@@ -148,6 +148,30 @@ def test_suffix_orders_and_their_inverse():
         assert where.tolist() == [*place[order], *(place[order] + len(data))]
 
 
+def test_ends_of_pieces_find_their_place_without_a_sort():
+    """piece_order on repeated texts of few letters and zero bytes, cut at anchors: the order of all suffixes of the pieces."""
+    import pyarrow as pa
+
+    from citeproof.llm.suffix_dedup import _Shard, piece_order, suffix_order
+
+    for letters, depth in (("ab", 40), ("a\0", 33), ("abcdefgh", 100)):
+        r = random.Random(f"{letters}{depth}")
+        base = ["".join(r.choice(letters) for _ in range(r.randrange(150, 700))) for _ in range(6)]
+        texts = [*base, *(base[i % 6][r.randrange(50) :] + base[(i + 1) % 6] for i in range(12)), "", letters[0] * 300]
+        shard = _Shard(pa.table({"doc_id": list(range(len(texts))), "text": texts}), depth)
+        shard.order(np.arange(0, len(shard.keys), 1), depth)
+        begins = shard.at[shard.standing]
+        anchors = shard.run_anchor[shard.of_run[shard.standing]]
+        base = np.flatnonzero((np.diff(begins, prepend=-2) != 1) | (np.diff(anchors, prepend=anchors[:1]) != 0))
+        sizes = np.diff(base, append=len(begins))
+        lengths = sizes + depth - 1
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        want, _ = suffix_order(shard.data[np.repeat(begins[base], lengths) + inside], lengths)
+        leads = shard.lead[shard.standing]
+        assert len(base) > 20 or letters == "a\0"
+        assert len(np.unique(leads)) == len(leads) and piece_order(shard.rank, shard.common, leads, begins, sizes, depth).tolist() == want.tolist()
+
+
 def test_suffixes(spark):
     rows = texts()
     same(dedup_suffixes(docs(spark, rows), docs_per_chunk=8), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
