@@ -151,17 +151,21 @@ def by_kind(citations: DataFrame, candidates: DataFrame, asked: str = "citation_
     Citations of one kind ask for the same candidates (asked, venue, ...) and agree in title, tokens of authors and year:
     what score_candidates tells of a pair depends on nothing else but on the raw text, which is kept apart where a
     candidate names a venue and read for the year where none is given. So a kind's pairs are scored and ranked once,
-    however many citations it has. citations are read twice and candidates once more for the pairs.
+    however many citations it has, and authors are cut into tokens once for citations that agree in all of this.
+    citations are read twice and candidates once more for the pairs.
     """
     venues = candidates.groupBy(F.col(asked).alias("_asked")).agg(F.max(F.coalesce(F.col("venue") != "", F.lit(False))).alias("_venue"))
     year = F.coalesce("c_year", found(F.col("c_raw"), YEAR, 1).try_cast("int"))
-    what = {asked: F.col(asked), "c_title": F.col("c_title"), "c_author_tokens": author_tokens(F.col("c_authors")), "c_year": year, "c_raw": F.when(F.col("_venue"), F.col("c_raw"))}
+    what = {asked: F.col(asked), "c_title": F.col("c_title"), "c_authors": F.col("c_authors"), "c_year": year, "c_raw": F.when(F.col("_venue"), F.col("c_raw"))}
     told = citations.join(venues, F.col(asked) == F.col("_asked"), "left").withColumn("_is", F.struct(*[c.alias(n) for n, c in what.items()])).drop("_asked", "_venue")
     # Written, so that the numbers stay and the optimizer knows how few there are.
-    kinds = written(told.select("_is").distinct().select(F.monotonically_increasing_id().alias("kind"), "_is.*"))
+    different = written(told.select("_is").distinct().select(F.monotonically_increasing_id().alias("_n"), "_is.*"))
+    shown = [asked, "c_title", "c_author_tokens", "c_year", "c_raw"]
+    kind = F.min("_n").over(Window.partitionBy(*shown))
+    numbered = written(different.withColumn("c_author_tokens", author_tokens(F.col("c_authors"))).withColumn("kind", kind))
     same = [F.col("_is")[n].eqNullSafe(F.col("_k")[n]) for n in what]
-    numbered = kinds.select("kind", F.struct(*what).alias("_k"))
-    return told.join(numbered, reduce(Column.__and__, same)).drop("_is", "_k"), kinds
+    of_kind = numbered.select("kind", F.struct(*what).alias("_k"))
+    return told.join(of_kind, reduce(Column.__and__, same)).drop("_is", "_k"), numbered.where("_n = kind").select("kind", *shown)
 
 
 def _words(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,13 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def raw_citation() -> Column:
+    """The raw text of a citation, from its parts."""
+    return F.concat(F.lit("["), "o_orderkey", F.lit("] "), "c_name", F.lit(". "), "p_name", F.lit(" "), "p_type", F.lit("[J]. "), "c_mktsegment", F.lit(", "), "yr", F.lit(". https://doi.org/10.1000/ORD."), "o_orderkey")
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw citation per order: its customer is the author and its first part the title."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
     o = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"))
     df = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "part"), "p_partkey")
-    raw = F.concat(F.lit("["), "o_orderkey", F.lit("] "), "c_name", F.lit(". "), "p_name", F.lit(" "), "p_type", F.lit("[J]. "), "c_mktsegment", F.lit(", "), F.year("o_orderdate"), F.lit(". https://doi.org/10.1000/ORD."), "o_orderkey")
-    return df.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment", "c_nationkey", "o_orderstatus", "o_orderpriority", "p_partkey", "p_name", "p_type", "p_brand", F.year("o_orderdate").alias("yr"), raw.alias("raw_text"))
+    df = df.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment", "c_nationkey", "o_orderstatus", "o_orderpriority", "p_partkey", "p_name", "p_type", "p_brand", F.year("o_orderdate").alias("yr"))
+    return df.withColumn("raw_text", raw_citation())
 
 
 def retractions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,3 +356,12 @@ def test_citations_of_one_kind_are_scored_once(spark):
     got = kept.join(told, "kind").select("citation_key", "seq", *shown)
     want = R.score_candidates(cited.join(given, "asked")).select("citation_key", "seq", *shown)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 14
+
+
+def test_tokens_of_authors_are_made_once_for_citations_that_agree(spark):
+    cited = spark.createDataFrame([(i, "t", "graphs", ["Ann Li"] if i % 2 else ["ann", "LI"], 2001, "x") for i in range(6)], "citation_key int, asked string, c_title string, c_authors array<string>, c_year int, c_raw string")
+    given = spark.createDataFrame([("t", None)], "asked string, venue string")
+    kept, kinds = R.by_kind(cited, given, "asked")
+    # Authors that differ may have the same tokens, which are one kind; the citations themselves are never cut into tokens.
+    assert kinds.count() == 1 and kept.select("kind").distinct().count() == 1 and kept.count() == 6
+    assert "array_join(" not in kept._jdf.queryExecution().optimizedPlan().toString()
