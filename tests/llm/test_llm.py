@@ -172,6 +172,24 @@ def test_ends_of_pieces_find_their_place_without_a_sort():
         assert len(np.unique(leads)) == len(leads) and piece_order(shard.rank, shard.common, leads, begins, sizes, depth).tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_equals_are_told_by_bytes_also_where_hashes_collide(monkeypatch, collide):
+    from citeproof.llm import suffix_dedup
+
+    r = random.Random(5)
+    text = bytes(r.choice(b"ab\0") for _ in range(200))
+    text = text + bytes(r.choice(b"ab\0") for _ in range(60)) + text[20:180] + b"a" * 90 + text[:130]
+    starts = np.array(sorted(r.sample(range(len(text)), 400)))
+    if collide:
+        monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda data, width: np.zeros(len(data) - width + 1, np.uint64))
+    order, new, common = suffix_dedup.interleave(np.frombuffer(text, np.uint8), starts, 40, False)
+    padded = text + bytes(40)
+    strings = [padded[i : i + 40] for i in starts[order].tolist()]
+    assert order.tolist() == sorted(range(len(starts)), key=lambda i: (padded[starts[i] : starts[i] + 40], i))
+    assert new.tolist() == [True, *(x != y for x, y in zip(strings, strings[1:]))]
+    assert common.tolist() == [0, *(next((k for k in range(40) if x[k] != y[k]), 40) for x, y in zip(strings, strings[1:]))] and not new.all()
+
+
 def test_suffixes(spark):
     rows = texts()
     same(dedup_suffixes(docs(spark, rows), docs_per_chunk=8), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
