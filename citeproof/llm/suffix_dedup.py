@@ -109,9 +109,13 @@ def interleave(data: np.ndarray, starts: np.ndarray, depth: int, merged: bool) -
     members = (keys & low).astype(np.int64)
     leads = np.flatnonzero(new)
     sizes = np.diff(leads, append=len(keys))
-    others = members[~new]
-    by_place = np.argsort(others)
-    a, b = starts[others[by_place]], starts[np.repeat(members[leads], sizes - 1)[by_place]]
+    # The class of each in starts; the first of a class is its least place there.
+    of = np.empty(len(keys), np.int64)
+    of[members] = np.cumsum(new) - 1
+    is_first = np.zeros(len(keys), bool)
+    is_first[members[leads]] = True
+    others = np.flatnonzero(~is_first)
+    a, b = starts[others], starts[members[leads[of[others]]]]
     # Where the places before agree as well, only the last byte is left to compare.
     head = (np.diff(a, prepend=-2) != 1) | (np.diff(b, prepend=-2) != 1)
     differ = words[a + depth - 8] != words[b + depth - 8]
@@ -120,10 +124,9 @@ def interleave(data: np.ndarray, starts: np.ndarray, depth: int, merged: bool) -
         order, new, common = _refined(words, starts, depth, merged)
         in_places(order, new)
         return order, new, common
-    by_place = np.argsort(members[leads])
-    firsts = members[leads[by_place]]
+    firsts = np.flatnonzero(is_first)
     order, _, some = _refined(words, starts[firsts], depth, merged)
-    by_order = by_place[order]
+    by_order = of[firsts[order]]
     sizes = sizes[by_order]
     at = np.cumsum(sizes) - sizes
     new, common = np.zeros(len(keys), bool), np.full(len(keys), depth, np.uint8)
@@ -326,7 +329,8 @@ class _Shard:
         self.run_at = np.concatenate([np.zeros(0, np.int64), *begins])
         self.run_length = np.concatenate([np.zeros(0, np.int64), *lengths])
         self.run_anchor = np.concatenate([np.zeros(0, np.uint64), *anchors])
-        self.keys = np.unique(self.run_anchor)
+        self.keys = np.sort(self.run_anchor)
+        self.keys = self.keys[np.diff(self.keys, prepend=~self.keys[:1]) != 0]
 
     def order(self, shared: np.ndarray, depth: int) -> None:
         """Order what may repeat. shared: places in keys of anchors that other chunks have too."""
@@ -339,30 +343,32 @@ class _Shard:
         self.of_run = np.repeat(runs, sizes)
         self.at = at = np.repeat(self.run_at[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         # Pieces end with the bytes of their last strings, so that the places after each run are ordered too.
-        wide = np.bincount(self.run_at[runs], minlength=len(self.data) + 1) - np.bincount(self.run_at[runs] + sizes + depth - 1, minlength=len(self.data) + 1)
+        wide = np.zeros(len(self.data) + 1, np.int32)
+        wide[self.run_at[runs]] += 1
+        wide[self.run_at[runs] + sizes + depth - 1] -= 1
         wide = np.flatnonzero(np.cumsum(wide[:-1], dtype=np.int32) > 0)
         order, new, self.common = interleave(self.data, wide, depth, False)
         order = wide[order]
         self.rank = np.zeros(len(self.data), np.int32 if len(order) < 2**31 else np.int64)
         self.rank[order] = np.arange(len(order))
         self.lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[self.rank[at]]
-        number = np.full(len(self.data), -1, np.int64)
+        number = np.full(len(self.data), -1, self.rank.dtype)
         number[at] = np.arange(len(at))
         self.sorted = number[order]
         strings = self.sorted >= 0
         self.sorted = self.sorted[strings]
         new = np.diff(self.lead[self.sorted], prepend=-1) != 0
         self.group = np.cumsum(new) - 1
-        text = np.searchsorted(self.offsets, at[self.sorted], "right") - 1
+        text = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))[at][self.sorted]
         lead = np.flatnonzero(new)
         self.late = self.ids[text] > self.ids[text[lead]][self.group] if len(lead) else np.zeros(0, bool)
         # An earlier start in the same text; equal ids of different texts are not earlier than each other.
         self.late[1:] |= ~new[1:] & (text[1:] == text[:-1])
         # The first of each class of equal strings stands for it in other chunks, and so does one of another text with the
         # same id, which isn't after it; all others go for the first's sake. In the order of the text.
-        stands = ~self.late
-        standing = self.sorted[stands]
-        self.standing = np.sort(standing[elsewhere[key[self.of_run[standing]]]])
+        self.is_late = np.zeros(len(at), bool)
+        self.is_late[self.sorted[self.late]] = True
+        self.standing = np.flatnonzero(~self.is_late & np.repeat(elsewhere[key[runs]], sizes))
 
 
 def runs_of(places: np.ndarray) -> np.ndarray:
@@ -397,7 +403,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if group.num_rows:
             shard = _Shard(group, depth)
             shard.order(places(answers), depth)
-            late = np.sort(shard.at[shard.sorted[shard.late]])
+            late = shard.at[shard.is_late]
             begins = shard.at[shard.standing]
             add = lambda *row: [rows[c].append(x) for c, x in zip(rows, row, strict=True)]
             add(-1 - hash(tuple(k.as_py() for k in key)) % buckets, runs_of(late).tobytes(), runs_of(begins).tobytes(), b"", b"")
@@ -408,10 +414,9 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 base = np.flatnonzero(piece)
                 sizes = np.diff(base, append=len(begins))
                 lengths = sizes + depth - 1
-                inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                text = shard.data[np.repeat(begins[base], lengths) + inside]
+                text = shard.data[np.repeat(begins[base] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
                 leads = shard.lead[shard.standing]
-                if len(np.unique(leads)) == len(leads):
+                if np.bincount(leads).max() == 1:
                     order, symbol = piece_order(shard.rank, shard.common, leads, begins, sizes, depth), terminated(text, lengths)
                 else:
                     # Texts of one id hold equal strings, which only what follows them puts in order.
@@ -423,12 +428,16 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 of = np.repeat(small.astype(kind), lengths + 1)
                 order = order[np.argsort(of[order], kind="stable")]
                 last = np.concatenate([symbol[:1] * 0, symbol[:-1]])[order]
-                edges = np.cumsum(np.bincount(of, minlength=len(found))).tolist()
+                pieces = np.bincount(small, minlength=len(found))
+                edges, cuts = np.cumsum(np.bincount(of, minlength=len(found))), np.cumsum(pieces)
                 by_bucket = np.argsort(small, kind="stable")
-                cuts = np.cumsum(np.bincount(small, minlength=len(found))).tolist()
+                # A bucket's part of the transform has a terminator for each of its pieces.
+                bwt = (last[last > 0] - last.dtype.type(1)).astype(np.uint8).tobytes()
+                ends = np.flatnonzero(last == 0) - np.repeat(np.append(0, edges[:-1]), pieces)
+                ends, bases, counts = (x.astype(np.uint32).tobytes() for x in (ends, base[by_bucket], sizes[by_bucket]))
+                edges, cuts = edges.tolist(), cuts.tolist()
                 for b, lo, hi, p, q in zip(found.tolist(), [0, *edges], edges, [0, *cuts], cuts, strict=False):
-                    bwt, mine = last[lo:hi], by_bucket[p:q]
-                    add(b, base[mine].astype(np.uint32).tobytes(), sizes[mine].astype(np.uint32).tobytes(), (bwt[bwt > 0] - bwt.dtype.type(1)).astype(np.uint8).tobytes(), np.flatnonzero(bwt == 0).astype(np.uint32).tobytes())
+                    add(b, bases[4 * p : 4 * q], counts[4 * p : 4 * q], bwt[lo - p : hi - q], ends[4 * p : 4 * q])
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), **key_columns([k.as_py() for k in key], len(rows["bucket"])), **{c: pa.array(rows[c], pa.binary()) for c in ("base", "sizes", "bwt", "ends")}})
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:

@@ -190,6 +190,21 @@ def test_equals_are_told_by_bytes_also_where_hashes_collide(monkeypatch, collide
     assert common.tolist() == [0, *(next((k for k in range(40) if x[k] != y[k]), 40) for x, y in zip(strings, strings[1:]))] and not new.all()
 
 
+def test_equals_are_found_without_sorts_of_their_own(monkeypatch):
+    """Strings that differ in their first bytes are ordered by one sort, whether others equal them or not."""
+    from citeproof.llm import suffix_dedup
+
+    text = np.random.Generator(np.random.PCG64(3)).integers(0, 256, 4000, dtype=np.uint8)
+    text = np.concatenate([text, text[:2000]])
+    starts = np.arange(len(text) - 40)
+    want = sorted(starts.tolist(), key=lambda i: (text[i : i + 40].tobytes(), i))
+    ordered, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **more: (ordered.append(len(a)), argsort(a, *args, **more))[1])
+    order, new, _ = suffix_dedup.interleave(text, starts, 40, False)
+    assert order.tolist() == want and (~new).sum() == 1960
+    assert sum(ordered) <= new.sum() + 100
+
+
 def test_suffixes(spark):
     rows = texts()
     same(dedup_suffixes(docs(spark, rows), docs_per_chunk=8), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
