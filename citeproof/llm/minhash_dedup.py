@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from citeproof.llm.components import components
 from citeproof.llm.runtime import cut, cut_few, power_of_two, release, tidy
 from citeproof.llm.words import FOLDED_VALUES, mix, powers, slices, string_buffers, word_hashes
+from citeproof.storage import bucketed
 
 SHINGLE, HALVES, ROWS, PERCENT = 4, 8, 2, 80
 BYTES_AT_ONCE, SHINGLES_AT_ONCE = 2 << 20, 1 << 15
@@ -29,6 +30,8 @@ STAR_ROUNDS, CENTRES = 2, 16
 COMMON, HOT = 32, 1000
 #: Pairs of a centre that are compared in one task.
 CENTRE_PAIRS = 256
+#: Bytes of all documents' sets, of which few are kept, for each bucket of those that are.
+BYTES_PER_BUCKET = 32 << 20
 #: Most bits (4 MB) that tell the texts which documents' sets are wanted.
 BITS = 1 << 25
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,8 +178,9 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     # Half keys that only one class has can't make a shared table key.
-    held = reps.select("doc_id", "n", F.posexplode("halves").alias("place", "half"))
-    shared = held.groupBy("place", "half").agg(F.count("*").alias("c")).where("c > 1").select("place", "half").repartition(F.xxhash64("place", "half"))
+    # They are shuffled once: what is told of them reads the same columns, so that it reads the same shuffle.
+    held = reps.select("doc_id", "n", F.posexplode("halves").alias("place", "half")).repartition("place", "half")
+    shared = held.groupBy("place", "half").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("n").alias("most")).where("lo < hi and most > 0").select("place", "half")
     live = held.join(shared, ["place", "half"]).groupBy("doc_id", "n").agg(F.collect_set(F.struct("place", "half")).alias("live"))
     first, second = F.filter("live", lambda x: x["place"] < halves), F.filter("live", lambda x: x["place"] >= halves)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["place"], x["half"], y["place"], y["half"]))))
@@ -186,7 +190,9 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = cut_few(keyed.join(crowded, "key").withColumn("rank", -F.sum("c").over(Window.partitionBy("doc_id"))).drop("c"))
 
     wanted = keyed.select("doc_id").distinct()
-    sets = cut_few(_sets(named, wanted, width))
+    # A set has 8 bytes a shingle; every round's joins read the buckets where they lie.
+    buckets = power_of_two(8 * (able.agg(F.sum("n")).first()[0] or 0) / BYTES_PER_BUCKET, 16)
+    sets = bucketed(_sets(named, wanted, width).repartition(buckets, "doc_id"), "doc_id", buckets)
     tested = labels = None
     turn, centres, common_only = 0, 1, False
     while True:
@@ -203,7 +209,7 @@ def dedup_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 break
             if turn == 1:
                 # Every further round reads the sets of what is left alone.
-                old, sets = sets, cut_few(sets.join(now.select("doc_id").distinct().repartition(F.xxhash64("doc_id")), "doc_id", "left_semi"))
+                old, sets = sets, bucketed(sets.join(now.select("doc_id").distinct().repartition(F.xxhash64("doc_id")), "doc_id", "left_semi"), "doc_id", buckets)
                 release(old)
         if turn == STAR_ROUNDS and not common_only:
             met, common = _by_rare(now.select("doc_id", "n", "component").distinct(), sets, percent)

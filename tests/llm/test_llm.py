@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -210,6 +211,24 @@ def test_suffixes(spark):
     same(dedup_suffixes(docs(spark, rows), docs_per_chunk=8), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffixes(rows))
 
 
+def test_buckets_are_not_shuffled_again(spark, tmp_path):
+    """A join on the column of a bucketed table shuffles its other side alone; the catalog keeps no name of it."""
+    from citeproof.storage import bucketed, delete
+
+    n = len(spark.catalog.listTables())
+    sets = bucketed(spark.range(1000).withColumn("gram", F.col("id") * 3).repartition(4, "id"), "id", 4)
+    other = spark.range(0, 2000, 7).repartition(F.xxhash64("id"))
+    joined = sets.join(other.hint("merge"), "id")
+    joined.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == joined.count() == 143
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 4 out of 4" in plan and len(spark.catalog.listTables()) == n
+    files = sets.inputFiles()
+    assert len(files) == 4
+    delete(sets)
+    assert not any(Path(f.removeprefix("file:")).exists() for f in files)
+
+
 def test_minhash(spark):
     rows = texts()
     same(dedup_minhash(docs(spark, rows)), ["doc_id", "n_shingles", "component_id", "kept"], brute.near_copies(rows))
