@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from citeproof.functions.similarity import nearest_rows
 from citeproof.functions.text import words_from
 from citeproof.storage import written
 
@@ -156,10 +158,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norms))).otherwise(0.0)
 
 
+#: Numbers of the vectors that meet at once in a task, of either side: 4 MB as doubles.
+BLOCK = 2**19
+#: Tasks that blocks are dealt to; few bytes make much work, so Spark must not put them together.
+TASKS = 200
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int = 5, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, c): the `limit` of vectors (label, vec_id, embedding) that are nearest by cosine to each of
+    queries (label, query_id, q), among those of its label with another id. Of equals the smaller vec_id is first.
+
+    Every pair of a label is compared: its vectors and its queries are cut into blocks by their ids' hashes, each block of
+    the one meets each block of the other in a task, and of a pair of blocks only `limit` rows a query go on.
+    """
+
+    def parts(df: DataFrame, vector: str, name: str) -> DataFrame:
+        numbers = F.count("*") * F.greatest(F.max(F.size(vector)), F.lit(1))
+        return df.groupBy("label").agg(F.greatest(F.ceil(numbers / block), F.lit(1)).alias(name))
+
+    v, q = vectors.where("vec_id is not null and label is not null"), queries.where("query_id is not null and label is not null")
+    v, q = v.select("label", "vec_id", "embedding"), q.select("label", "query_id", "q")
+    cut = parts(v, "embedding", "_nv").join(parts(q, "q", "_nq"), "label")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n, *what: F.pmod(F.xxhash64(*what), n)
+    key = lambda side: [f"_{side}_label", f"_{side}_v", f"_{side}_q"]
+    v = v.join(cut, "label").select(F.col("label").alias("_a_label"), "vec_id", "embedding", own("_nv", "vec_id", "embedding").alias("_a_v"), each("_nq").alias("_a_q"))
+    q = q.join(cut, "label").select(F.col("label").alias("_b_label"), "query_id", "q", own("_nq", "query_id", "q").alias("_b_q"), each("_nv").alias("_b_v"))
+    met = v.repartition(TASKS, *key("a")).groupBy(*key("a")).cogroup(q.repartition(TASKS, *key("b")).groupBy(*key("b")))
+    best = met.applyInArrow(lambda a, b: nearest_rows(a, b, limit), "query_id bigint, vec_id bigint, c double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "vec_id", "c")
+
+
 def batches(df: DataFrame, order: str, size: int = 55) -> DataFrame:
     """df with batch, in runs of `size` by the order column, numbered without gathering the rows in one task."""
-    from pyspark.sql.window import Window
-
     # Written once: both branches must see the same parts.
     parts = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
