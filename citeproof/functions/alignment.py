@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 
 from citeproof.config import THRESHOLDS, Thresholds
 from citeproof.functions.similarity import sentence_scores
-from citeproof.functions.text import clauses, contains_any, fenced, jaccard, let, literals, overlap, rounded, sentences, stem, stems, trigrams, words, words_from
+from citeproof.functions.text import clauses, contains_any, fenced, jaccard_of_sets, let, literals, overlap, rounded, sentences, stem, stems, trigram_codes, words, words_from
 from citeproof.lexicons import CONCEPTS, FALLING, NEGATIONS_EN, NEGATIONS_ZH, RISING
 
 
+def concepts_named(text: Column) -> Column:
+    """For each concept whether the lower-cased text names it, as 0 and 1."""
+    return F.struct(*[contains_any(text, c).cast("int").alias(f"c{i}") for i, c in enumerate(CONCEPTS)])
+
+
 def concept_share(a: Column, b: Column) -> Column:
-    """Of the concepts that either text names, the share that both name; null if none is named. Lower-cased texts."""
-    named = [(contains_any(a, c).cast("int"), contains_any(b, c).cast("int")) for c in CONCEPTS]
+    """Of the concepts that either text names (concepts_named), the share that both name; null if none is named."""
+    named = [(a[f"c{i}"], b[f"c{i}"]) for i in range(len(CONCEPTS))]
     both = sum((F.least(x, y) for x, y in named), F.lit(0))
     any_ = sum((F.greatest(x, y) for x, y in named), F.lit(0))
     return F.when(any_ > 0, both / any_)
@@ -30,7 +35,7 @@ def negated(text: Column, targets: Column) -> Column:
 
 def claim_features(df: DataFrame, claim: str) -> DataFrame:
     """df with what lexical_features needs of the claim; made before a claim's row is repeated for each sentence."""
-    return df.withColumns({"_cs": stems(F.col(claim)), "_cg": trigrams(F.col(claim)), "_ct": F.array_distinct(words_from(F.col(claim), 3))})
+    return df.withColumns({"_cs": stems(F.col(claim)), "_cg": trigram_codes(F.col(claim)), "_ct": F.array_distinct(words_from(F.col(claim), 3))})
 
 
 FEATURES = ("stem_overlap", "trigram_jaccard", "token_overlap", "concept_share")
@@ -39,14 +44,19 @@ FEATURES = ("stem_overlap", "trigram_jaccard", "token_overlap", "concept_share")
 def lexical_features(df: DataFrame, claim: str, sentence: str, only: tuple[str, ...] = FEATURES) -> DataFrame:
     """stem_overlap, trigram_jaccard, token_overlap and concept_share, or some of them, of two text columns."""
     df = df if "_cs" in df.columns else claim_features(df, claim)
+    columns = [c for c in df.columns if c not in ("_cs", "_cg", "_ct")]
+    if "concept_share" in only:
+        # In stages of their own, each text lower-cased and searched once: in one expression each use would do both again.
+        for text, low, named in ((claim, "_lc", "_nc"), (sentence, "_ls", "_ns")):
+            df = df.withColumn(low, fenced(F.lower(text))).withColumn(named, fenced(concepts_named(F.col(low))))
     each = {
         "stem_overlap": overlap(F.col("_cs"), stems(F.col(sentence))),
-        "trigram_jaccard": let(trigrams(F.col(sentence)), lambda g: jaccard(F.col("_cg"), g)),
+        "trigram_jaccard": let(trigram_codes(F.col(sentence)), lambda g: jaccard_of_sets(F.col("_cg"), g)),
         "token_overlap": overlap(F.col("_ct"), F.array_distinct(words_from(F.col(sentence), 3))),
-        "concept_share": concept_share(F.lower(claim), F.lower(sentence)),
+        "concept_share": concept_share(F.col("_nc"), F.col("_ns")) if "concept_share" in only else None,
     }
     features = F.struct(*[each[f].alias(f) for f in only])
-    return df.withColumn("_f", fenced(features)).select(*[c for c in df.columns if c not in ("_cs", "_cg", "_ct")], "_f.*")
+    return df.withColumn("_f", fenced(features)).select(*columns, "_f.*")
 
 
 def most_relevant_clause(df: DataFrame, claim: str, sentence: str, out: str = "clause") -> DataFrame:
@@ -56,24 +66,41 @@ def most_relevant_clause(df: DataFrame, claim: str, sentence: str, out: str = "c
     return df.withColumn(out, F.when(F.size("_cl") > 1, F.array_max(ranked)["c"]).otherwise(F.col(sentence))).drop("_cs", "_cl")
 
 
-def polarity_conflict(df: DataFrame, claim: str, sentence: str, out: str) -> DataFrame:
-    """Whether claim and sentence point opposite ways: rising against falling words, a Chinese negation on one side with
-    three shared characters, or an English negation of a shared stem on one side."""
-    named = df.select(F.col(claim).alias("_pc"), F.col(sentence).alias("_ps"))
-    # Pairs repeat, and what makes them costs far more than bringing the answer back to each.
-    pairs = most_relevant_clause(named.distinct(), "_pc", "_ps", "_clause")
+def may_conflict(claim: Column, sentence: Column) -> Column:
+    """Whether the two texts, lower-cased, hold any word without which they can't point opposite ways: far cheaper than
+    clauses and stems. A clause may part a negation from Chinese letters, so only Latin ones end a word here."""
+    negation = r"(?<![a-z])(?:" + "|".join(NEGATIONS_EN) + r")(?![a-z])"
+    either = [x.rlike(negation) | contains_any(x, NEGATIONS_ZH) for x in (claim, sentence)]
+    return F.coalesce(contains_any(claim, RISING + FALLING), F.lit(False)) | F.coalesce(either[0], F.lit(False)) | F.coalesce(either[1], F.lit(False))
+
+
+def with_conflict(df: DataFrame, claim: str, sentence: str, out: str) -> DataFrame:
+    """df with what polarity_conflict tells, worked out in each row; of texts that can't conflict nothing else is made."""
+    own = [c for c in df.columns if c != out]
+    may = fenced(may_conflict(F.lower(claim), F.lower(sentence)))
+    named = df.withColumn("_may", may).withColumns({"_pc": F.when(F.col("_may"), F.col(claim)), "_ps": F.when(F.col("_may"), F.col(sentence))})
+    pairs = most_relevant_clause(named, "_pc", "_ps", "_clause")
     c, s = F.lower("_pc"), F.lower("_clause")
     pairs = pairs.withColumn("_clause", fenced(F.col("_clause"))).withColumn("_shared", fenced(F.array_intersect(stems(c), stems(s))))
     shared = F.col("_shared")
     signs = {"_up_c": contains_any(c, RISING), "_down_c": contains_any(c, FALLING), "_up_s": contains_any(s, RISING), "_down_s": contains_any(s, FALLING), "_zh_c": contains_any(c, NEGATIONS_ZH), "_zh_s": contains_any(s, NEGATIONS_ZH)}
-    pairs = pairs.withColumn("_signs", fenced(F.struct(*[v.alias(k) for k, v in signs.items()]))).select("*", "_signs.*")
+    pairs = pairs.withColumn("_signs", fenced(F.when(F.col("_may"), F.struct(*[v.alias(k) for k, v in signs.items()])))).select("*", "_signs.*")
     turned = (F.col("_up_c") & F.col("_down_s") & ~F.col("_down_c")) | (F.col("_down_c") & F.col("_up_s") & ~F.col("_down_s"))
     skipped = literals(list(" ,.，。!！?？\t\n"))
     chars = lambda x: F.array_except(F.filter(F.split(x, ""), lambda ch: ch != ""), skipped)
     zh = (F.col("_zh_c") != F.col("_zh_s")) & (F.size(F.array_intersect(chars(c), chars(s))) >= 3)
     en = (F.size(shared) > 0) & (negated(F.col("_pc"), shared) != negated(F.col("_clause"), shared))
-    told = pairs.select("_pc", "_ps", F.coalesce(turned | zh | en, F.lit(False)).alias(out))
-    return df.join(told, F.col(claim).eqNullSafe(F.col("_pc")) & F.col(sentence).eqNullSafe(F.col("_ps"))).drop("_pc", "_ps")
+    told = F.when(F.col("_may"), F.coalesce(turned | zh | en, F.lit(False))).otherwise(F.lit(False))
+    return pairs.select(*own, told.alias(out))
+
+
+def polarity_conflict(df: DataFrame, claim: str, sentence: str, out: str) -> DataFrame:
+    """Whether claim and sentence point opposite ways: rising against falling words, a Chinese negation on one side with
+    three shared characters, or an English negation of a shared stem on one side."""
+    named = df.select(F.col(claim).alias("_c"), F.col(sentence).alias("_s"))
+    # Pairs repeat, and what makes them costs far more than bringing the answer back to each.
+    told = with_conflict(named.distinct(), "_c", "_s", out)
+    return df.join(told, F.col(claim).eqNullSafe(F.col("_c")) & F.col(sentence).eqNullSafe(F.col("_s"))).drop("_c", "_s")
 
 
 def align(pairs: DataFrame, key: list[str], claim: str = "claim", abstract: str = "abstract", limits: Thresholds = THRESHOLDS) -> DataFrame:
@@ -91,14 +118,15 @@ def align(pairs: DataFrame, key: list[str], claim: str = "claim", abstract: str
     best = scored.groupBy(*key).agg(F.max_by(F.struct(F.col("_sentence").alias("sentence"), total.alias("total"), F.col("_s.lexical").alias("lexical"), F.col("_s.semantic").alias("semantic")), F.struct(total, -F.col("_at"))).alias("_best"))
     # Sentences of a pair come from one row, so joining on the key brings back the claim without a second copy in the aggregate.
     df = usable.drop("_sentences").join(best, key).withColumn("best_sentence", F.col("_best.sentence"))
-    # One answer for both where the sentence is the whole text.
-    both = df.select(*key, "_claim", F.explode(F.array_distinct(F.array("best_sentence", "_abstract"))).alias("_text"))
-    told = polarity_conflict(both, "_claim", "_text", "_conflict").groupBy(*key).agg(F.max("_conflict").alias("_against"))
-    df = df.join(told, key)
-    semantic, lexical, peak = F.col("_best.semantic"), F.col("_best.lexical"), rounded(F.col("_best.total"), 2)
+    # Of both the sentence and the whole text, where they differ. In the row: claims name numbers and seldom repeat.
+    df = with_conflict(df.withColumn("_whole", F.when(F.col("best_sentence") != F.col("_abstract"), F.col("_abstract"))), "_claim", "best_sentence", "_said")
+    df = with_conflict(df, "_claim", "_whole", "_held")
+    # Fenced, as rounding names its value many times, and one rounded value stands in the other.
+    df = df.withColumn("_peak", fenced(rounded(F.col("_best.total"), 2)))
+    semantic, lexical, peak = F.col("_best.semantic"), F.col("_best.lexical"), F.col("_peak")
     blended = F.when((semantic >= 0.35) & (lexical < 0.10), F.greatest(semantic, peak)).otherwise(F.greatest(0.5 * semantic + 0.5 * lexical, peak))
-    df = df.withColumn("_score", rounded(blended, 2))
-    against = F.col("_against")
+    df = df.withColumn("_blended", fenced(blended)).withColumn("_score", fenced(rounded(F.col("_blended"), 2)))
+    against = F.col("_said") | F.col("_held")
     score = F.when(against, F.lit(limits.contradiction_score)).otherwise(F.col("_score"))
     state = F.when(against, "CONTRADICTED").when(F.col("_score") >= limits.strong_alignment, "SUPPORTED").when(F.col("_score") >= limits.weak_alignment, "PARTIAL").otherwise("NEUTRAL")
     done = df.select(*key, "best_sentence", score.alias("score"), state.alias("alignment_state"))

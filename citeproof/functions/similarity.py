@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
+#: Pairs of more characters than this together are not kept by a worker, and this many others at most.
+KEPT_LENGTH, KEPT = 512, 8192
+
+
+@lru_cache(maxsize=KEPT)
+def _kept_ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def ratio(a: str | None, b: str | None) -> float:
-    return SequenceMatcher(None, a, b).ratio() if a is not None and b is not None else 0.0
+    """Characters of a that b lacks match nothing, whichever they are: they are made one, so that texts which differ in
+    such characters only, numbers say, are compared once."""
+    if a is None or b is None:
+        return 0.0
+    if len(a) + len(b) > KEPT_LENGTH:
+        return SequenceMatcher(None, a, b).ratio()
+    if "\0" not in b:
+        for c in set(a).difference(b):
+            a = a.replace(c, "\0")
+    return _kept_ratio(a, b)
 
 
 @F.pandas_udf(DoubleType())

@@ -45,7 +45,8 @@ def strip(x: Column) -> Column:
 
 
 def contains_any(x: Column, words: list[str]) -> Column:
-    """Whether any of the words is a substring; false for null."""
+    """Whether any of the words is a substring; false for null. Words that hold another of them add nothing."""
+    words = [w for w in words if not any(v != w and v in w for v in words)]
     hit = F.lit(False)
     for w in words:
         hit = hit | F.contains(x, F.lit(w))
@@ -104,10 +105,10 @@ def strip_math_and_code(x: Column) -> Column:
 def core_title(raw: Column) -> Column:
     """The title in a raw citation: before the type tag, after its number and authors, without a long subtitle or a year."""
     head = F.regexp_replace(F.split(raw, r"\[[JMDNRCP]\]", 2)[0], r"(?U)^\[\d+\]\s*", "")
-    parts = F.split(head, r"(?U)[.。]\s*", 2)
-    title = F.when(F.length(strip(F.get(parts, F.lit(1)))) > 3, F.get(parts, F.lit(1))).otherwise(parts[0])
-    halves = F.split(title, "[—–:：]", 2)
-    title = F.when(F.length(strip(F.get(halves, F.lit(1)))) > 40, halves[0]).otherwise(title)
+    # Each step is worked out once: written out, they would repeat the ones before them dozens of times.
+    later = lambda parts, least: F.length(strip(F.get(parts, F.lit(1)))) > least
+    title = let(F.split(head, r"(?U)[.。]\s*", 2), lambda parts: F.when(later(parts, 3), F.get(parts, F.lit(1))).otherwise(parts[0]))
+    title = let(title, lambda whole: let(F.split(whole, "[—–:：]", 2), lambda halves: F.when(later(halves, 40), halves[0]).otherwise(whole)))
     return F.when(F.coalesce(raw, F.lit("")) == "", "").otherwise(strip(F.regexp_replace(title, r"(?U)\s*\d{4}\.?\s*$", "")))
 
 
@@ -150,6 +151,14 @@ def trigrams(x: Column) -> Column:
     return F.when(F.length(clean) >= 3, F.array_distinct(grams[0])).otherwise(F.array().cast("array<string>"))
 
 
+def trigram_codes(x: Column) -> Column:
+    """The same runs as numbers, the three code points side by side: for counting, they are made and compared faster."""
+    clean = strip(F.regexp_replace(F.lower(x), r"(?U)[^\w\s]", ""))
+    codes = F.transform(F.split(clean, ""), lambda c: F.ascii(c).cast("bigint"))
+    grams = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.get(c, i) * 2**42 + F.get(c, i + 1) * 2**21 + F.get(c, i + 2)))
+    return F.when(F.length(clean) >= 3, F.array_distinct(grams[0])).otherwise(F.array().cast("array<bigint>"))
+
+
 def sentences(x: Column) -> Column:
     """Sentences of four or more characters, in order."""
     return F.filter(F.transform(F.split(x, r"(?U)[。！？；.!?;\n]+\s*"), strip), lambda s: F.length(s) >= 4)
@@ -184,6 +193,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """The same for arrays without repeats, whose union needn't be made."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: n / F.greatest(F.size(a) + F.size(b) - n, F.lit(1)))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """The share of a's elements that b has."""
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))

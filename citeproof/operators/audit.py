@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeproof.config import THRESHOLDS
 from citeproof.functions.alignment import align
-from citeproof.functions.text import blank_as_null, core_title, looks_like_doi, strip
+from citeproof.functions.text import blank_as_null, core_title, let, looks_like_doi, strip
 from citeproof.lexicons import CORE_JOURNALS
 from citeproof.operators.resolve import best_candidates, by_kind, dedup_candidates, local_matches, score_candidates
 from citeproof.operators.retraction import with_retractions
@@ -24,15 +24,16 @@ def journal_of(corpus: Column) -> Column:
 
 def query_text(title: Column, doi: Column) -> Column:
     """What a title search asks for: the core title of five characters or more, else the title or DOI; null below three."""
-    core = core_title(title)
-    text = F.when(F.length(core) >= 5, core).otherwise(F.coalesce(blank_as_null(title), doi))
-    return F.when(F.length(text) >= 3, text)
+    text = let(core_title(title), lambda core: F.when(F.length(core) >= 5, core).otherwise(F.coalesce(blank_as_null(title), doi)))
+    return let(text, lambda x: F.when(F.length(x) >= 3, x))
 
 
 def enriched(best: DataFrame, by_doi: DataFrame) -> DataFrame:
     """best (doi, abstract, ...) with the abstract of the DOI's record (doi, abstract) where it has none of its own."""
-    more = by_doi.select(F.col("doi").alias("_found"), F.col("abstract").alias("_more"))
     lacking = F.when(F.coalesce("abstract", F.lit("")) == "", F.col("doi"))
+    # Records are many, and few are asked for: the others go no further than where they are read.
+    asked = best.select(lacking.alias("_found")).where("_found is not null").distinct()
+    more = by_doi.select(F.col("doi").alias("_found"), F.col("abstract").alias("_more")).join(asked, "_found", "left_semi")
     return best.withColumn("_found", lacking).join(more, "_found", "left").withColumn("abstract", F.coalesce(blank_as_null(F.col("abstract")), F.col("_more"), F.lit(""))).drop("_found", "_more")
 
 
@@ -80,7 +81,8 @@ def verify(citations: DataFrame, retractions: DataFrame, by_doi: DataFrame, cand
     given = written(dedup_candidates(candidates.withColumnRenamed("citation_key", "_for") if asked == "citation_key" else candidates.withColumnRenamed(asked, "_for"), "_for"))
     kept, kinds = by_kind(wanted, given, "_for")
     best = best_candidates(score_candidates(kinds.join(given, "_for")), "kind").where("title <> ''")
-    best = enriched(best, by_doi)
+    # Written, so that the optimizer knows how few they are.
+    best = enriched(written(best.select("kind", "doi", "title", "is_retracted", "abstract", "match_score", "match_confidence", "match_margin", "is_uncertain", "source")), by_doi)
     gone = F.coalesce("is_retracted", F.lit(False))
     best = written(best.select("kind", F.lit(True).alias("matched"), "doi", "title", gone.alias("is_retracted"), "abstract", F.bround("match_score", 2).alias("confidence"), "match_confidence", "match_margin", F.when(gone, "RETRACTED").otherwise("ARTICLE_MATCHED").alias("evidence_status"), "is_uncertain", F.concat("source", F.lit(" (rerank)")).alias("source"), null.cast("string").alias("failure_reason")))
     searched = kept.select("citation_key", "kind").join(best, "kind").drop("kind")

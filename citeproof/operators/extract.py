@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citeproof.functions.text import YEAR, arxiv_id, extract_doi, found, strip, strip_math_and_code
+from citeproof.functions.text import DOI, YEAR, arxiv_id, blank_as_null, extract_doi, fenced, let, strip, strip_math_and_code
 from citeproof.storage import written
 
 REFERENCE = r"(?U)^\[(\d+)\]\s*(.+)"
@@ -15,26 +15,31 @@ PARTITIONS = 400
 BRACKETS = r"(?U)\[\s*([\d\s,\-–—]+)\s*\]"
 
 
-def reference_fields(line: Column) -> dict[str, Column]:
-    """What a reference-list line says: number, content, type tag, authors, title, year and DOI.
+def reference_fields(line: Column) -> Column:
+    """What a reference-list line says, as one struct: number, doc_type (type tag), authors, title, year and doi.
 
-    Without a type tag only what stands before the first dot is the title.
+    Without a type tag only what stands before the first dot is the title. Each step is worked out once.
     """
-    content = F.regexp_extract(line, REFERENCE, 2)
-    tag = found(content, r"(?i)\[([JMDCRNPS])\]", 1)
-    head = F.when(tag.isNotNull(), F.call_function("substring_index", content, F.concat(F.lit("["), tag, F.lit("]")), F.lit(1))).otherwise(F.substring_index(content, ".", 1))
-    parts = F.split(head, r"\.", 2)
-    more = F.size(parts) > 1
-    title = strip(F.when(more, F.get(parts, F.lit(1))).otherwise(parts[0]))
-    authors = F.when(more, F.filter(F.transform(F.split(parts[0], ","), strip), lambda a: a != "")).otherwise(F.array().cast("array<string>"))
-    return {
-        "number": F.regexp_extract(line, REFERENCE, 1),
-        "doc_type": F.upper(F.coalesce(tag, F.lit("J"))),
-        "authors": authors,
-        "title": F.when(title != "", title).otherwise(line),
-        "year": found(content, YEAR, 1).try_cast("int"),
-        "doi": extract_doi(line),
-    }
+    none = F.array().cast("array<string>")
+
+    def of(content: Column, tag: Column, parts: Column) -> Column:
+        more = F.size(parts) > 1
+        title = strip(F.when(more, F.get(parts, F.lit(1))).otherwise(parts[0]))
+        authors = F.when(more, F.filter(F.transform(F.split(parts[0], ","), strip), lambda a: a != "")).otherwise(none)
+        return F.struct(
+            F.regexp_extract(line, REFERENCE, 1).alias("number"),
+            F.upper(F.coalesce(tag, F.lit("J"))).alias("doc_type"),
+            authors.alias("authors"),
+            let(title, lambda t: F.when(t != "", t).otherwise(line)).alias("title"),
+            let(F.regexp_extract(content, YEAR, 1), blank_as_null).try_cast("int").alias("year"),
+            let(F.regexp_extract(line, DOI, 0), lambda d: F.rtrim(blank_as_null(d), F.lit(".,;:!?)]}>"))).alias("doi"),
+        )
+
+    def tagged(content: Column, tag: Column) -> Column:
+        head = F.when(tag.isNotNull(), F.call_function("substring_index", content, F.concat(F.lit("["), tag, F.lit("]")), F.lit(1))).otherwise(F.substring_index(content, ".", 1))
+        return let(F.split(head, r"\.", 2), lambda parts: of(content, tag, parts))
+
+    return let(F.regexp_extract(line, REFERENCE, 2), lambda content: let(F.regexp_extract(content, r"(?i)\[([JMDCRNPS])\]", 1), lambda t: let(blank_as_null(t), lambda tag: tagged(content, tag))))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -93,7 +98,7 @@ def extract_citations(documents: DataFrame) -> DataFrame:
     # Written, as references, mentions and other DOIs read them: else every text would be cleaned and split for each.
     lines = written(lines_of(documents).drop("raw"))
     is_ref = F.col("line").rlike(REFERENCE)
-    refs = lines.where(is_ref).select("*", *[c.alias(n) for n, c in reference_fields(F.col("line")).items()])
+    refs = lines.where(is_ref).withColumn("_said", fenced(reference_fields(F.col("line")))).select("*", "_said.*").drop("_said")
     numbers = written(bracket_mentions(lines).drop("line"))
     mentions = first_mentions(refs, numbers, lines).withColumnRenamed("ref_line", "line_no").drop("claim_line")
     refs = refs.join(mentions, ["doc_id", "line_no"], "left")
